@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import mixing, rules, sharding
+from loomspark.llm import licenses, mixing, rules, sharding, simhash
 from loomspark.sources.tables import table
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents"))
 
@@ -16,11 +20,15 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, folder, "documents"))
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.component_ids(table(spark, folder, "documents"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_sharding, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op6_sharding, op7_simhash, op8_mixing)}
 
 ORACLES = {
     "op8_mixing": """
