@@ -6,7 +6,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -19,7 +19,7 @@ from loomspark.llm.expressions import whole
 CAPACITY = 4096
 END = 2
 #: Pieces that a task holds at most; tasks whose rests are packed together; words that a worker remembers.
-POOL, TOGETHER, REMEMBERED = 2048, 64, 400_000
+POOL, TOGETHER, REMEMBERED = 2048, 64, 300_000
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -30,17 +30,25 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, by one vocabulary, with a memory of words.
 
     The vocabulary's normalizer and splitter never look across ASCII white space, which they
-    drop, so a text's ids are those of its words in turn; equal words are encoded once.
+    drop, so a text's ids are those of its words in turn. In a text of ASCII and Latin-1 letters
+    alone, which normalization only lower-cases, the splitter's pattern is stated here over
+    those characters, and a part goes to the merges at once. Equal words or parts are encoded
+    once while they are remembered: what was not met in the last REMEMBERED new ones is forgotten.
     """
 
-    _word = re.compile("[^ \t\n\r\x0b\x0c]+")
+    _word = re.compile("[^ \t\n\r\x0b\x0c]+").findall
+    _plain = re.compile("[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
+    _part = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+").findall
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
+        self.words, self.parts = Memory(self._whole), Memory(self._merged)
 
     @classmethod
     def of(cls, path: str | None) -> Encoder:
@@ -53,16 +61,31 @@ class Encoder:
         return _encoders[path]
 
     def encode(self, text: str) -> bytes:
-        words = text.lower().split() if text.isascii() and not re.search("[\x1c-\x1f]", text) else self._word.findall(text)
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        return b"".join([known[w] for w in words])
+        if self._plain(text):
+            return self.parts.joined(self._part(text.lower()))
+        return self.words.joined(self._word(text))
+
+    def _whole(self, word: str) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+
+    def _merged(self, part: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(part if part.isascii() else part.translate(self.letters))])
+
+
+class Memory:
+    """Results of a function of a string, in two generations of REMEMBERED entries."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.young, self.old = make, {}, {}
+
+    def joined(self, keys: list[str]) -> bytes:
+        young, old = self.young, self.old
+        for w in set(keys).difference(young):
+            young[w] = old.get(w) or self.make(w)
+        out = b"".join([young[w] for w in keys])
+        if len(young) > REMEMBERED:
+            self.young, self.old = {}, young
+        return out
 
 
 def best_fill(counts: list[tuple[int, int]], room: int) -> dict[int, int]:
