@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspark.llm import licenses, mixing, rules, sharding, simhash
+from loomspark.llm import audio, chat, licenses, mixing, packing, rules, sharding, simhash
 from loomspark.sources.tables import table
 
 
@@ -16,6 +17,17 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents"))
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.digest_conversations(rows.union(more))
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, folder, "documents"))
 
@@ -28,7 +40,22 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op6_sharding, op7_simhash, op8_mixing)}
+def op10_audio(spark: SparkSession, folder: str) -> DataFrame:
+    made = audio.audio_columns(table(spark, folder, "documents"))
+    payload = F.substring("media", audio.HEADER + 1, 2147483647)
+    return made.withColumn("payload", payload).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_packing, op5_chat, op6_sharding, op7_simhash, op8_mixing, op10_audio)}
 
 ORACLES = {
     "op8_mixing": """
