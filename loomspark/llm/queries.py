@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import audio, chat, licenses, mixing, packing, rules, sharding, simhash
+from loomspark.llm import audio, chat, html, licenses, mixing, packing, rules, sharding, simhash
 from loomspark.sources.tables import table
 
 
@@ -21,6 +21,10 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op4_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
 def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
@@ -55,7 +59,7 @@ def op10_audio(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_packing, op5_chat, op6_sharding, op7_simhash, op8_mixing, op10_audio)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_packing, op4_html, op5_chat, op6_sharding, op7_simhash, op8_mixing, op10_audio)}
 
 ORACLES = {
     "op8_mixing": """
