@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.materialize import settle
+from loomspark.llm.expressions import whole
 from loomspark.llm.ordering import RANGE, into_ranges
 
 WEIGHTS = (5, 2, 1)
@@ -91,3 +92,23 @@ def place_copies(thin: DataFrame, seed: int, weights: tuple[int, ...], most: int
     own = [F.col(f"d.{c}") for c in thin.columns]
     n = (crossed(last) - crossed(last - 1)).cast("long")
     return joined.select(*own, "s.source_size", "s.target", n.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def take_copies(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of `docs`, each as often as `mix` takes it, with all their columns as they are.
+
+    Copies are found on thin rows and meet the texts by doc_id and text hash, so texts are dealt
+    out once. If some rows repeat both, whole rows go through the ranges instead, so that each has
+    its own copies. Other cases as in `mix`.
+    """
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")]
+    key = F.xxhash64(whole(docs["text"]))
+    thin = settle(docs.select(*own, key.alias("hash")))
+    n = thin.agg(F.count("*").alias("rows"), F.count_distinct(F.struct("doc_id", "hash")).alias("docs")).first()
+    if n["rows"] == n["docs"]:
+        taken = settle(place_copies(thin, seed, weights, most).where("copies > 0").select(F.col("doc_id").alias("taken_id"), F.col("hash").alias("taken_hash"), F.col("copies").alias("taken_copies")))
+        met = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col("taken_id")) & (key == F.col("taken_hash")))
+        rows = met.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("taken_copies").alias("copies"))
+    else:
+        rows = place_copies(settle(docs.select(*own, F.struct(*docs.columns).alias("row"))), seed, weights, most).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import audio, chat, html, licenses, mixing, packing, rules, sharding, simhash
+from loomspark.llm import audio, chat, html, licenses, mixing, packing, quality, rules, sharding, simhash
 from loomspark.sources.tables import table
 
 
@@ -44,6 +44,14 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    return quality.with_score(docs, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op10_audio(spark: SparkSession, folder: str) -> DataFrame:
     made = audio.audio_columns(table(spark, folder, "documents"))
     payload = F.substring("media", audio.HEADER + 1, 2147483647)
@@ -59,7 +67,7 @@ def op10_audio(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_packing, op4_html, op5_chat, op6_sharding, op7_simhash, op8_mixing, op10_audio)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_packing, op4_html, op5_chat, op6_sharding, op7_simhash, op8_mixing, op9_quality, op10_audio)}
 
 ORACLES = {
     "op8_mixing": """
