@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.ship import ship
 from loomspark.llm.expressions import whole
 
 RATE = 16_000
@@ -198,6 +199,7 @@ def audio_columns(docs: DataFrame) -> DataFrame:
             if sizes:
                 yield made(begun)
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").cast("binary").alias("text")).mapInArrow(
         run, "doc_id long, n_bytes long, media binary, tensors binary, feature string"
     )

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.ship import ship
 from loomspark.llm.expressions import whole
 
 STOP_WORDS = frozenset(
@@ -190,6 +191,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
+    ship(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), whole("html").alias("html")).mapInArrow(
         run, "page_id long, url string, text string, n_chars long"
     )

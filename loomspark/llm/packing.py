@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.materialize import settle
+from loomspark.functions.ship import ship
 from loomspark.llm.expressions import whole
 
 CAPACITY = 4096
@@ -225,6 +226,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             number += 1
         return pa.Table.from_batches([rows.batch()]).drop_columns(["ids"])
 
+    ship(docs.sparkSession)
     placed = settle(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
         .mapInArrow(first, COLUMNS + ", ids binary")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.ship import ship
 from loomspark.llm.expressions import whole
 
 #: Bytes of a byte filter, their step, width of a byte's embedding, filters.
@@ -187,6 +188,7 @@ def with_score(docs: DataFrame, model: Model | None) -> DataFrame:
     Null text: as empty, which has a score too. Null doc_id and repeated rows: a row each. Empty
     table: no rows. Other columns are ignored.
     """
+    ship(docs.sparkSession)
     tables = None if model is None else model.tables()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +203,7 @@ def keep_good(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataF
     """The rows of `docs` whose score is `least` or more, with all their columns as they are; cases as in `with_score`."""
     if model is None:
         return docs if least <= 0.5 else docs.limit(0)
+    ship(docs.sparkSession)
     tables = model.tables()
     at = [c.lower() for c in docs.columns].index("text")
 

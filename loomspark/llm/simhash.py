@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.materialize import settle
+from loomspark.functions.ship import ship
 from loomspark.llm.components import components
 from loomspark.llm.expressions import whole
 
@@ -50,6 +51,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.fromiter((fingerprint(x.as_buffer().to_pybytes()) for x in b.column("text")), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
+    ship(docs.sparkSession)
     text = whole("text")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(
         run, "doc_id long, text_hash long, fp long"
@@ -153,7 +155,7 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     and seeks in all leaves that the triangle bound leaves open at radius // 2. A leaf compares
     all that seek with all at home, in cells of about CELL by CELL, whatever their numbers.
     """
-    spark = distinct.sparkSession
+    ship(distinct.sparkSession)
     leaves = int(min(MOST_LEAVES, max(1, count // LEAF)))
     share = max(1, count // (SAMPLE * leaves))
     sample = distinct.where(F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(share)) == 0).limit(2 * SAMPLE * MOST_LEAVES).toPandas()["fp"].sort_values().to_numpy(np.int64)
