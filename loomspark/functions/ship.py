@@ -9,11 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+#: Rows and bytes of a batch that goes to a Python worker: rows of any width then need bounded memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once for each application."""
+    """Give the executors' Python workers this package, once for each application, and bound their batches."""
     sc = spark.sparkContext
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     if sc.applicationId in _sent:
         return
     package = Path(__file__).resolve().parent.parent
