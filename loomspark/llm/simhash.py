@@ -134,7 +134,7 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def near_edges(seek: np.ndarray, home: np.ndarray, radius: int = RADIUS, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def near_edges(seek: np.ndarray, home: np.ndarray, radius: int = RADIUS, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (u, v) of the links between `seek` and `home` (uint64): all are compared, not all are kept."""
     nodes = np.unique(np.concatenate((seek, home)))
     at_seek, at_home, label = np.searchsorted(nodes, seek), np.searchsorted(nodes, home), np.arange(len(nodes))
