@@ -1 +1,130 @@
-"""Recorded queries."""
+"""Integrity checks and incremental loads on the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.operators import upkeep as U
+from loomspark.operators import views as V
+from loomspark.plans.bridge import Corpus, oracle
+from loomspark.plans.registry import recorded
+from loomspark.sources.tables import table
+
+
+@recorded("SELECT count(*) AS rows, count(DISTINCT (l_orderkey, l_linenumber)) AS keys, (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)) AS most FROM lineitem")
+def fanout_report(spark: SparkSession, folder: str) -> DataFrame:
+    return U.fan_out(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@recorded(oracle("SELECT dove_tower_id, count(*) AS n FROM performances WHERE dove_tower_id NOT IN (SELECT TowerID FROM towers) GROUP BY 1", "performances", "towers"))
+def orphan_keys(spark: SparkSession, folder: str) -> DataFrame:
+    c = Corpus(spark, folder)
+    return U.orphans(c.performances, "dove_tower_id", (c.towers_unique, "TowerID"), (c.dove, "TowerID")).groupBy("dove_tower_id").agg(F.count("*").alias("n"))
+
+
+@recorded(oracle("""WITH j AS (SELECT count(*) AS joined FROM performances JOIN towers_unique ON TowerID = dove_tower_id)
+SELECT count(dove_tower_id) AS linked, count(*) FILTER (WHERE dove_tower_id NOT IN (SELECT TowerID FROM towers)) AS orphaned, joined, true AS holds FROM performances, j GROUP BY joined""", "performances", "towers_unique"))
+def join_identity(spark: SparkSession, folder: str) -> DataFrame:
+    c = Corpus(spark, folder)
+    return U.join_identity(c.performances, "dove_tower_id", c.towers_unique, "TowerID")
+
+
+@recorded("SELECT column_ AS column, n FROM (SELECT 'p_name' AS column_, count(*) FILTER (WHERE lower(trim(p_name)) = 'nan') AS n FROM part UNION ALL SELECT 'p_brand', count(*) FILTER (WHERE lower(trim(p_brand)) = 'nan') FROM part UNION ALL SELECT 'p_type', count(*) FILTER (WHERE lower(trim(p_type)) = 'nan') FROM part)")
+def nan_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return U.literal_nans(table(spark, folder, "part"))
+
+
+@recorded("SELECT 'orders' AS check, count(*) AS rows, CASE WHEN count(*) = 0 THEN 'FAIL' WHEN count(*) BETWEEN 10 AND 1000000000 THEN 'PASS' ELSE 'INFO' END AS state FROM orders")
+def row_band(spark: SparkSession, folder: str) -> DataFrame:
+    return U.band_check(table(spark, folder, "orders"), "orders", 10, 1_000_000_000)
+
+
+@recorded("SELECT count(DISTINCT o_custkey) FILTER (WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS only_ours, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS only_source FROM orders")
+def source_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    return U.agreement(table(spark, folder, "orders").select(F.col("o_custkey").alias("k")), table(spark, folder, "customer").select(F.col("c_custkey").alias("k")), "k")
+
+
+@recorded(oracle("""WITH k AS (SELECT DISTINCT perf_id FROM performances), l AS (SELECT DISTINCT perf_id FROM performance_methods), u AS (SELECT DISTINCT perf_id FROM performance_method_unresolved)
+SELECT count(*) AS keys, count(l.perf_id) AS linked, count(u.perf_id) AS unresolved, count(CASE WHEN l.perf_id = u.perf_id THEN 1 END) AS both, count(CASE WHEN l.perf_id IS NULL AND u.perf_id IS NULL THEN 1 END) AS neither
+FROM k LEFT JOIN l ON l.perf_id = k.perf_id LEFT JOIN u ON u.perf_id = k.perf_id""", "performances", "performance_methods", "performance_method_unresolved"))
+def link_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    c = Corpus(spark, folder)
+    return U.coverage(c.performances, c.performance_methods, c.performance_method_unresolved, "perf_id")
+
+
+@recorded("""WITH t AS (SELECT o_custkey, c_mktsegment, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)
+SELECT o_custkey, c_mktsegment, n FROM t WHERE (SELECT count(*) FROM t x WHERE x.c_mktsegment = t.c_mktsegment AND abs(x.n - t.n) <= 2) = 1""")
+def identifiable_members(spark: SparkSession, folder: str) -> DataFrame:
+    joined = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return U.identifiable(joined.groupBy("o_custkey", "c_mktsegment").agg(F.count("*").alias("n")), "c_mktsegment", "n")
+
+
+@recorded("SELECT user_id, event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of the first half as the stored table, those of the second as the increment."""
+    events, half = table(spark, folder, "events").select("user_id", "event_id", "event_type", "ts"), F.lit("2024-01-16").cast("timestamp")
+    return U.upsert(events.where(F.col("ts") < half), events.where(F.col("ts") >= half), ["user_id"], [F.col("ts"), F.col("event_id")])
+
+
+@recorded("SELECT user_id, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-16' OR user_id NOT IN (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16')")
+def child_replace(spark: SparkSession, folder: str) -> DataFrame:
+    events, half = table(spark, folder, "events").select("user_id", "event_id", "ts"), F.lit("2024-01-16").cast("timestamp")
+    new = events.where(F.col("ts") >= half)
+    return U.replace_children(events.where(F.col("ts") < half), new, "user_id", new).select("user_id", "event_id")
+
+
+@recorded("SELECT l_orderkey, l_linenumber, l_returnflag, l_suppkey, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' END AS verdict FROM lineitem")
+def staged_update(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", F.lit(None).cast("string").alias("verdict"))
+    verdicts = spark.createDataFrame([("A", "accepted"), ("R", "returned")], "l_returnflag string, verdict string")
+    return U.staged_update(lines, verdicts, ["l_returnflag"], "verdict")
+
+
+@recorded("""WITH w AS (SELECT CAST(b AS DATE) AS begins, least(CAST(b + INTERVAL 6 DAY AS DATE), DATE '2024-01-30') AS ends FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 7 DAY)) AS b))
+SELECT begins, ends, count(DISTINCT event_id) AS expected, count(DISTINCT event_id) AS found, count(event_id) AS rows, true AS complete FROM w LEFT JOIN events ON CAST(ts AS DATE) BETWEEN begins AND ends GROUP BY begins, ends""")
+def window_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """T4, T5: weekly windows of the events against their own counts as ground truth."""
+    events = table(spark, folder, "events")
+    spans = U.windows("2024-01-01", "2024-01-30", 7, spark)
+    week = F.expr("date_add(DATE'2024-01-01', CAST(floor(datediff(ts, DATE'2024-01-01') / 7) * 7 AS INT))")
+    truth = events.groupBy(week.alias("begins")).agg(F.count_distinct("event_id").alias("expected"))
+    return U.window_gate(events, "ts", "event_id", truth, spans)
+
+
+@recorded("SELECT CAST(max(ts) AS DATE) AS resume FROM events")
+def high_water_mark(spark: SparkSession, folder: str) -> DataFrame:
+    return U.resume_day(table(spark, folder, "events"), "ts")
+
+
+@recorded(oracle("SELECT TowerID, Place, Dedicn, County, Country, Practice, installations FROM towers_unique", "towers_unique"))
+def view_towers_unique(spark: SparkSession, folder: str) -> DataFrame:
+    return Corpus(spark, folder).towers_unique
+
+
+@recorded(oracle("SELECT RingID AS ring_id, TowerID AS tower_id, Place AS place, Dedicn AS dedication, County AS county, Country AS country, Practice AS practice FROM towers", "towers"))
+def view_ringing_towers(spark: SparkSession, folder: str) -> DataFrame:
+    return V.ringing_towers(Corpus(spark, folder).dove)
+
+
+@recorded(oracle("SELECT TowerID, min(RingID) AS primary_ring, count(RingID) AS rings, max(Place) AS Place, max(County) AS County FROM towers GROUP BY TowerID", "towers"))
+def view_dove_towers(spark: SparkSession, folder: str) -> DataFrame:
+    return V.dove_towers(Corpus(spark, folder).dove)
+
+
+@recorded(oracle("SELECT perf_id, TowerID, u.Place AS tower_place, County FROM performances JOIN towers_unique u ON TowerID = dove_tower_id", "performances", "towers_unique"))
+def view_tower_performances(spark: SparkSession, folder: str) -> DataFrame:
+    return Corpus(spark, folder).tower_performances.select("perf_id", "TowerID", "tower_place", "County")
+
+
+@recorded(oracle("""SELECT m.method_id, e.perf_date, e.dove_tower_id, Place FROM methods m LEFT JOIN method_performances e ON e.method_id = m.method_id AND event_type = 'firstTowerbellPeal'
+LEFT JOIN towers_unique ON TowerID = e.dove_tower_id""", "methods", "method_performances", "towers_unique"))
+def view_first_tower_peals(spark: SparkSession, folder: str) -> DataFrame:
+    c = Corpus(spark, folder)
+    return V.first_tower_peals(c.methods, c.method_performances, c.towers_unique).select("method_id", "perf_date", "dove_tower_id", "Place")
+
+
+@recorded(oracle("SELECT perf_id, method_id, title AS method_title, stage, perf_date FROM performance_methods JOIN performances USING (perf_id) JOIN methods USING (method_id) WHERE confidence <> 'low'", "performance_methods", "performances", "methods"))
+def view_performance_methods(spark: SparkSession, folder: str) -> DataFrame:
+    c = Corpus(spark, folder)
+    return V.performance_methods_view(c.performance_methods, c.performances, c.methods).select("perf_id", "method_id", "method_title", "stage", "perf_date")
