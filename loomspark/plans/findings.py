@@ -12,7 +12,9 @@ from loomspark.operators.views import performance_methods_view
 from loomspark.plans.bridge import Corpus, oracle
 from loomspark.plans.registry import recorded
 
-n = F.count("*")
+def row_count() -> Column:
+    return F.count("*")
+
 FIRST, LAST = "1996-01-01", "1999-12-31"
 
 
@@ -72,23 +74,23 @@ def q03_group_metadata(c: Corpus) -> DataFrame:
 @over("SELECT Location FROM founders WHERE founder_group = 'Group 1' AND Location IS NOT NULL GROUP BY Location ORDER BY count(*) DESC, Location LIMIT 1", "founders")
 def q04_group_home(c: Corpus) -> DataFrame:
     """Home town of a group: the most common one, ties by name."""
-    homes = c.founders.where("founder_group = 'Group 1' AND Location IS NOT NULL").groupBy("Location").agg(n.alias("n"))
+    homes = c.founders.where("founder_group = 'Group 1' AND Location IS NOT NULL").groupBy("Location").agg(row_count().alias("n"))
     return homes.orderBy(F.desc("n"), "Location").limit(1).select("Location")
 
 
 @over("SELECT count(*) AS methods FROM methods", "methods")
 def q05_methods(c: Corpus) -> DataFrame:
-    return c.methods.agg(n.alias("methods"))
+    return c.methods.agg(row_count().alias("methods"))
 
 
 @over("SELECT count(*) AS tower_linked FROM method_performances WHERE dove_tower_id IS NOT NULL", "method_performances")
 def q06_linked_events(c: Corpus) -> DataFrame:
-    return c.method_performances.where("dove_tower_id IS NOT NULL").agg(n.alias("tower_linked"))
+    return c.method_performances.where("dove_tower_id IS NOT NULL").agg(row_count().alias("tower_linked"))
 
 
 @over("SELECT count(*) AS unlinked FROM method_performances WHERE dove_tower_id IS NULL", "method_performances")
 def q07_unlinked_events(c: Corpus) -> DataFrame:
-    return c.method_performances.where("dove_tower_id IS NULL").agg(n.alias("unlinked"))
+    return c.method_performances.where("dove_tower_id IS NULL").agg(row_count().alias("unlinked"))
 
 
 @over("""
@@ -109,7 +111,7 @@ SELECT count(*) AS total_methods, count(DISTINCT name) AS distinct_names,
 def q09_lineage_stats(c: Corpus) -> DataFrame:
     of = lambda condition: F.count_distinct(F.when(condition, F.col("method_id")))
     return c.methods.agg(
-        n.alias("total_methods"), F.count_distinct("name").alias("distinct_names"), of(F.col("extension_construction") != "").alias("labeled_methods"),
+        row_count().alias("total_methods"), F.count_distinct("name").alias("distinct_names"), of(F.col("extension_construction") != "").alias("labeled_methods"),
         of(F.col("stage") % 2 == 0).alias("even_stage_methods"), of(F.col("stage") % 2 == 1).alias("odd_stage_methods"), F.min("stage").alias("min_stage"), F.max("stage").alias("max_stage"),
     )
 
@@ -154,7 +156,7 @@ def q12_method_debuts(c: Corpus) -> DataFrame:
 
 @over("SELECT (SELECT count(*) FROM methods) AS methods_total, (SELECT count(DISTINCT method_id) FROM method_performances WHERE perf_date <> '') AS with_a_debut_date", "methods", "method_performances")
 def q13_debut_denominators(c: Corpus) -> DataFrame:
-    return c.methods.agg(n.alias("methods_total")).join(dated(c.method_performances).agg(F.count_distinct("method_id").alias("with_a_debut_date")))
+    return c.methods.agg(row_count().alias("methods_total")).join(dated(c.method_performances).agg(F.count_distinct("method_id").alias("with_a_debut_date")))
 
 
 @over("SELECT method_id, perf_date AS debut_date, event_type, building, town, county, society, dove_tower_id FROM method_performances WHERE perf_date <> ''", "method_performances")
@@ -164,7 +166,7 @@ def q14_dated_events(c: Corpus) -> DataFrame:
 
 @over("SELECT event_type, substr(perf_date, 1, 4) AS year, count(*) AS events FROM method_performances WHERE event_type ILIKE '%keyboard%' AND perf_date <> '' GROUP BY ALL", "method_performances")
 def q15_keyboard_events(c: Corpus) -> DataFrame:
-    return dated(c.method_performances).where(F.col("event_type").ilike("%keyboard%")).groupBy("event_type", F.substring("perf_date", 1, 4).alias("year")).agg(n.alias("events"))
+    return dated(c.method_performances).where(F.col("event_type").ilike("%keyboard%")).groupBy("event_type", F.substring("perf_date", 1, 4).alias("year")).agg(row_count().alias("events"))
 
 
 @over("""
@@ -175,7 +177,7 @@ def q16_virtual_debuts(c: Corpus) -> DataFrame:
     """Events in virtual rooms and how many of them are the method's first; a correlated minimum as a grouped one."""
     debut = dated(c.method_performances).groupBy("method_id").agg(F.min("perf_date").alias("debut"))
     rooms = c.method_performances.where(F.col("town").ilike("%ringing room%") | F.col("building").ilike("%ringing room%"))
-    return rooms.join(debut, "method_id", "left").agg(n.alias("events"), F.sum(F.when(F.col("perf_date") == F.col("debut"), 1).otherwise(0)).alias("debuts"))
+    return rooms.join(debut, "method_id", "left").agg(row_count().alias("events"), F.sum(F.when(F.col("perf_date") == F.col("debut"), 1).otherwise(0)).alias("debuts"))
 
 
 @over("SELECT DISTINCT method_id FROM performance_methods", "performance_methods")
@@ -199,8 +201,8 @@ def q19_footnotes_with_length(c: Corpus) -> DataFrame:
 SELECT count(*) AS footnotes, count(DISTINCT perf_id) AS performances_with_a_footnote, (SELECT count(*) FROM performances) AS performances_total
 FROM performance_footnotes WHERE footnote <> ''""", "performance_footnotes", "performances")
 def q20_footnote_denominators(c: Corpus) -> DataFrame:
-    notes = c.performance_footnotes.where("footnote <> ''").agg(n.alias("footnotes"), F.count_distinct("perf_id").alias("performances_with_a_footnote"))
-    return notes.join(c.performances.agg(n.alias("performances_total")))
+    notes = c.performance_footnotes.where("footnote <> ''").agg(row_count().alias("footnotes"), F.count_distinct("perf_id").alias("performances_with_a_footnote"))
+    return notes.join(c.performances.agg(row_count().alias("performances_total")))
 
 
 @over(f"""
@@ -215,7 +217,7 @@ def q21_daily_profile(c: Corpus) -> DataFrame:
     quiet = c.performance_footnotes.where(muffled(F.col("footnote"))).select("perf_id").distinct().withColumn("quiet", F.lit(1))
     changes = F.col("changes")
     return c.performances.where(F.col("perf_date").between(FIRST, LAST)).join(quiet, "perf_id", "left").groupBy(F.col("perf_date").alias("d")).agg(
-        n.alias("n"), truth_sum(F.col("ring_type") == "tower").alias("n_tower"), truth_sum(F.col("ring_type") == "hand").alias("n_hand"), truth_sum(changes >= 5000).alias("n_peal"),
+        row_count().alias("n"), truth_sum(F.col("ring_type") == "tower").alias("n_tower"), truth_sum(F.col("ring_type") == "hand").alias("n_hand"), truth_sum(changes >= 5000).alias("n_peal"),
         truth_sum((changes >= 1250) & (changes < 5000)).alias("n_quarter"), truth_sum(F.col("method").ilike("%tolling%")).alias("n_toll"),
         F.sum(F.coalesce("quiet", F.lit(0))).cast("long").alias("n_muffled"), F.count_distinct("dove_tower_id").alias("n_towers"),
     )
@@ -224,24 +226,24 @@ def q21_daily_profile(c: Corpus) -> DataFrame:
 @over(f"SELECT perf_date AS d, footnote, count(*) AS n FROM performance_footnotes JOIN performances USING (perf_id) WHERE perf_date BETWEEN '{FIRST}' AND '{LAST}' GROUP BY ALL HAVING count(*) >= 3", "performances", "performance_footnotes")
 def q22_day_footnotes(c: Corpus) -> DataFrame:
     days = c.performances.where(F.col("perf_date").between(FIRST, LAST)).select("perf_id", F.col("perf_date").alias("d"))
-    return c.performance_footnotes.join(days, "perf_id").groupBy("d", "footnote").agg(n.alias("n")).where("n >= 3")
+    return c.performance_footnotes.join(days, "perf_id").groupBy("d", "footnote").agg(row_count().alias("n")).where("n >= 3")
 
 
 @over(f"SELECT count(*) AS performances, count(DISTINCT perf_date) AS days, count(DISTINCT dove_ring_id) AS rings FROM performances WHERE perf_date BETWEEN '{FIRST}' AND '{LAST}'", "performances")
 def q23_window_totals(c: Corpus) -> DataFrame:
-    return c.performances.where(F.col("perf_date").between(FIRST, LAST)).agg(n.alias("performances"), F.count_distinct("perf_date").alias("days"), F.count_distinct("dove_ring_id").alias("rings"))
+    return c.performances.where(F.col("perf_date").between(FIRST, LAST)).agg(row_count().alias("performances"), F.count_distinct("perf_date").alias("days"), F.count_distinct("dove_ring_id").alias("rings"))
 
 
 @over("SELECT count(DISTINCT f.perf_id) * 1.0 / (SELECT count(*) FROM performances) AS rate FROM performance_footnotes f SEMI JOIN performances p ON p.perf_id = f.perf_id WHERE footnote ILIKE '%muffl%'", "performances", "performance_footnotes")
 def q24_muffled_base_rate(c: Corpus) -> DataFrame:
     """The muffled share of the whole corpus, not of the window."""
     quiet = c.performance_footnotes.where(muffled(F.col("footnote"))).join(c.performances, "perf_id", "left_semi").agg(F.count_distinct("perf_id").alias("quiet"))
-    return quiet.join(c.performances.agg(n.alias("n"))).select((F.col("quiet").cast("double") / F.col("n")).alias("rate"))
+    return quiet.join(c.performances.agg(row_count().alias("n"))).select((F.col("quiet").cast("double") / F.col("n")).alias("rate"))
 
 
 @over(f"SELECT method, perf_date AS d, count(*) AS n FROM performances WHERE method ILIKE '%tolling%' AND perf_date BETWEEN '{FIRST}' AND '{LAST}' GROUP BY ALL", "performances")
 def q25_toll_candidates(c: Corpus) -> DataFrame:
-    return c.performances.where(F.col("method").ilike("%tolling%") & F.col("perf_date").between(FIRST, LAST)).groupBy("method", F.col("perf_date").alias("d")).agg(n.alias("n"))
+    return c.performances.where(F.col("method").ilike("%tolling%") & F.col("perf_date").between(FIRST, LAST)).groupBy("method", F.col("perf_date").alias("d")).agg(row_count().alias("n"))
 
 
 @over("""
@@ -249,7 +251,7 @@ SELECT u.TowerID, Place, Dedicn, count(*) AS first_peals FROM method_performance
 WHERE event_type = 'firstTowerbellPeal' GROUP BY ALL ORDER BY first_peals DESC, u.TowerID LIMIT 20""", "method_performances", "towers_unique")
 def q26_busiest_towers(c: Corpus) -> DataFrame:
     """The 20 towers with most first peals, ties by tower; counted before the tower's names join."""
-    counts = tower_peals(c).groupBy(F.col("dove_tower_id").alias("TowerID")).agg(n.alias("first_peals"))
+    counts = tower_peals(c).groupBy(F.col("dove_tower_id").alias("TowerID")).agg(row_count().alias("first_peals"))
     return counts.join(c.towers_unique.select("TowerID", "Place", "Dedicn"), "TowerID").orderBy(F.desc("first_peals"), "TowerID").limit(20)
 
 
@@ -269,7 +271,7 @@ def q27_conductor_speed(c: Corpus) -> DataFrame:
     long = c.performances.where("ring_type = 'tower' AND changes > 5000").where(F.col("duration").ilike("%h%") & ~F.col("duration").ilike("%m%") & F.col("tenor").like("%-%-%"))
     timed = long.select("perf_id", (F.col("changes").cast("double") / duration_minutes(F.col("duration"))).alias("cpm"), tenor_weight(F.col("tenor")).alias("cwt"))
     some = timed.where("cwt >= 10 AND cwt < 16 AND cpm > 10 AND cpm < 60").join(c.performance_ringers.where("conductor = 1").select("perf_id", "name"), "perf_id")
-    each = some.groupBy("name").agg(n.alias("peals"), F.sum("cpm").alias("sum"), F.avg("cpm").alias("mean"))
+    each = some.groupBy("name").agg(row_count().alias("peals"), F.sum("cpm").alias("sum"), F.avg("cpm").alias("mean"))
     kept = F.col("peals") >= 20
     mean = lambda f: f(F.when(kept, F.col("mean")))
     return each.agg(
@@ -281,12 +283,12 @@ def q27_conductor_speed(c: Corpus) -> DataFrame:
 @over("SELECT method, perf_date, count(*) AS n FROM performances WHERE regexp_matches(method, '^[0-9]') AND method ILIKE '%tolling%' GROUP BY ALL HAVING count(*) >= 2", "performances")
 def q28_counted_tolls(c: Corpus) -> DataFrame:
     """Tolls that begin with a number, rung at least twice in a day."""
-    return c.performances.where(F.col("method").rlike("^[0-9]") & F.col("method").ilike("%tolling%")).groupBy("method", "perf_date").agg(n.alias("n")).where("n >= 2")
+    return c.performances.where(F.col("method").rlike("^[0-9]") & F.col("method").ilike("%tolling%")).groupBy("method", "perf_date").agg(row_count().alias("n")).where("n >= 2")
 
 
 @over("SELECT concat(substr(perf_date, 1, 3), '0s') AS decade, count(*) AS first_peals FROM method_performances WHERE event_type = 'firstTowerbellPeal' AND regexp_matches(perf_date, '^[0-9]{4}-') GROUP BY decade", "method_performances")
 def q29_first_peals_by_decade(c: Corpus) -> DataFrame:
-    return tower_peals(c).where(F.col("perf_date").rlike("^[0-9]{4}-")).groupBy(F.concat(F.substring("perf_date", 1, 3), F.lit("0s")).alias("decade")).agg(n.alias("first_peals"))
+    return tower_peals(c).where(F.col("perf_date").rlike("^[0-9]{4}-")).groupBy(F.concat(F.substring("perf_date", 1, 3), F.lit("0s")).alias("decade")).agg(row_count().alias("first_peals"))
 
 
 @over("""
@@ -304,24 +306,24 @@ def q30_founder_reach(c: Corpus) -> DataFrame:
 SELECT (SELECT count(*) FROM performances) AS performances, count(DISTINCT perf_id) AS with_a_method_link, count(*) AS method_links,
   (SELECT count(*) FROM performance_method_unresolved) AS unresolved FROM performance_methods""", "performances", "performance_methods", "performance_method_unresolved")
 def q31_linkage_coverage(c: Corpus) -> DataFrame:
-    links = c.performance_methods.agg(F.count_distinct("perf_id").alias("with_a_method_link"), n.alias("method_links"))
-    return c.performances.agg(n.alias("performances")).join(links).join(c.performance_method_unresolved.agg(n.alias("unresolved")))
+    links = c.performance_methods.agg(F.count_distinct("perf_id").alias("with_a_method_link"), row_count().alias("method_links"))
+    return c.performances.agg(row_count().alias("performances")).join(links).join(c.performance_method_unresolved.agg(row_count().alias("unresolved")))
 
 
 @over("SELECT confidence, count(*) AS links, count(DISTINCT perf_id) AS performances FROM performance_methods GROUP BY confidence", "performance_methods")
 def q32_links_by_confidence(c: Corpus) -> DataFrame:
-    return c.performance_methods.groupBy("confidence").agg(n.alias("links"), F.count_distinct("perf_id").alias("performances"))
+    return c.performance_methods.groupBy("confidence").agg(row_count().alias("links"), F.count_distinct("perf_id").alias("performances"))
 
 
 @over("SELECT reason, count(*) AS performances FROM performance_method_unresolved GROUP BY reason", "performance_method_unresolved")
 def q33_unresolved_by_reason(c: Corpus) -> DataFrame:
-    return c.performance_method_unresolved.groupBy("reason").agg(n.alias("performances"))
+    return c.performance_method_unresolved.groupBy("reason").agg(row_count().alias("performances"))
 
 
 @over("SELECT found_n - expected_n AS methods_off, count(*) AS performances FROM performance_method_unresolved WHERE reason = 'spliced_count_mismatch' AND expected_n IS NOT NULL GROUP BY 1", "performance_method_unresolved")
 def q34_methods_off(c: Corpus) -> DataFrame:
     rows = c.performance_method_unresolved.where("reason = 'spliced_count_mismatch' AND expected_n IS NOT NULL")
-    return rows.groupBy((F.col("found_n") - F.col("expected_n")).alias("methods_off")).agg(n.alias("performances"))
+    return rows.groupBy((F.col("found_n") - F.col("expected_n")).alias("methods_off")).agg(row_count().alias("performances"))
 
 
 @over("""
@@ -333,7 +335,7 @@ FROM counted WHERE total_perfs >= 10 AND 100.0 * county_perfs / total_perfs > 30
 def q35_method_regionalism(c: Corpus) -> DataFrame:
     """Counties with over 30 % of a method's performances, of at least 10 (thresholds of the bridged size)."""
     placed = c.performance_methods.join(c.performances.select("perf_id", "dove_tower_id"), "perf_id").join(c.towers_unique.where("County <> ''").select(F.col("TowerID").alias("dove_tower_id"), F.col("County").alias("dominant_county")), "dove_tower_id")
-    counts = placed.groupBy("method_id", "dominant_county").agg(n.alias("county_perfs")).withColumn("total_perfs", F.sum("county_perfs").over(Window.partitionBy("method_id")))
+    counts = placed.groupBy("method_id", "dominant_county").agg(row_count().alias("county_perfs")).withColumn("total_perfs", F.sum("county_perfs").over(Window.partitionBy("method_id")))
     pct = share(F.col("county_perfs"), F.col("total_perfs"))
     return counts.where((F.col("total_perfs") >= 10) & (pct > 30)).join(c.methods.select("method_id", F.col("title").alias("method")), "method_id").withColumn("concentration_pct", F.round(pct, 1))
 
@@ -344,7 +346,7 @@ FROM performance_methods JOIN performances USING (perf_id) JOIN methods USING (m
 def q36_most_rung_methods(c: Corpus) -> DataFrame:
     view = performance_methods_view(c.performance_methods, c.performances, c.methods)
     rung = view.groupBy("method_id", "method_title", "stage", "classification").agg(
-        n.alias("performances"), truth_sum(F.col("changes") >= 5000).alias("peals"), F.min("perf_date").alias("first_seen"), F.count_distinct("dove_tower_id").alias("rings"))
+        row_count().alias("performances"), truth_sum(F.col("changes") >= 5000).alias("peals"), F.min("perf_date").alias("first_seen"), F.count_distinct("dove_tower_id").alias("rings"))
     return rung.orderBy(F.desc("performances"), "method_id").limit(25)
 
 
@@ -354,7 +356,7 @@ FROM methods WHERE stage BETWEEN 4 AND 12 GROUP BY stage""", "methods", "perform
 def q37_never_rung(c: Corpus) -> DataFrame:
     """Methods of each stage without any link, whatever its confidence."""
     rung = c.performance_methods.select("method_id").distinct().withColumn("rung", F.lit(1))
-    return c.methods.where(F.col("stage").between(4, 12)).join(rung, "method_id", "left").groupBy("stage").agg(n.alias("methods_in_library"), F.sum(F.when(F.col("rung").isNull(), 1).otherwise(0)).alias("never_rung"))
+    return c.methods.where(F.col("stage").between(4, 12)).join(rung, "method_id", "left").groupBy("stage").agg(row_count().alias("methods_in_library"), F.sum(F.when(F.col("rung").isNull(), 1).otherwise(0)).alias("never_rung"))
 
 
 @over("""
@@ -364,8 +366,8 @@ FROM (SELECT trim(name) AS ringer, count(*) AS appearances, sum(CASE WHEN change
 def q38_peal_share_bands(c: Corpus) -> DataFrame:
     """Ringers by the share of peals in their appearances, in bands of ten per cent, the last one closed."""
     rung = c.performance_ringers.where(filled(F.col("name"))).join(c.performances.where("changes IS NOT NULL").select("perf_id", "changes"), "perf_id")
-    each = rung.groupBy(F.trim("name").alias("ringer")).agg(n.alias("appearances"), F.sum(F.when(F.col("changes") >= 5000, 1).otherwise(0)).alias("peals")).where("appearances >= 50")
-    return each.groupBy((10 * band(F.col("peals") / F.col("appearances"))).cast("long").alias("peal_share_band_pct")).agg(n.alias("ringers"), F.sum("appearances").alias("appearances_in_band"))
+    each = rung.groupBy(F.trim("name").alias("ringer")).agg(row_count().alias("appearances"), F.sum(F.when(F.col("changes") >= 5000, 1).otherwise(0)).alias("peals")).where("appearances >= 50")
+    return each.groupBy((10 * band(F.col("peals") / F.col("appearances"))).cast("long").alias("peal_share_band_pct")).agg(row_count().alias("ringers"), F.sum("appearances").alias("appearances_in_band"))
 
 
 def stated_night(practice: Column, days: int) -> Column:
@@ -378,7 +380,7 @@ def stated_night(practice: Column, days: int) -> Column:
 def night_agreement(c: Corpus, performances: DataFrame, stated: DataFrame, last: int, total: str) -> DataFrame:
     """Stated against busiest weekday of each tower with 20 or more short performances on Monday to `last`."""
     days = performances.where("changes IS NULL OR changes < 5000").withColumn("dow", weekday(F.col("perf_date"))).where(F.col("dow").between(1, last))
-    counts = days.groupBy(F.col("dove_tower_id").alias("TowerID"), "dow").agg(n.alias("n"))
+    counts = days.groupBy(F.col("dove_tower_id").alias("TowerID"), "dow").agg(row_count().alias("n"))
     busiest = counts.groupBy("TowerID").agg(F.sum("n").alias(total), F.min_by("dow", F.struct(-F.col("n"), "dow")).alias("busiest_dow")).where(F.col(total) >= 20)
     on_day = counts.select("TowerID", F.col("dow").alias("stated_dow"), F.col("n").alias("on_day"))
     return stated.where("stated_dow IS NOT NULL").join(busiest, "TowerID").join(on_day, ["TowerID", "stated_dow"], "left").select(
@@ -422,7 +424,7 @@ FROM counted WHERE total_perfs >= 50 AND 100.0 * county_perfs / total_perfs > 25
 def q41_regional_traditions(c: Corpus) -> DataFrame:
     """Strings rung mostly in one county (over 25 % at the bridged size), and whether the library knows them."""
     placed = c.tower_performances.where(filled(F.col("method")) & (F.col("County") != ""))
-    counts = placed.groupBy(F.trim("method").alias("method"), F.col("County").alias("dominant_county")).agg(n.alias("county_perfs")).withColumn("total_perfs", F.sum("county_perfs").over(Window.partitionBy("method")))
+    counts = placed.groupBy(F.trim("method").alias("method"), F.col("County").alias("dominant_county")).agg(row_count().alias("county_perfs")).withColumn("total_perfs", F.sum("county_perfs").over(Window.partitionBy("method")))
     known = c.methods.select(F.col("title").alias("method")).distinct().withColumn("known", F.lit(True))
     kept = counts.where((F.col("total_perfs") >= 50) & (share(F.col("county_perfs"), F.col("total_perfs")) > 25))
     return kept.join(known, "method", "left").withColumn("kind", F.when(F.col("known"), "library method").otherwise("not a library method")).drop("known")
@@ -438,9 +440,9 @@ FROM tp JOIN p USING (practice) JOIN a USING (county) WHERE county_total >= 500
 def q42_traditions_normalised(c: Corpus) -> DataFrame:
     """Practice by county of unresolved performances, against all output of the county and of the practice."""
     placed = c.tower_performances.where("County <> ''").select("perf_id", F.col("County").alias("county"))
-    county = placed.groupBy("county").agg(n.alias("county_total")).where("county_total >= 500")
+    county = placed.groupBy("county").agg(row_count().alias("county_total")).where("county_total >= 500")
     labels = c.traditions.where(~F.col("label").isin("unclassified", "multiple_methods")).select("perf_id", F.col("label").alias("practice"))
-    cells = placed.join(c.performance_method_unresolved.select("perf_id"), "perf_id", "left_semi").join(labels, "perf_id").groupBy("practice", "county").agg(n.alias("performances"))
+    cells = placed.join(c.performance_method_unresolved.select("perf_id"), "perf_id", "left_semi").join(labels, "perf_id").groupBy("practice", "county").agg(row_count().alias("performances"))
     cells = cells.withColumn("national_total", F.sum("performances").over(Window.partitionBy("practice"))).where("national_total >= 50").join(county, "county")
     pct = lambda whole: F.round(share(F.col("performances"), F.col(whole)), 2)
     return cells.withColumn("pct_of_county", pct("county_total")).withColumn("pct_of_national", pct("national_total"))
@@ -477,18 +479,18 @@ SELECT count(*) AS cohort_ringers, round(avg(early), 3) AS mean_early_position,
 def q45_ringing_careers(c: Corpus) -> DataFrame:
     """Place in the ring in the first and the last tenth of a career; ties in date by performance and place."""
     single = c.performance_ringers.where(filled(F.col("bell")) & ~F.col("bell").like("%-%"))
-    size = single.groupBy("perf_id").agg(n.alias("bells"))
+    size = single.groupBy("perf_id").agg(row_count().alias("bells"))
     tower = c.performances.where("ring_type = 'tower'").where(F.col("perf_date").rlike("^[0-9]{4}")).select("perf_id", "perf_date")
     rung = single.where(filled(F.col("name"))).join(tower, "perf_id").join(size, "perf_id").where(F.col("bell").try_cast("int").between(1, F.col("bells")))
     rung = rung.select(F.trim("name").alias("ringer"), "perf_id", "perf_date", (F.col("bell").try_cast("double") / F.col("bells")).alias("pos"), F.substring("perf_date", 1, 4).cast("int").alias("year"))
     career = Window.partitionBy("ringer")
-    ranked = rung.select("ringer", "pos", F.row_number().over(career.orderBy("perf_date", "perf_id", "pos")).alias("rn"), n.over(career).alias("n"), (F.max("year").over(career) - F.min("year").over(career)).alias("years"))
+    ranked = rung.select("ringer", "pos", F.row_number().over(career.orderBy("perf_date", "perf_id", "pos")).alias("rn"), row_count().over(career).alias("n"), (F.max("year").over(career) - F.min("year").over(career)).alias("years"))
     tenth = F.floor(F.col("n") / 10)
     each = ranked.where("n >= 50 AND years >= 5").groupBy("ringer").agg(
         F.avg(F.when(F.col("rn") <= tenth, F.col("pos"))).alias("early"), F.avg(F.when(F.col("rn") > F.col("n") - tenth, F.col("pos"))).alias("late"), (F.max("pos") - F.min("pos")).alias("span"))
     drift = F.col("late") - F.col("early")
     return each.agg(
-        n.alias("cohort_ringers"), F.round(F.avg("early"), 3).alias("mean_early_position"), F.round(F.avg("late"), 3).alias("mean_late_position"), F.round(F.avg("late") - F.avg("early"), 3).alias("mean_drift"),
+        row_count().alias("cohort_ringers"), F.round(F.avg("early"), 3).alias("mean_early_position"), F.round(F.avg("late"), 3).alias("mean_late_position"), F.round(F.avg("late") - F.avg("early"), 3).alias("mean_drift"),
         F.count_if(drift > 0.05).alias("moved_up"), F.count_if(drift < -0.05).alias("moved_down"), F.count_if(F.abs(drift) <= 0.05).alias("stayed"), F.round(F.avg("span"), 3).alias("mean_within_ringer_range"),
     )
 
@@ -498,14 +500,14 @@ def q46_group_territory(c: Corpus) -> DataFrame:
     """Bells of one group by county: joined to one row a tower, so shared towers don't count twice."""
     own = c.founders.where("founder_group = 'Group 2'").select(F.col("Name").alias("Founder"))
     here = c.bells.join(own, "Founder").join(c.towers_unique.select(F.col("TowerID").alias("Tower_ID"), "County"), "Tower_ID")
-    return here.groupBy("County").agg(n.alias("bells")).orderBy(F.desc("bells"), F.asc_nulls_first("County")).limit(15)
+    return here.groupBy("County").agg(row_count().alias("bells")).orderBy(F.desc("bells"), F.asc_nulls_first("County")).limit(15)
 
 
 @over("""
 SELECT perf_date, count(*) AS performances, CAST(sum(CAST(method ILIKE '%tolling%' AS INT)) AS BIGINT) AS tolling, count(DISTINCT dove_tower_id) AS rings
 FROM performances WHERE perf_date LIKE '1998-09%' GROUP BY perf_date ORDER BY performances DESC, perf_date LIMIT 8""", "performances")
 def q47_top_days_of_a_month(c: Corpus) -> DataFrame:
-    days = c.performances.where(F.col("perf_date").startswith("1998-09")).groupBy("perf_date").agg(n.alias("performances"), truth_sum(F.col("method").ilike("%tolling%")).alias("tolling"), F.count_distinct("dove_tower_id").alias("rings"))
+    days = c.performances.where(F.col("perf_date").startswith("1998-09")).groupBy("perf_date").agg(row_count().alias("performances"), truth_sum(F.col("method").ilike("%tolling%")).alias("tolling"), F.count_distinct("dove_tower_id").alias("rings"))
     return days.orderBy(F.desc("performances"), "perf_date").limit(8)
 
 
@@ -514,15 +516,15 @@ SELECT count(*) AS all_september, count(*) FILTER (WHERE perf_date NOT BETWEEN '
 FROM performances WHERE month(CAST(perf_date AS DATE)) = 9""", "performances")
 def q48_month_without_a_range(c: Corpus) -> DataFrame:
     autumn = c.performances.where(F.month(F.try_to_date("perf_date", "yyyy-MM-dd")) == 9)
-    return autumn.agg(n.alias("all_september"), F.count_if(~F.col("perf_date").between("1998-09-08", "1998-09-19")).alias("excluding_that_week"))
+    return autumn.agg(row_count().alias("all_september"), F.count_if(~F.col("perf_date").between("1998-09-08", "1998-09-19")).alias("excluding_that_week"))
 
 
 @over("SELECT CASE WHEN dove_tower_id IS NULL THEN 'unlinked' ELSE 'linked' END AS state, count(*) AS records FROM method_performances GROUP BY 1", "method_performances")
 def q49_linked_or_not(c: Corpus) -> DataFrame:
-    return c.method_performances.groupBy(F.when(F.col("dove_tower_id").isNull(), "unlinked").otherwise("linked").alias("state")).agg(n.alias("records"))
+    return c.method_performances.groupBy(F.when(F.col("dove_tower_id").isNull(), "unlinked").otherwise("linked").alias("state")).agg(row_count().alias("records"))
 
 
 @over("SELECT building, town, county, count(*) AS records FROM method_performances WHERE dove_tower_id IS NULL GROUP BY ALL ORDER BY records DESC, building, town, county LIMIT 20", "method_performances")
 def q50_top_unlinked_places(c: Corpus) -> DataFrame:
-    places = c.method_performances.where("dove_tower_id IS NULL").groupBy("building", "town", "county").agg(n.alias("records"))
+    places = c.method_performances.where("dove_tower_id IS NULL").groupBy("building", "town", "county").agg(row_count().alias("records"))
     return places.orderBy(F.desc("records"), "building", "town", "county").limit(20)

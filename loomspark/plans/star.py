@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.dialect import band
@@ -11,7 +11,9 @@ from loomspark.operators import calendar as C
 from loomspark.plans.registry import recorded
 from loomspark.sources.tables import table
 
-n = F.count("*")
+def row_count() -> Column:
+    return F.count("*")
+
 
 _DAYS = """
 days AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS seen FROM orders GROUP BY 1),
@@ -54,7 +56,7 @@ def event_labels(spark: SparkSession, folder: str) -> DataFrame:
     """The three most repeated labels of each event day."""
     events = C.anomalies(_daily(spark, folder), RATIO, LEAST).select("d")
     rows = table(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("d"), F.col("o_orderpriority").alias("label"))
-    counts = rows.join(events, "d", "left_semi").groupBy("d", "label").agg(n.alias("n"))
+    counts = rows.join(events, "d", "left_semi").groupBy("d", "label").agg(row_count().alias("n"))
     return A.top_per_key(counts, ["d"], [F.desc("n"), F.col("label")], 3)
 
 
@@ -64,7 +66,7 @@ def weekday_profile_net(spark: SparkSession, folder: str) -> DataFrame:
     """Weekday profile by year without event days."""
     days = _daily(spark, folder)
     quiet = days.join(C.anomalies(days, RATIO, LEAST).select("d"), "d", "left_anti")
-    return quiet.groupBy((F.dayofweek("d") - 1).alias("dow"), F.year("d").alias("year")).agg(F.sum("n").alias("n"), n.alias("days"))
+    return quiet.groupBy((F.dayofweek("d") - 1).alias("dow"), F.year("d").alias("year")).agg(F.sum("n").alias("n"), row_count().alias("days"))
 
 
 @recorded(f"""WITH {_DAYS} SELECT CAST(month(d) AS INT) AS month, CAST(sum(n) AS BIGINT) AS raw,
@@ -83,7 +85,7 @@ def moving_feast(spark: SparkSession, folder: str) -> DataFrame:
     """Orders on the second Sunday of November of each year, 0 where there are none."""
     orders = table(spark, folder, "orders")
     feasts = C.second_sunday_of_november(orders.select(F.year("o_orderdate").alias("year")).distinct())
-    counts = orders.groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(n.alias("seen"))
+    counts = orders.groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(row_count().alias("seen"))
     return feasts.join(counts, "d", "left").select("year", "d", F.coalesce("seen", F.lit(0)).alias("n"))
 
 
@@ -108,9 +110,9 @@ SELECT CAST(first AS INT) AS first_year, count(*) AS members, count(*) FILTER (W
 def cohort_attrition(spark: SparkSession, folder: str) -> DataFrame:
     """Members by first year, and how many were last seen by 2000; all and the active ones."""
     year = F.year("o_orderdate")
-    each = table(spark, folder, "orders").groupBy("o_custkey").agg(F.min(year).alias("first_year"), F.max(year).alias("last"), n.alias("n"))
+    each = table(spark, folder, "orders").groupBy("o_custkey").agg(F.min(year).alias("first_year"), F.max(year).alias("last"), row_count().alias("n"))
     gone, active = F.col("last") <= 2000, F.col("n") >= 12
-    return each.groupBy("first_year").agg(n.alias("members"), F.count_if(gone).alias("gone"), F.count_if(active).alias("active"), F.count_if(active & gone).alias("active_gone"))
+    return each.groupBy("first_year").agg(row_count().alias("members"), F.count_if(gone).alias("gone"), F.count_if(active).alias("active"), F.count_if(active & gone).alias("active_gone"))
 
 
 @recorded("""
@@ -120,33 +122,33 @@ SELECT count(*) AS cohort, count(*) FILTER (WHERE late / early - 1 > 0.05) AS up
 def career_drift(spark: SparkSession, folder: str) -> DataFrame:
     """First against last tenth of each customer's orders, at least one order each."""
     own = Window.partitionBy("o_custkey")
-    ranked = table(spark, folder, "orders").select("o_custkey", "o_totalprice", F.row_number().over(own.orderBy("o_orderdate", "o_orderkey")).alias("rn"), n.over(own).alias("n")).where("n >= 10")
+    ranked = table(spark, folder, "orders").select("o_custkey", "o_totalprice", F.row_number().over(own.orderBy("o_orderdate", "o_orderkey")).alias("rn"), row_count().over(own).alias("n")).where("n >= 10")
     k = F.greatest(F.lit(1), F.floor(F.col("n") / 10))
     each = ranked.groupBy("o_custkey").agg(F.avg(F.when(F.col("rn") <= k, F.col("o_totalprice"))).alias("early"), F.avg(F.when(F.col("rn") > F.col("n") - k, F.col("o_totalprice"))).alias("late"))
     drift = F.col("late") / F.col("early") - 1
-    return each.agg(n.alias("cohort"), F.count_if(drift > 0.05).alias("up"), F.count_if(drift < -0.05).alias("down"), F.count_if(F.abs(drift) <= 0.05).alias("stayed"))
+    return each.agg(row_count().alias("cohort"), F.count_if(drift > 0.05).alias("up"), F.count_if(drift < -0.05).alias("down"), F.count_if(F.abs(drift) <= 0.05).alias("stayed"))
 
 
 @recorded("SELECT CAST(least(floor(10 * (high / total)), 9) AS BIGINT) AS band, count(*) AS customers FROM (SELECT o_custkey, sum(CASE WHEN o_totalprice >= 250000 THEN 1.0::DOUBLE ELSE 0.0 END) AS high, count(*) AS total FROM orders GROUP BY 1) GROUP BY 1")
 def share_bands(spark: SparkSession, folder: str) -> DataFrame:
     """Customers by the share of large orders."""
-    each = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_totalprice") >= 250000).alias("high"), n.alias("total"))
-    return each.groupBy(band(F.col("high") / F.col("total")).cast("long").alias("band")).agg(n.alias("customers"))
+    each = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_totalprice") >= 250000).alias("high"), row_count().alias("total"))
+    return each.groupBy(band(F.col("high") / F.col("total")).cast("long").alias("band")).agg(row_count().alias("customers"))
 
 
 @recorded("SELECT t AS threshold, count(*) FILTER (WHERE n >= t) AS rows, CAST(coalesce(sum(n) FILTER (WHERE n >= t), 0) AS BIGINT) AS total FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey), (VALUES (1), (5), (10), (12), (15), (20)) v(t) GROUP BY t")
 def threshold_ladder(spark: SparkSession, folder: str) -> DataFrame:
-    return A.ladder(table(spark, folder, "orders").groupBy("o_custkey").agg(n.alias("n")), "n", [1, 5, 10, 12, 15, 20])
+    return A.ladder(table(spark, folder, "orders").groupBy("o_custkey").agg(row_count().alias("n")), "n", [1, 5, 10, 12, 15, 20])
 
 
 @recorded("SELECT CAST(CASE WHEN l_quantity <= 5 THEN 0 WHEN l_quantity <= 10 THEN 1 WHEN l_quantity <= 25 THEN 2 WHEN l_quantity <= 40 THEN 3 ELSE 4 END AS INT) AS bin, count(*) AS n FROM lineitem GROUP BY 1")
 def uneven_bins(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").groupBy(A.edge_bins(F.col("l_quantity"), [5, 10, 25, 40]).alias("bin")).agg(n.alias("n"))
+    return table(spark, folder, "lineitem").groupBy(A.edge_bins(F.col("l_quantity"), [5, 10, 25, 40]).alias("bin")).agg(row_count().alias("n"))
 
 
 @recorded("SELECT k, (SELECT count(*) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) c WHERE c.n <= k) AS at_most FROM (SELECT unnest(generate_series(0, 30)) AS k)")
 def conducting_curve(spark: SparkSession, folder: str) -> DataFrame:
-    return A.cumulative_curve(table(spark, folder, "orders").groupBy("o_custkey").agg(n.alias("n")), "n", 30)
+    return A.cumulative_curve(table(spark, folder, "orders").groupBy("o_custkey").agg(row_count().alias("n")), "n", 30)
 
 
 @recorded("SELECT l_partkey, l_returnflag, n FROM (SELECT l_partkey, l_returnflag, count(*) AS n, row_number() OVER (PARTITION BY l_partkey ORDER BY count(*) DESC, l_returnflag) AS p FROM lineitem GROUP BY l_partkey, l_returnflag) WHERE p = 1")
@@ -205,7 +207,7 @@ def union_distinct_sources(spark: SparkSession, folder: str) -> DataFrame:
 def family_earliest(spark: SparkSession, folder: str) -> DataFrame:
     """The first-shipped part of each name with several parts, ties by key."""
     first = table(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_shipdate").cast("date").alias("first_date"))
-    each = table(spark, folder, "part").join(first, "p_partkey").groupBy("p_name").agg(F.min(F.struct("first_date", "p_partkey", "p_size")).alias("b"), n.alias("members"))
+    each = table(spark, folder, "part").join(first, "p_partkey").groupBy("p_name").agg(F.min(F.struct("first_date", "p_partkey", "p_size")).alias("b"), row_count().alias("members"))
     return each.where("members > 1").select("p_name", "b.p_size", "b.p_partkey", "b.first_date")
 
 
@@ -218,7 +220,7 @@ def first_event_deterministic(spark: SparkSession, folder: str) -> DataFrame:
 
 @recorded("SELECT event_type, CAST(json_extract(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_props(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").groupBy("event_type", F.from_json("props", "k int")["k"].alias("k")).agg(n.alias("n"))
+    return table(spark, folder, "events").groupBy("event_type", F.from_json("props", "k int")["k"].alias("k")).agg(row_count().alias("n"))
 
 
 @recorded("""
@@ -274,7 +276,7 @@ SELECT 'customer' AS kind, c AS id, 1 + CAST(0.5 AS DOUBLE) * count(*) AS weight
 def nexus_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """The nodes of a two-kind graph with the weight of their touches."""
     links = table(spark, folder, "orders").join(table(spark, folder, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s"))
-    kind = lambda name, own, other, w: links.groupBy(F.col(own).alias("id")).agg(n.alias("n"), F.count_distinct(other).alias("links")).select(F.lit(name).alias("kind"), "id", (1 + w * F.col("n")).alias("weight"), "links")
+    kind = lambda name, own, other, w: links.groupBy(F.col(own).alias("id")).agg(row_count().alias("n"), F.count_distinct(other).alias("links")).select(F.lit(name).alias("kind"), "id", (1 + w * F.col("n")).alias("weight"), "links")
     return kind("customer", "c", "s", 0.5).union(kind("supplier", "s", "c", 0.2))
 
 
@@ -284,15 +286,15 @@ def lineage_families(spark: SparkSession, folder: str) -> DataFrame:
     """Each family's members, stages in order and most common class."""
     parts = table(spark, folder, "part")
     modal = A.most_common(parts, ["p_brand"], "p_type").select("p_brand", F.col("p_type").alias("modal_class"))
-    each = parts.groupBy("p_brand").agg(n.alias("members"), F.array_join(F.transform(F.array_sort(F.collect_set("p_size")), lambda x: x.cast("string")), ",").alias("stages"), F.min("p_partkey").alias("first_member"))
+    each = parts.groupBy("p_brand").agg(row_count().alias("members"), F.array_join(F.transform(F.array_sort(F.collect_set("p_size")), lambda x: x.cast("string")), ",").alias("stages"), F.min("p_partkey").alias("first_member"))
     return each.join(modal, "p_brand").withColumnRenamed("p_brand", "family")
 
 
 @recorded("SELECT count(*) AS orders, (SELECT count(*) FROM lineitem) AS lines, (SELECT count(DISTINCT o_custkey) FROM orders) AS customers, (SELECT count(*) FROM part) AS parts FROM orders")
 def headline_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Four counts."""
-    orders = table(spark, folder, "orders").agg(n.alias("orders"), F.count_distinct("o_custkey").alias("customers"))
-    return orders.join(table(spark, folder, "lineitem").agg(n.alias("lines"))).join(table(spark, folder, "part").agg(n.alias("parts")))
+    orders = table(spark, folder, "orders").agg(row_count().alias("orders"), F.count_distinct("o_custkey").alias("customers"))
+    return orders.join(table(spark, folder, "lineitem").agg(row_count().alias("lines"))).join(table(spark, folder, "part").agg(row_count().alias("parts")))
 
 
 @recorded("""WITH d AS (SELECT l_partkey, min(CAST(l_shipdate AS DATE)) AS debut FROM lineitem GROUP BY 1)
@@ -300,7 +302,7 @@ SELECT CAST(year(debut) AS INT) AS year, CAST(p_size % 9 + 4 AS INT) AS stage, p
 def debuts_by_year(spark: SparkSession, folder: str) -> DataFrame:
     """Debuts by year, stage and class, and the days that they share."""
     debut = table(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_shipdate").cast("date").alias("debut"))
-    return debut.join(table(spark, folder, "part"), "p_partkey").groupBy(F.year("debut").alias("year"), (F.col("p_size") % 9 + 4).alias("stage"), F.col("p_type").alias("class")).agg(n.alias("debuts"), F.count_distinct("debut").alias("days"))
+    return debut.join(table(spark, folder, "part"), "p_partkey").groupBy(F.year("debut").alias("year"), (F.col("p_size") % 9 + 4).alias("stage"), F.col("p_type").alias("class")).agg(row_count().alias("debuts"), F.count_distinct("debut").alias("days"))
 
 
 @recorded("SELECT p_partkey, p_name FROM part WHERE p_size BETWEEN 5 AND 20 AND p_type = 'ECONOMY' AND p_name ILIKE '%RING%' ORDER BY p_partkey LIMIT 240")
@@ -318,4 +320,4 @@ def window_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 @recorded("SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS sum_qty, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY ALL")
 def pricing_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").where(F.col("l_shipdate") <= F.lit("2000-09-02").cast("timestamp")).groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("sum_qty"), n.alias("count_order"))
+    return table(spark, folder, "lineitem").where(F.col("l_shipdate") <= F.lit("2000-09-02").cast("timestamp")).groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("sum_qty"), row_count().alias("count_order"))

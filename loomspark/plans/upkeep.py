@@ -128,3 +128,26 @@ def view_first_tower_peals(spark: SparkSession, folder: str) -> DataFrame:
 def view_performance_methods(spark: SparkSession, folder: str) -> DataFrame:
     c = Corpus(spark, folder)
     return V.performance_methods_view(c.performance_methods, c.performances, c.methods).select("perf_id", "method_id", "method_title", "stage", "perf_date")
+
+
+@recorded("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS begins, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS ends, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """An extension: the streaming aggregation on the finished table."""
+    from loomspark.streaming.increments import tumbling
+
+    return tumbling(table(spark, folder, "events"))
+
+
+@recorded("""WITH w AS (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS begins FROM events) SELECT begins, begins + INTERVAL 2 HOUR AS ends, count(*) AS n FROM w GROUP BY ALL""")
+def sliding_windows(spark: SparkSession, folder: str) -> DataFrame:
+    from loomspark.streaming.increments import sliding
+
+    return sliding(table(spark, folder, "events"))
+
+
+@recorded("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS begins, max(ts) + INTERVAL 30 MINUTE AS ends, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(spark: SparkSession, folder: str) -> DataFrame:
+    from loomspark.streaming.increments import sessions
+
+    return sessions(table(spark, folder, "events"))
