@@ -408,7 +408,10 @@ def q39_practice_night(c: Corpus) -> DataFrame:
     return night_agreement(c, c.tower_performances, stated.withColumn("stated_dow", stated_night(F.col("Practice"), 6)), 6, "total_non_sun_perfs")
 
 
-@over(_night_sql("performances", "false", "AND Practice NOT ILIKE '%alt%' AND Practice NOT ILIKE '%arrangement%'", 5, "Mon Tue Wed Thu Fri", "total_weekday"), "performances", "dove")
+WEEKNIGHTS = _night_sql("performances", "false", "AND Practice NOT ILIKE '%alt%' AND Practice NOT ILIKE '%arrangement%'", 5, "Mon Tue Wed Thu Fri", "total_weekday")
+
+
+@over(WEEKNIGHTS, "performances", "dove")
 def q40_practice_weeknight(c: Corpus) -> DataFrame:
     """Monday to Friday, over all performances with a tower; the wording is judged row by row."""
     rows = c.dove.where("Practice <> ''").where(~F.col("Practice").ilike("%alt%") & ~F.col("Practice").ilike("%arrangement%"))
