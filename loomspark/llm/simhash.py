@@ -19,8 +19,9 @@ from loomspark.llm.expressions import whole
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-#: Fingerprints that a leaf of a tree should have, that the trees are built from for each leaf, and that a cell compares.
-LEAF, SAMPLE, CELL = 1024, 32, 8192
+#: Fingerprints that a leaf of a tree should have, that the trees are built from for each leaf, and that a cell takes of
+#: either kind; fingerprints that a leaf of a cell's own tree should have.
+LEAF, SAMPLE, CELL, TINY = 16384, 32, 32768, 128
 #: Leaves of a tree at most; past that leaves grow and split into more cells.
 MOST_LEAVES = 1 << 14
 
@@ -134,14 +135,28 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def near_edges(seek: np.ndarray, home: np.ndarray, radius: int = RADIUS, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (u, v) of the links between `seek` and `home` (uint64): all are compared, not all are kept."""
+def near_edges(seek: np.ndarray, home: np.ndarray, half: int, radius: int = RADIUS, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (u, v) of the links between `seek` and `home` (uint64) that differ in radius // 2 bits or fewer of a half.
+
+    A tree over those at home, again, prunes what a seeker is compared with; homes that no point tells apart are compared whole.
+    """
     nodes = np.unique(np.concatenate((seek, home)))
     at_seek, at_home, label = np.searchsorted(nodes, seek), np.searchsorted(nodes, home), np.arange(len(nodes))
-    step = max(1, block // max(1, len(home)))
-    for k in range(0, len(seek), step):
-        r, c = np.nonzero(np.bitwise_count(seek[k : k + step, None] ^ home[None, :]) <= radius)
-        merge(label, at_seek[k + r], at_home[c])
+
+    def compare(own: np.ndarray, there: np.ndarray) -> None:
+        step = max(1, block // max(1, len(there)))
+        for k in range(0, len(own), step):
+            r, c = np.nonzero(np.bitwise_count(seek[own[k : k + step], None] ^ home[None, there]) <= radius)
+            merge(label, at_seek[own[k + r]], at_home[there[c]])
+
+    h = _halves(home)[half]
+    tree = Tree.build(h, len(home) // TINY, 0)
+    (hr, hl), (sr, sl) = tree.descend(h, 0), tree.descend(_halves(seek)[half], radius // 2)
+    hr, hl = hr[o := np.argsort(hl, kind="stable")], hl[o]
+    sr, sl = sr[o := np.argsort(sl, kind="stable")], sl[o]
+    for leaf in range(len(tree.point) + 1):
+        homes, seeks = slice(*np.searchsorted(hl, (leaf, leaf + 1))), slice(*np.searchsorted(sl, (leaf, leaf + 1)))
+        compare(sr[seeks], hr[homes])
     moved = np.nonzero(label != np.arange(len(nodes)))[0]
     return nodes[moved], nodes[label[moved]]
 
@@ -152,8 +167,8 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     Of two fingerprints that close, one 32-bit half differs in radius // 2 bits at most. So there
     is a vantage-point tree for each half, built from a sample of SAMPLE fingerprints a leaf and
     at most MOST_LEAVES leaves (4 MB). Each fingerprint has its home in one leaf of each tree
-    and seeks in all leaves that the triangle bound leaves open at radius // 2. A leaf compares
-    all that seek with all at home, in cells of about CELL by CELL, whatever their numbers.
+    and seeks in all leaves that the triangle bound leaves open at radius // 2. A leaf's seekers
+    meet those at home in cells of about CELL by CELL, whatever their numbers, by trees of their own.
     """
     ship(distinct.sparkSession)
     leaves = int(min(MOST_LEAVES, max(1, count // LEAF)))
@@ -188,10 +203,10 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
         .select("fp", "home", "leaf", F.explode("h").alias("h"), "s").select("fp", "home", "leaf", "h", F.explode("s").alias("s"))
     )
 
-    def compare(cell: pa.Table) -> pa.Table:
+    def compare(key: tuple, cell: pa.Table) -> pa.Table:
         fp = cell.column("fp").to_numpy().view(np.uint64)
         home = cell.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        u, v = near_edges(fp[~home], fp[home], radius)
+        u, v = near_edges(fp[~home], fp[home], key[0].as_py() % 2, radius)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     return cells.groupBy("leaf", "h", "s").applyInArrow(compare, "u long, v long")

@@ -272,12 +272,12 @@ def test_trees_lose_no_link(spark):
     from loomspark.llm.components import components
 
     # leaves and cells small enough that many of each are in use
-    old = simhash.LEAF, simhash.CELL
-    simhash.LEAF, simhash.CELL = 64, 50
+    old = simhash.LEAF, simhash.CELL, simhash.TINY
+    simhash.LEAF, simhash.CELL, simhash.TINY = 64, 50, 8
     try:
         roots = {r["node"]: r["root"] for r in components(simhash.links(df, len(fp))).collect()}
     finally:
-        simhash.LEAF, simhash.CELL = old
+        simhash.LEAF, simhash.CELL, simhash.TINY = old
     ours = defaultdict(set)
     for x in fp.view(np.int64).tolist():
         ours[roots.get(x, x)].add(x)
