@@ -6,23 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import audio, chat, html, licenses, mixing, packing, quality, rules, sharding, simhash
-from loomspark.sources.tables import table
+from loomspark.sources.tables import spread, table
+
+
+def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text", *columns))
 
 
 def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, folder, "documents"))
+    return licenses.scan_licenses(documents(spark, folder))
 
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.judge(table(spark, folder, "documents"))
+    return rules.judge(documents(spark, folder))
 
 
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"))
+    return packing.pack(documents(spark, folder))
 
 
 def op4_html(spark: SparkSession, folder: str) -> DataFrame:
-    return html.extract(table(spark, folder, "pages"))
+    return html.extract(spread(table(spark, folder, "pages")))
 
 
 def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,19 +37,19 @@ def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    return sharding.shard_by_bytes(table(spark, folder, "documents"))
+    return sharding.shard_by_bytes(documents(spark, folder))
 
 
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash.component_ids(table(spark, folder, "documents"))
+    return simhash.component_ids(documents(spark, folder))
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, folder, "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     model = quality.train(docs, table(spark, folder, "labels"))
     return quality.with_score(docs, model).select(
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
@@ -53,7 +57,7 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_audio(spark: SparkSession, folder: str) -> DataFrame:
-    made = audio.audio_columns(table(spark, folder, "documents"))
+    made = audio.audio_columns(documents(spark, folder))
     payload = F.substring("media", audio.HEADER + 1, 2147483647)
     return made.withColumn("payload", payload).select(
         "doc_id",
