@@ -125,7 +125,7 @@ no-warranty | warranty | (without warranty of any kind|as is without warranty)
 """
 
 #: Words without which a text is not looked at: every rule's text has one of them.
-ANCHORS = ("licen", "cc by", "cc0", "gpl", "copyright", "rights reserved", "public domain", "spdx", "commons", "unlicense", "redistribution and use", "permission ", "altered source versions", "warranty", "confidential", "asl 2 0", "openrail", "open rail", "zero clause")
+ANCHORS = ("licen", "cc by", "cc0", "gpl", "copyright", "rights reserved", "public domain", "spdx", "commons", "unlicense", "redistribution and use", "permission ", "altered source versions", "warranty", "confidential", "asl 2 0", "openrail", "open rail", "zero clause", "mit no attribution")
 #: A detection's trust by priority class: tag, grant, name, address, notice.
 TRUST = (1.0, 0.95, 0.9, 0.8, 0.5)
 
@@ -134,7 +134,7 @@ def signature_rules() -> list[dict]:
     """The rules in order: no (place), class (priority, 0 first), label, keyword, regex.
 
     Each license gives rules for its identifier tag, for its names in a grant, for its names
-    alone and for its address; NOTICES come last. All work on words joined by single spaces.
+    alone and for its address (two for those of Creative Commons); NOTICES come last. All work on words joined by single spaces.
     """
     rows = [[x.strip() for x in line.split("|", 2)] for line in LICENSES.strip().splitlines()]
     out = []
@@ -152,6 +152,10 @@ def signature_rules() -> list[dict]:
             add(2, label, _sure(name), name.strip())
     for label, tag, names in rows:
         add(3, label, tag, f"(opensource|spdx|choosealicense|creativecommons) (org|com) licenses {tag}( html)?")
+    for label, tag, names in rows:
+        if label.startswith("cc"):
+            path = "publicdomain zero 1 0" if label == "cc0-1.0" else f"licenses {tag.removeprefix('cc ')}"
+            add(3, label, f"creativecommons org {path}", f"creativecommons org {path}")
     for line in NOTICES.strip().splitlines():
         label, keyword, regex = (x.strip() for x in line.split(" | ", 2))
         add(4, label, keyword, regex)
@@ -162,7 +166,7 @@ def _sure(name: str) -> str:
     """The longest run of plain words that every match of the regex `name` has: its keyword."""
     import re
 
-    plain = re.sub(r"\([^()]*\)\??|\S\?|\[[^\]]*\]", "\n", name.strip())
+    plain = re.sub(r"\([^()]*\)\??|.\?|\[[^\]]*\]", "\n", name.strip())
     return max((x.strip() for x in plain.split("\n")), key=len)
 
 

@@ -98,6 +98,70 @@ def test_license_rules_are_sound():
         assert r["keyword"]
 
 
+def spelt(pattern):
+    """All texts that a regex of groups, classes and optional parts matches, one for each repeat."""
+    import itertools
+    from re import _constants as C
+    from re import _parser
+
+    def of(tree):
+        parts = []
+        for op, arg in tree:
+            if op is C.LITERAL:
+                parts.append([chr(arg)])
+            elif op is C.IN:
+                parts.append([chr(a) if o is C.LITERAL else {C.CATEGORY_DIGIT: "7", C.CATEGORY_NOT_SPACE: "x"}[a] for o, a in arg])
+            elif op is C.MAX_REPEAT:
+                low, high, inner = arg
+                parts.append(([""] if low == 0 else []) + of(inner))
+            elif op is C.SUBPATTERN:
+                parts.append(of(arg[3]))
+            elif op is C.BRANCH:
+                parts.append([x for b in arg[1] for x in of(b)])
+            else:
+                assert op is C.ASSERT, op
+        return ["".join(x) for x in itertools.product(*parts)]
+
+    return of(_parser.parse(pattern))
+
+
+def test_license_rules_pass_their_own_gates():
+    for r in licenses.signature_rules():
+        for text in spelt(r["regex"]):
+            assert re.search(r["regex"], f"{text} "), r
+            assert r["keyword"] in text, (r, text)
+            assert any(a in text for a in licenses.ANCHORS), (r, text)
+
+
+def test_license_spelt_out_names(spark):
+    cases = {
+        "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa-4.0",
+        "Creative Commons Attribution-NonCommercial 3.0 Unported": "cc-by-nc-3.0",
+        "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0": "cc-by-nc-nd-4.0",
+        "Creative Commons Attribution-NoDerivs 3.0": "cc-by-nd-3.0",
+        "released under the Beerware License": "beerware",
+        "under OpenRAIL-M": "openrail",
+        "MIT No Attribution": "mit-0",
+        "http://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa-4.0",
+        "http://creativecommons.org/publicdomain/zero/1.0/": "cc0-1.0",
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
+def test_license_labels_equal_ungated_rules(docs):
+    """As test_license_labels_equal_brute_force, with neither keywords nor anchors."""
+    want = Counter()
+    for i, t, _ in texts(docs):
+        norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))) + " "
+        found = [(m.start(), m.end(), r["class"], r["no"], r["label"]) for r in licenses.signature_rules() for m in re.finditer(r["regex"], norm)]
+        inside = lambda d, e: e is not d and e[0] <= d[0] and d[1] <= e[1] and (e[2] < d[2] or e[2] == d[2] and (e[:2] != d[:2] or e[3] < d[3]))
+        base = {name for phrase, name in licenses.BASE if f" {phrase} " in norm}
+        want[i, ",".join(sorted(base | {d[4] for d in found if not any(inside(d, e) for e in found)}))] += 1
+    assert by_row(licenses.scan_licenses(docs), "doc_id", "labels") == want
+
+
 def facts(t):
     w = WORD.findall(t)
     grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
