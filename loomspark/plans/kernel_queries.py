@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ GOLDEN = (
 )
 _VALUES = ", ".join(f"('{t}', {s}, '{x}', '{h}')" for t, s, x, h in GOLDEN)
 MINOR, CALLS = "-16-16-16", {"p": "12", "b": "14", "s": "1234"}
+#: The search's method, Cambridge Surprise Major, at eight bells.
+MAJOR = "-38-14-1258-36-14-58-16-78"
 
 
 def methods(spark: SparkSession) -> DataFrame:
@@ -48,6 +52,13 @@ def lead_lengths(spark: SparkSession, folder: str) -> DataFrame:
     return methods(spark).where(F.col("title").isin("Plain Bob Minor", "Cambridge Surprise Minor")).select("title", F.size(K.lead_rows(F.col("notation"), F.col("stage"))).alias("rows"))
 
 
+@recorded(f"""WITH m AS (SELECT *, len(regexp_extract_all(split_part(notation, ',', 1), '[-xX]|[^-xX.]+')) AS a, len(regexp_extract_all(split_part(notation, ',', 2), '[-xX]|[^-xX.]+')) AS b FROM (VALUES {_VALUES}) t(title, stage, notation, lead_head))
+SELECT title, CASE WHEN b > 0 THEN 2 * a - 1 + b ELSE a END + 1 AS rows FROM m""")
+def lead_lengths_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of a lead, rounds included, of all methods."""
+    return methods(spark).select("title", F.size(K.lead_rows(F.col("notation"), F.col("stage"))).alias("rows"))
+
+
 @recorded("SELECT title, true AS true FROM (VALUES " + ", ".join(f"('{t}')" for t, *_ in GOLDEN) + ") t(title)")
 def lead_truth(spark: SparkSession, folder: str) -> DataFrame:
     """K8: no row stands twice in a plain lead."""
@@ -63,19 +74,28 @@ def course_head_graph(spark: SparkSession, folder: str) -> DataFrame:
     return steps.groupBy("call").agg(F.count("*").alias("heads"), F.count_distinct("next_head").alias("next_heads"))
 
 
-@recorded()
-def false_heads(spark: SparkSession, folder: str) -> DataFrame:
-    """K10 at six bells; tested against a brute-force version."""
-    return K.false_heads(K.head_rows(K.course_heads(spark, 6), MINOR, CALLS["p"], 6))
+@recorded("SELECT call, 5040 AS heads, 5040 AS next_heads FROM (VALUES ('p'), ('b'), ('s')) t(call)")
+def course_head_graph_major(spark: SparkSession, folder: str) -> DataFrame:
+    """K9 at eight bells, as searched: each call leads from the 5,040 heads to 5,040 different ones."""
+    steps = K.transitions(K.course_heads(spark, 8), MAJOR, CALLS, 8)
+    return steps.groupBy("call").agg(F.count("*").alias("heads"), F.count_distinct("next_head").alias("next_heads"))
+
+
+def false_heads(spark: SparkSession, folder: str, body: str = MINOR, stage: int = 6) -> DataFrame:
+    """K10, at six bells if not told otherwise; tested against a brute-force version."""
+    return K.false_heads(K.head_rows(K.course_heads(spark, stage), body, CALLS["p"], stage))
+
+
+def head_music(spark: SparkSession, folder: str, body: str = MINOR, stage: int = 6) -> DataFrame:
+    """K11, K12, at six bells if not told otherwise; tested against a brute-force version."""
+    return K.musicality(K.head_rows(K.course_heads(spark, stage), body, CALLS["p"], stage), stage)
 
 
-@recorded()
-def head_music(spark: SparkSession, folder: str) -> DataFrame:
-    """K11, K12 at six bells; tested against a brute-force version."""
-    return K.musicality(K.head_rows(K.course_heads(spark, 6), MINOR, CALLS["p"], 6), 6)
+def composition_search(spark: SparkSession, folder: str, body: str = MINOR, stage: int = 6, least: int = 2, most: int = 12, width: int = 30) -> DataFrame:
+    """K13, at six bells if not told otherwise: the paths are replayed row by row in the tests."""
+    return search(spark, body, CALLS, stage, least, most, width)
 
 
-@recorded()
-def composition_search(spark: SparkSession, folder: str) -> DataFrame:
-    """K13 at six bells: the paths are replayed row by row in the tests."""
-    return search(spark, MINOR, CALLS, 6, 2, 12, 30)
+# Recorded at the size of the reference: Cambridge Surprise Major, 39 to 42 leads, beams of 100.
+for _f, _sizes in ((false_heads, ()), (head_music, ()), (composition_search, (39, 42, 100))):
+    recorded()(wraps(_f)(lambda spark, folder, f=_f, sizes=_sizes: f(spark, folder, MAJOR, 8, *sizes)))

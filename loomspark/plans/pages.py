@@ -92,10 +92,27 @@ def verified_methods(spark: SparkSession, folder: str) -> DataFrame:
     return right.where(F.col("stage").isin(6, 8, 10, 12)).groupBy("stage").agg(F.count("*").alias("verified"))
 
 
+#: The most leads after which an order of up to 16 bells comes back.
+LONGEST = 140
+
+
 @recorded("SELECT * FROM (VALUES ('Plain Bob Minor', 5, 61), ('Plain Bob Major', 7, 113), ('Cambridge Surprise Minor', 5, 121)) t(title, leads, rows)")
 def plain_courses(spark: SparkSession, folder: str) -> DataFrame:
     """Leads of the plain course until rounds come back, and its rows with both rounds."""
-    heads = methods(spark).where(F.col("title").isin("Plain Bob Minor", "Plain Bob Major", "Cambridge Surprise Minor")).select("title", "stage", F.split("lead_head", "").alias("end"), F.size(kernel.expand(F.col("notation"), "mirror_drop_last")).alias("lead"))
+    return _courses(methods(spark).where(F.col("title").isin("Plain Bob Minor", "Plain Bob Major", "Cambridge Surprise Minor")))
+
+
+@recorded(f"""WITH RECURSIVE m AS (SELECT title, lead_head, left('1234567890ETABCD', stage) AS first, len(regexp_extract_all(split_part(notation, ',', 1), '[-xX]|[^-xX.]+')) AS a, len(regexp_extract_all(split_part(notation, ',', 2), '[-xX]|[^-xX.]+')) AS b FROM (VALUES {_VALUES}) t(title, stage, notation, lead_head)),
+c AS (SELECT title, first, lead_head, CASE WHEN b > 0 THEN 2 * a - 1 + b ELSE a END AS lead, lead_head AS here, 1 AS leads FROM m
+UNION ALL SELECT title, first, lead_head, lead, array_to_string([substr(here, strpos(first, substr(lead_head, CAST(i AS INT), 1)), 1) for i in range(1, length(first) + 1)], ''), leads + 1 FROM c WHERE here <> first)
+SELECT title, max(leads) AS leads, max(leads) * any_value(lead) + 1 AS rows FROM c GROUP BY title""")
+def plain_courses_all(spark: SparkSession, folder: str) -> DataFrame:
+    """N23 for all methods."""
+    return _courses(methods(spark))
+
+
+def _courses(found: DataFrame) -> DataFrame:
+    heads = found.select("title", "stage", F.split("lead_head", "").alias("end"), F.size(kernel.expand(F.col("notation"), "mirror_drop_last")).alias("lead"))
     first = kernel.rounds(F.col("stage"))
     step = lambda a, k: F.when(a["done"], a).otherwise(_next(a, first))
     start = F.struct(first.alias("row"), F.lit(0).alias("leads"), F.lit(False).alias("done"))
@@ -104,7 +121,7 @@ def plain_courses(spark: SparkSession, folder: str) -> DataFrame:
         row = F.transform(F.col("end"), lambda b: F.element_at(a["row"], F.array_position(order, b).cast("int")))
         return F.struct(row.alias("row"), (a["leads"] + 1).alias("leads"), (row == order).alias("done"))
 
-    leads = F.aggregate(F.sequence(F.lit(1), 2 * F.col("stage")), start, step, lambda a: a["leads"])
+    leads = F.aggregate(F.sequence(F.lit(1), F.lit(LONGEST)), start, step, lambda a: a["leads"])
     return heads.select("title", leads.alias("leads"), (leads * F.col("lead") + 1).alias("rows"))
 
 

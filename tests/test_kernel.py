@@ -136,3 +136,54 @@ def test_no_path_comes_round_when_truth_is_tested_first(spark):
 def test_truth(spark):
     df = spark.createDataFrame([("a", "12"), ("a", "21"), ("b", "12"), ("b", "12")], "composition string, row string")
     assert {r["composition"]: r["true"] for r in K.truth(df).collect()} == {"a": True, "b": False}
+
+
+@pytest.fixture(scope="module")
+def major():
+    """Rows of the plain lead of Cambridge Surprise Major from each of the 5,040 heads."""
+    from itertools import permutations
+
+    turns = [[int(b) - 1 for b in r] for r in lead("-38-14-1258-36-14-58-16-78,12", 8)[1:]]
+    heads = ["1" + "".join(p) for p in permutations("2345678")]
+    return {h: ["".join(h[i] for i in t) for t in turns] for h in heads}
+
+
+def major_score(rows):
+    score, run, longest = 0.0, 0, 0
+    for r in rows:
+        score += ("5678" in r) + 2 * r.startswith("1234") + 5 * (r == "15263748") + (2 if r.endswith("8765") else 1.5 if r.endswith("5678") else 0)
+        run = run + 1 if abs(r.index("7") - r.index("8")) > 1 else 0
+        longest = max(longest, run)
+    return score - max(0, longest - 50) * 0.1
+
+
+def test_recorded_heads_are_those_of_eight_bells(spark, major):
+    from loomspark.plans import registry
+
+    holders = defaultdict(set)
+    for head, own in major.items():
+        for r in own:
+            holders[r].add(head)
+    want = {(a, b) for own in holders.values() for a in own for b in own if a != b}
+    assert {(r["head"], r["false_head"]) for r in registry.QUERIES["false_heads"](spark, "").collect()} == want
+    assert {r["head"]: r["score"] for r in registry.QUERIES["head_music"](spark, "").collect()} == pytest.approx({h: major_score(own) for h, own in major.items()})
+    assert len(major) == 5040
+
+
+def test_recorded_search_is_that_of_the_reference(spark, major):
+    from loomspark.plans import registry
+
+    found = registry.QUERIES["composition_search"](spark, "").collect()
+    assert found and [r["score"] for r in found] == sorted((r["score"] for r in found), reverse=True)
+    for r in found:
+        start, heads = "12345678", []
+        for c in r["calls"]:
+            heads.append(start)
+            start = lead("-38-14-1258-36-14-58-16-78," + Q.CALLS[c], 8, start=start)[-1]
+        if r["complete"]:
+            assert start == "12345678" and 39 <= len(heads) <= 42
+        else:
+            heads.append(start)
+        rows = [x for h in heads for x in major[h]]
+        assert len(rows) == len(set(rows)) and len(heads) == r["leads"] and r["head"] == start
+        assert r["score"] == pytest.approx(sum(major_score(major[h]) for h in heads))
