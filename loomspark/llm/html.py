@@ -35,10 +35,12 @@ BLOCKS = frozenset(
     """.split()
 )
 RAW = frozenset("script style title textarea noscript template iframe svg math select option button object noframes xmp head".split())
+#: Those whose text holds no tags: without an end tag they go on to the end of the page, the others to the next block.
+TEXT = frozenset("script style title textarea iframe xmp noframes".split())
 VOID = frozenset("hr".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Words of a class or id that mark what is not the article.
+#: Words of a class or id that mark what is not the article, if all its words are of these and PARTS.
 MARKS = frozenset(
     """
     ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar
@@ -48,39 +50,67 @@ MARKS = frozenset(
     pager copyright toolbar hidden
     """.split()
 )
+#: Words that stand beside marks and leave them what they are, unlike those of 'has-sidebar' or 'overflow-hidden'.
+PARTS = frozenset(
+    """
+    site main page top bottom left right primary secondary global local mobile desktop container wrapper wrap box block
+    area section list item items inner outer link links post posts article articles button buttons form bar panel unit
+    slot text title head header heading col column row group js x visually user google center middle
+    """.split()
+)
 #: Marks that count in the article's own elements too, whatever their tag.
 REMARKS = frozenset("comment comments commentlist disqus reply replies respond".split())
 
 _tag = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
 _attribute = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
+_blocks = rf"</?(?:{'|'.join(sorted(BLOCKS | {'select', 'datalist', 'optgroup'}))})(?=[\s/>])"
+_next_block = re.compile(_blocks, re.I)
+_after_option = re.compile(rf"</option(?=[\s/>])[^>]*>|<option(?=[\s/>])|{_blocks}", re.I)
+
 SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.12, 0.25
 LINKED = 0.4
 
 
+def _end(tag: str, html: str, at: int) -> int:
+    """Where a raw element that begins before `at` ends."""
+    if tag == "option":
+        m = _after_option.search(html, at)
+        return len(html) if not m else m.end() if m[0].lower().startswith("</option") else m.start()
+    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+    if tag in TEXT or tag == "head":
+        return end.end() if end else at if tag == "head" else len(html)
+    stop = end.start() if end else len(html)
+    again = re.compile(r"<button(?=[\s/>])", re.I).search(html, at, stop) if tag == "button" else None
+    if end and not again:
+        return end.end()
+    block = _next_block.search(html, at, again.start() if again else stop)
+    return block.start() if block else again.start() if again else len(html)
+
+
 @dataclass
 class Block:
-    """A run of text between block tags. main: inside an article; out: by its place not of the article."""
+    """A run of text between block tags. main: inside an article; out: by its place not of the article;
+    wrapped: out only because a marked element is around the article."""
 
     main: bool
     out: bool
+    wrapped: bool = False
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
     label: bool | None = None
 
 
-def _out(tag: str, attributes: str, in_main: bool) -> bool:
+def _placed_out(tag: str, attributes: str, in_main: bool) -> bool:
+    """Whether an element is not of the article by its tag, its role or because it is hidden."""
     if tag in OUTSIDE or tag == "header" and not in_main:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    marks = REMARKS if tag in ("article", "main") else MARKS
     for name, value in _attribute.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not marks.isdisjoint(re.split("[^a-z]+", value)):
-            return True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -88,10 +118,24 @@ def _out(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
+def _marked(tag: str, attributes: str) -> bool:
+    """Whether one of its class names, or its id, marks an element as not of the article."""
+    if not attributes or tag in ("html", "body"):
+        return False
+    marks = REMARKS if tag in ("article", "main") else MARKS
+    for name, value in _attribute.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for one in value.strip("\"'").lower().split():
+                words = set(filter(None, re.split("[^a-z]+", one)))
+                if not marks.isdisjoint(words) and words <= marks | PARTS:
+                    return True
+    return False
+
+
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order, with references decoded and white space made single blanks; empty ones are left out."""
     done: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, main, out
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, main, out by place, marked around the article, marked
     now, at, in_link, inside = Block(False, False), 0, False, ""
 
     def close() -> None:
@@ -99,7 +143,8 @@ def blocks(html: str) -> list[Block]:
         if now.parts and (text := " ".join("".join(now.parts).split())):
             now.text = text
             done.append(now)
-        now = Block(*(stack[-1][1:] if stack else (False, False)))
+        _, main, placed, around, marked = stack[-1] if stack else ("", False, False, False, False)
+        now = Block(main, placed or around or marked, around and not (placed or marked))
         in_link = False
 
     def put(text: str) -> None:
@@ -116,8 +161,7 @@ def blocks(html: str) -> list[Block]:
         tag, ends = m[2].lower(), bool(m[1])
         if tag in RAW:
             if not ends and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                at = end.end() if end else (at if tag == "head" else len(html))
+                at = _end(tag, html, at)
         elif tag == "a":
             in_link = not ends
         elif tag == "br":
@@ -130,24 +174,34 @@ def blocks(html: str) -> list[Block]:
             else:
                 if stack and stack[-1][0] == "p":
                     stack.pop()
-                main, out = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out = out or _out(tag, m[3], main)
+                _, main, placed, around, marked = stack[-1] if stack else ("", False, False, False, False)
+                placed = placed or _placed_out(tag, m[3], main)
+                if tag in ("article", "main") and not main:
+                    main, around, marked = True, marked, False
+                marked = marked or _marked(tag, m[3])
                 if tag not in VOID:
-                    stack.append((tag, main or tag in ("article", "main"), out))
+                    stack.append((tag, main, placed, around, marked))
             close()
     put(html[at:])
     close()
     return done
 
 
-def _first_pass(b: Block) -> bool | None:
-    """Whether a block is of the article; None: it can't be told from the block alone."""
+def _stops(b: Block) -> tuple[int, int]:
+    words = b.text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words), len(words)
+
+
+def _first_pass(b: Block, known: bool) -> bool | None:
+    """Whether a block is of the article; None: it can't be told from the block alone. known: the page's language has stop words."""
     if b.linked > LINKED * len(b.text):
         return None if b.main and len(b.text) < SHORT else False
     if len(b.text) < SHORT:
         return None
-    words = b.text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+    if not known:
+        return True if len(b.text) >= LONG else None
+    found, n = _stops(b)
+    stops = found / n
     if stops >= MANY_STOPS or stops >= FEW_STOPS and len(b.text) >= LONG:
         return True
     return None if b.main or stops >= FEW_STOPS else False
@@ -160,12 +214,19 @@ def main_text(html: str) -> str:
     all outside of an article element if there is one with text. Of the rest, length, link and stop-word
     density decide in a first pass; in a second one a block that they leave open takes the label
     of its nearest decided neighbour, the article's if both are as near, and stays if none is decided.
+    An article in a marked wrapper counts if there is no other and it is longer than what stands
+    outside of marks. In a page with few stop words of the known languages length and links decide alone.
     """
-    found = [b for b in blocks(html) if not b.out]
+    every = blocks(html)
+    found = [b for b in every if not b.out]
     if any(b.main for b in found):
         found = [b for b in found if b.main]
+    elif sum(len(b.text) for b in every if b.wrapped) > sum(len(b.text) for b in found):
+        found = [b for b in every if b.wrapped]
+    counts = [_stops(b) for b in found if len(b.text) >= SHORT and b.linked <= LINKED * len(b.text)]
+    known = sum(x for x, _ in counts) >= FEW_STOPS * sum(n for _, n in counts)
     for b in found:
-        b.label = _first_pass(b)
+        b.label = _first_pass(b, known)
     near: list[list[tuple[int, bool]]] = [[] for _ in found]
     for order in (range(len(found)), range(len(found) - 1, -1, -1)):
         last: tuple[int, bool] | None = None

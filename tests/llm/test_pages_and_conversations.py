@@ -40,6 +40,28 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+WORTE = "Kissa istui ikkunalla ja katseli hiljaista katua, jossa vanha mies hitaasti kantoi koria kotiinsa torilta."
+
+
+@pytest.mark.parametrize("page,text", [
+    *[(f"<div class='{c}'><article><p>{LONG}</p></article></div>", LONG) for c in ("overflow-hidden", "has-sidebar", "no-sidebar", "with-toolbar", "no-ads", "row md:hidden", "sidebar")],
+    *[(f"<div id='{c}'><p>{LONG}</p></div><p>{LONG}</p>", LONG) for c in ("sidebar-left", "cookie_notice", "ad-300x250", "comments")],
+    *[(f"<div class='{c}'><p>{LONG}</p></div>", LONG) for c in ("overflow-hidden", "has-sidebar", "no-ads")],
+    (f"<article><p>{LONG}</p></article><div class='related-posts'><article><p>Other. {LONG}</p></article></div>", LONG),
+    (f"<p>{LONG} {LONG}</p><div class='related-posts'><article><p>{LONG}</p></article></div>", f"{LONG} {LONG}"),
+    (f"<div class=menu><article><p>{LONG} {LONG}</p><section id=comments><article><p>{LONG}</p></article></section></article></div><p>Home</p>", f"{LONG} {LONG}"),
+    (f"<datalist><option value=a>a<option value=b>b</datalist><article><p>{LONG}</p></article>", LONG),
+    (f"<datalist><option>a<option>b</datalist><article><p>{LONG}</p></article><select><option>c</option></select>", LONG),
+    (f"<button>a<article><p>{LONG}</p></article><button>b</button>", LONG),
+    (f"<select><option>a</option><option>b</select><p>{LONG}</p>", LONG),
+    (f"<button><div>no</div></button><svg><title>no</title></svg><p>{LONG}</p>", LONG),
+    (f"<h1>Otsikko</h1><p>{WORTE}</p><p>{WORTE} {WORTE}</p><p><a href=x>{WORTE}</a></p>", f"Otsikko\n{WORTE}\n{WORTE} {WORTE}"),
+    (f"<p>{WORTE}</p>", WORTE),
+])
+def test_articles_that_stay(page, text):
+    assert html.main_text(page) == text
+
+
 def test_neighbours_decide_short_blocks():
     page = f"<p>Short one.</p><p>{LONG}</p><p>Short two.</p><p><a href=x>{LONG}</a></p><p>Short three.</p>"
     assert html.main_text(page) == f"Short one.\n{LONG}\nShort two."
