@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and go on from the copy.
+def _shared(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    The folder is the session's spark.checkpoint.dir, which all executors share. Only a local
+    It is in spark.checkpoint.dir, which all executors share. Only a local
     session without that setting (as in tests) gets a temporary folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,4 +22,17 @@ def settle(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="loomspark-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write `df` to the reliable checkpoint folder and go on from the copy."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet to a folder of its own under the checkpoint folder, where it stays, and read it again."""
+    path = f"{_shared(df.sparkSession)}/{name.replace(' ', '_')}-{uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -50,6 +50,16 @@ def test_run_gives_what_the_stages_give(spark):
     assert pieces(corpus_pipeline.run(spark, SF)) == pieces(docs)
 
 
+def test_run_hands_stages_on_as_parquet(spark, monkeypatch):
+    read = []
+    note = lambda name, stage: (name, lambda s, docs, folder: read.append(docs) or stage(s, docs, folder))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [note(*x) for x in corpus_pipeline.STAGES])
+    corpus_pipeline.run(spark, SF)
+    for (name, _), docs in zip(corpus_pipeline.STAGES, read[1:]):
+        files = docs.inputFiles()
+        assert files and all(f.endswith(".parquet") and f"/{name.replace(' ', '_')}-" in f for f in files)
+
+
 def test_stages_take_awkward_and_empty_tables(spark):
     for docs in (tables.docs(spark), tables.none(spark)):
         columns = docs.columns
