@@ -34,7 +34,7 @@ BLOCKS = frozenset(
     form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul
     """.split()
 )
-RAW = frozenset("script style title textarea noscript template iframe svg math select option button object noframes xmp head".split())
+RAW = frozenset("script style title textarea noscript template iframe svg annotation select option button object noframes xmp head".split())
 #: Those whose text holds no tags: without an end tag they go on to the end of the page, the others to the next block.
 TEXT = frozenset("script style title textarea iframe xmp noframes".split())
 VOID = frozenset("hr".split())
@@ -71,6 +71,8 @@ _after_option = re.compile(rf"</option(?=[\s/>])[^>]*>|<option(?=[\s/>])|{_block
 SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.12, 0.25
 LINKED = 0.4
+#: The part of a page's text that an article element must hold to be its article.
+ARTICLE = 1 / 3
 
 
 def _end(tag: str, html: str, at: int) -> int:
@@ -91,16 +93,16 @@ def _end(tag: str, html: str, at: int) -> int:
 
 @dataclass
 class Block:
-    """A run of text between block tags. main: inside an article; out: by its place not of the article;
-    wrapped: out only because a marked element is around the article."""
+    """A run of text between block tags. main: inside an article element; out: in a menu, a form, comments
+    and the like; marked: below an element whose class or id marks it, wrapped: only around the article element."""
 
     main: bool
     out: bool
+    marked: bool = False
     wrapped: bool = False
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
-    label: bool | None = None
 
 
 def _placed_out(tag: str, attributes: str, in_main: bool) -> bool:
@@ -118,24 +120,25 @@ def _placed_out(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    """Whether one of its class names, or its id, marks an element as not of the article."""
+def _marks(tag: str, attributes: str) -> set[str]:
+    """The words of MARKS by which a class name or the id marks an element as not of the article."""
+    found: set[str] = set()
     if not attributes or tag in ("html", "body"):
-        return False
+        return found
     marks = REMARKS if tag in ("article", "main") else MARKS
     for name, value in _attribute.findall(attributes):
         if name.lower() in ("class", "id"):
             for one in value.strip("\"'").lower().split():
                 words = set(filter(None, re.split("[^a-z]+", one)))
-                if not marks.isdisjoint(words) and words <= marks | PARTS:
-                    return True
-    return False
+                if words <= marks | PARTS:
+                    found |= marks & words
+    return found
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order, with references decoded and white space made single blanks; empty ones are left out."""
     done: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, main, out by place, marked around the article, marked
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, main, out, marked, wrapped
     now, at, in_link, inside = Block(False, False), 0, False, ""
 
     def close() -> None:
@@ -143,8 +146,7 @@ def blocks(html: str) -> list[Block]:
         if now.parts and (text := " ".join("".join(now.parts).split())):
             now.text = text
             done.append(now)
-        _, main, placed, around, marked = stack[-1] if stack else ("", False, False, False, False)
-        now = Block(main, placed or around or marked, around and not (placed or marked))
+        now = Block(*stack[-1][1:]) if stack else Block(False, False)
         in_link = False
 
     def put(text: str) -> None:
@@ -174,22 +176,27 @@ def blocks(html: str) -> list[Block]:
             else:
                 if stack and stack[-1][0] == "p":
                     stack.pop()
-                _, main, placed, around, marked = stack[-1] if stack else ("", False, False, False, False)
-                placed = placed or _placed_out(tag, m[3], main)
+                _, main, out, marked, wrapped = stack[-1] if stack else ("", False, False, False, False)
+                out = out or _placed_out(tag, m[3], main)
                 if tag in ("article", "main") and not main:
-                    main, around, marked = True, marked, False
-                marked = marked or _marked(tag, m[3])
+                    main, wrapped, marked = True, marked, False
+                marks = _marks(tag, m[3])
+                out, marked = out or not marks.isdisjoint(REMARKS), marked or bool(marks)
                 if tag not in VOID:
-                    stack.append((tag, main, placed, around, marked))
+                    stack.append((tag, main, out, marked, wrapped))
             close()
     put(html[at:])
     close()
     return done
 
 
-def _stops(b: Block) -> tuple[int, int]:
-    words = b.text.lower().split()
-    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words), len(words)
+_letters = re.compile(r"[^\W\d_]+").findall
+
+
+def stop_words(text: str) -> tuple[int, int]:
+    """Stop words and words of a text; a word is a run of letters."""
+    words = _letters(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
 
 
 def _first_pass(b: Block, known: bool) -> bool | None:
@@ -198,44 +205,56 @@ def _first_pass(b: Block, known: bool) -> bool | None:
         return None if b.main and len(b.text) < SHORT else False
     if len(b.text) < SHORT:
         return None
-    if not known:
-        return True if len(b.text) >= LONG else None
-    found, n = _stops(b)
-    stops = found / n
-    if stops >= MANY_STOPS or stops >= FEW_STOPS and len(b.text) >= LONG:
-        return True
-    return None if b.main or stops >= FEW_STOPS else False
+    found, n = stop_words(b.text)
+    least = (FEW_STOPS if len(b.text) >= LONG else MANY_STOPS) if known else 0
+    return True if found >= least * n and (known or len(b.text) >= LONG) else None
+
+
+def _second_pass(labels: list[bool | None]) -> list[bool]:
+    """The labels, with that of the nearest decided neighbour for None; True if two are as near and differ, or none is decided."""
+    near: list[list[tuple[int, bool]]] = [[] for _ in labels]
+    for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        last: tuple[int, bool] | None = None
+        for k in order:
+            if last:
+                near[k].append((abs(k - last[0]), last[1]))
+            if labels[k] is not None:
+                last = (k, labels[k])
+    return [x if x is not None else min(n, key=lambda y: (y[0], not y[1]))[1] if n else True for x, n in zip(labels, near, strict=True)]
+
+
+def candidates(every: list[Block]) -> list[Block]:
+    """The blocks that may be of the article, by their places alone.
+
+    What stands in menus, headers, footers, forms, comments and the like never is. An article
+    element counts if it has ARTICLE of the rest, and then all outside of it goes; one in a marked
+    wrapper counts if it is longer than what stands outside of marks. Marked blocks go, but if little
+    is left and no long block without links, marks are not heeded.
+    """
+    size = lambda some: sum(len(b.text) for b in some)
+    free = [b for b in every if not b.out]
+    plain = [b for b in free if not b.marked and not b.wrapped]
+    main, wrapped = [b for b in plain if b.main], [b for b in free if b.wrapped and not b.marked]
+    if main and size(main) >= ARTICLE * size(plain):
+        return main
+    if size(wrapped) > size(plain):
+        return wrapped
+    whole = lambda b: len(b.text) >= SHORT and b.linked <= LINKED * len(b.text)
+    return free if not any(map(whole, plain)) and size(plain) < ARTICLE * size(free) else plain
 
 
 def main_text(html: str) -> str:
     """The article's blocks, joined by newlines.
 
-    What stands in menus, headers, footers, forms and the like goes by its place, and so does
-    all outside of an article element if there is one with text. Of the rest, length, link and stop-word
-    density decide in a first pass; in a second one a block that they leave open takes the label
-    of its nearest decided neighbour, the article's if both are as near, and stays if none is decided.
-    An article in a marked wrapper counts if there is no other and it is longer than what stands
-    outside of marks. In a page with few stop words of the known languages length and links decide alone.
+    Of the `candidates`, two passes choose. In the first, length, link and stop-word density
+    decide: a block with many links is not of the article, a long one with stop words is, a short
+    one, or one without them, stays open. In the second, an open block takes the label of its
+    nearest decided neighbour. In a page with few stop words of the known languages length and links decide alone.
     """
-    every = blocks(html)
-    found = [b for b in every if not b.out]
-    if any(b.main for b in found):
-        found = [b for b in found if b.main]
-    elif sum(len(b.text) for b in every if b.wrapped) > sum(len(b.text) for b in found):
-        found = [b for b in every if b.wrapped]
-    counts = [_stops(b) for b in found if len(b.text) >= SHORT and b.linked <= LINKED * len(b.text)]
+    found = candidates(blocks(html))
+    counts = [stop_words(b.text) for b in found if len(b.text) >= SHORT and b.linked <= LINKED * len(b.text)]
     known = sum(x for x, _ in counts) >= FEW_STOPS * sum(n for _, n in counts)
-    for b in found:
-        b.label = _first_pass(b, known)
-    near: list[list[tuple[int, bool]]] = [[] for _ in found]
-    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
-        last: tuple[int, bool] | None = None
-        for k in order:
-            if last:
-                near[k].append((abs(k - last[0]), last[1]))
-            if found[k].label is not None:
-                last = (k, found[k].label)
-    keep = [b.label if b.label is not None else min(n, key=lambda x: (x[0], not x[1]))[1] if n else True for b, n in zip(found, near, strict=True)]
+    keep = _second_pass([_first_pass(b, known) for b in found])
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 

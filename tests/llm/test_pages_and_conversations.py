@@ -67,6 +67,69 @@ def test_neighbours_decide_short_blocks():
     assert html.main_text(page) == f"Short one.\n{LONG}\nShort two."
 
 
+RU = "Старик медленно нёс корзину домой с рынка, а кошка сидела у окна и смотрела на тихую улицу, где никого не было."
+
+
+@pytest.mark.parametrize("page,text", [
+    *[(f"<div class='{c}'><article><p>{LONG}</p></article></div>", LONG) for c in ("site has-sidebar", "page no-sidebar", "post comments-open")],
+    *[(f"<p>{x}</p><p>{x} {x}</p>", f"{x}\n{x} {x}") for x in (RU, "老人慢慢地把篮子从市场提回家，猫坐在窗边，看着安静的街道，街上没有人。" * 3, WORTE)],
+    (f"<datalist><option>one</datalist><article><p>{LONG}</p></article>", LONG),
+    (f"<article><p>{LONG}</p><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p></article>", f"{LONG}\nso x=2 holds"),
+    (f"<div><p>{LONG} {LONG} {LONG}</p><p>{LONG}</p></div><article><p>{LONG[:40]}</p></article>", f"{LONG} {LONG} {LONG}\n{LONG}\n{LONG[:40]}"),
+    (f"<div class='sidebar'><p>{LONG}</p></div><div class='comments'><p>{LONG}</p></div><p>x</p>", f"{LONG}\nx"),
+    (f"<div class=ad>{LONG}</div><h1>One</h1><p>{LONG[:60]}</p><p>Three</p>", f"One\n{LONG[:60]}\nThree"),
+])
+def test_places_are_weighed(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_passes_decide_without_article_tags(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()
+    same = sum(html.main_text(p["html"]) == html.main_text(re.sub("</?article>", "", p["html"])) for p in pages)
+    assert same >= 0.99 * len(pages)
+
+
+def naive_two_passes(found):
+    """found: (text, linked characters) of each block; every block against every other one."""
+    share = lambda t: (sum(w in html.STOP_WORDS for w in re.findall(r"[^\W\d_]+", t.lower())), len(re.findall(r"[^\W\d_]+", t.lower())))
+    dense = [n > 0.4 * len(t) for t, n in found]
+    telling = [share(t) for (t, _), d in zip(found, dense) if len(t) >= 70 and not d]
+    known = sum(a for a, _ in telling) >= 0.12 * sum(b for _, b in telling)
+    labels = []
+    for (t, _), d in zip(found, dense):
+        a, b = share(t)
+        if d:
+            labels.append(False)
+        elif len(t) >= 200:
+            labels.append(True if not known or a >= 0.12 * b else None)
+        else:
+            labels.append(True if known and len(t) >= 70 and a >= 0.25 * b else None)
+    kept = []
+    for k, x in enumerate(labels):
+        if x is None:
+            decided = [(abs(j - k), not y) for j, y in enumerate(labels) if y is not None]
+            x = not min(decided)[1] if decided else True
+        kept.append(x)
+    return "\n".join(t for (t, _), x in zip(found, kept) if x)
+
+
+def test_two_passes_equal_a_naive_version():
+    import random
+
+    rng = random.Random(5)
+    stops, others = ["the", "of", "und", "que", "is"], ["stone", "Brücke", "mercado", "12", "x-ray", "###"]
+    for _ in range(400):
+        share, found, page = rng.choice([0, 0.1, 0.2, 0.4]), [], ""
+        for _ in range(rng.randint(1, 12)):
+            words = [rng.choice(stops if rng.random() < share * rng.choice([0, 1, 1, 2]) else others) for _ in range(rng.choice([2, 6, 20, 60]))]
+            cut = rng.choice([0, 0, 0, len(words), len(words) // 2])
+            link, rest = " ".join(words[:cut]), " ".join(words[cut:])
+            found.append(((link + " " + rest).strip(), len(link)))
+            page += f"<p><a href=x>{link}</a> {rest}</p>" if cut else f"<p>{rest}</p>"
+        assert html.main_text(page) == naive_two_passes(found), page
+
+
 def test_awkward_pages(spark):
     rows = [(1, "u", None, "t"), (None, None, "", "t"), (2, "u", f"<article><p>{LONG}</p></article>", None), (2, "u", f"<article><p>{LONG}</p></article>", None), (3, "u", "<" * 2000 + "p" * 2000, "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
