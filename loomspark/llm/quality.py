@@ -15,39 +15,50 @@ from loomspark.llm.expressions import whole
 
 #: Bytes of a byte filter, their step, width of a byte's embedding, filters.
 KERNEL, STRIDE, WIDTH, FILTERS = 8, 4, 8, 16
-#: Bytes of a chunk (its step is half), lags whose agreement is looked at, highest ones kept, filters on them.
-CHUNK, LAGS, TOP, ECHOES = 64, 40, 4, 8
+#: Bytes of a chunk (its step is half), longest distance of a pair of bytes, pair filters, width of a byte's embedding there, their gain.
+CHUNK, REACH, PAIRS, PAIR_WIDTH, GAIN = 64, 40, 1, 32, 16.0
 #: Labelled rows of each class at most, bytes of a text at most, passes, rows of a step.
 ROWS, BYTES, EPOCHS, BATCH, RATE = 700, 1 << 16, 10, 32, 0.01
+#: Share of the good texts learned from that may score under `Model.least`.
+GOOD_LOST = 0.002
 #: Windows of bytes at a time.
 BLOCK = 1 << 14
 
 
 @dataclass
 class Model:
-    """embed (256, WIDTH), byte filters (KERNEL, WIDTH, FILTERS), echo filters (TOP, ECHOES), output weights; biases."""
+    """embed (256, WIDTH), byte filters (KERNEL, WIDTH, FILTERS), pair embeddings (PAIRS, 256, PAIR_WIDTH), output weights; biases.
+    least: the score from which a document is good, 0.5 or less (see `train`).
+
+    A byte filter sees KERNEL bytes. A pair filter sees a chunk twice, as it is and some bytes
+    earlier, and sums over the chunk what its embedding makes of each pair of bytes, the cosine
+    of theirs. Both are learned, and of both the highest response over the whole text counts.
+    """
 
     embed: np.ndarray
     byte: np.ndarray
     byte_bias: np.ndarray
-    echo: np.ndarray
-    echo_bias: np.ndarray
+    pair: np.ndarray
+    pair_bias: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    least: float = 0.5
 
     @classmethod
     def fresh(cls, seed: int) -> Model:
         draw = np.random.default_rng(seed)
-        some = lambda *shape: (draw.normal(size=shape) * 0.3).astype(np.float32)
+        some = lambda size, *shape: (draw.normal(size=shape) * size).astype(np.float32)
         zero = lambda *shape: np.zeros(shape, np.float32)
-        return cls(some(256, WIDTH), some(KERNEL, WIDTH, FILTERS), zero(FILTERS), some(TOP, ECHOES), zero(ECHOES), some(FILTERS + ECHOES), zero(1))
+        return cls(some(0.3, 256, WIDTH), some(0.3, KERNEL, WIDTH, FILTERS), zero(FILTERS), some(1, PAIRS, 256, PAIR_WIDTH), zero(PAIRS) - GAIN / 2, some(0.3, FILTERS + PAIRS), zero(1))
 
     def parts(self) -> list[np.ndarray]:
-        return [self.embed, self.byte, self.byte_bias, self.echo, self.echo_bias, self.out, self.bias]
+        return [self.embed, self.byte, self.byte_bias, self.pair, self.pair_bias, self.out, self.bias]
 
-    def tables(self) -> np.ndarray:
-        """What each byte adds to each filter at each place of a window: (KERNEL, 256, FILTERS)."""
-        return np.einsum("cw,kwf->kcf", self.embed, self.byte).astype(np.float32)
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each byte adds to each byte filter at each place of a window, (KERNEL, 256, FILTERS), and what each pair adds, (PAIRS, 65536)."""
+        unit = self.pair / np.linalg.norm(self.pair, axis=2, keepdims=True)
+        pairs = np.einsum("paw,pbw->pab", unit, unit) * (GAIN / CHUNK)
+        return np.einsum("cw,kwf->kcf", self.embed, self.byte).astype(np.float32), pairs.reshape(PAIRS, -1).astype(np.float32)
 
 
 def padded(text: bytes) -> np.ndarray:
@@ -59,16 +70,16 @@ def padded(text: bytes) -> np.ndarray:
     return x
 
 
-def byte_peaks(x: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def byte_peaks(x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each byte filter's highest response over all windows of `x`, and where that window begins."""
     best, where = np.full(FILTERS, -np.inf, np.float32), np.zeros(FILTERS, np.int64)
     last = (len(x) - KERNEL) // STRIDE
     for a in range(0, last + 1, BLOCK):
         b = min(last + 1, a + BLOCK)
         part = x[a * STRIDE : (b - 1) * STRIDE + KERNEL]
-        got = tables[0][part[0 : (b - a - 1) * STRIDE + 1 : STRIDE]]
+        got = table[0][part[0 : (b - a - 1) * STRIDE + 1 : STRIDE]]
         for k in range(1, KERNEL):
-            got += tables[k][part[k : k + (b - a - 1) * STRIDE + 1 : STRIDE]]
+            got += table[k][part[k : k + (b - a - 1) * STRIDE + 1 : STRIDE]]
         at = got.argmax(axis=0)
         top = got[at, np.arange(FILTERS)]
         up = top > best
@@ -76,39 +87,39 @@ def byte_peaks(x: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, where
 
 
-def echoes(x: np.ndarray) -> np.ndarray:
-    """For each chunk the TOP highest shares of bytes that equal the byte 2, 3, ... LAGS before: (chunks, TOP)."""
+def pair_peaks(x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair filter's highest response over all chunks of `x` and all distances from 2 to REACH, and (place, distance) of that.
+
+    Before the text stand zeros.
+    """
     half, step = CHUNK // 2, BLOCK * CHUNK // 2
-    out = []
+    best, where = np.full(PAIRS, -np.inf, np.float32), np.zeros((PAIRS, 2), np.int64)
     for a in range(0, len(x) - half, step):
         b = min(len(x), a + step + half)
-        blocks = (b - a) // half
-        sums = np.zeros((LAGS - 1, blocks), np.int16)
-        for lag in range(2, LAGS + 1):
-            begin = max(0, lag - a)
-            same = np.zeros(b - a, bool)
-            np.equal(x[a + begin : b], x[a + begin - lag : b - lag], out=same[begin:])
-            sums[lag - 2] = np.add.reduce(same.reshape(blocks, half), axis=1, dtype=np.int16)
-        shares = np.partition(sums[:, 1:] + sums[:, :-1], LAGS - 1 - TOP, axis=0)[-TOP:]
-        out.append(np.sort(shares, axis=0).T.astype(np.float32) / CHUNK)
-    return np.concatenate(out)
-
-
-def echo_peaks(seen: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    got = seen @ model.echo
-    at = got.argmax(axis=0)
-    return got[at, np.arange(ECHOES)], at
+        part = np.zeros(b - a + REACH, np.uint16)
+        begin = min(a, REACH)
+        part[REACH - begin :] = x[a - begin : b]
+        high = part[REACH:] << 8
+        for p in range(PAIRS):
+            own = table[p]
+            for back in range(2, REACH + 1):
+                sums = np.add.reduce(own.take(high | part[REACH - back : len(part) - back]).reshape(-1, half), axis=1)
+                got = sums[1:] + sums[:-1]
+                at = int(got.argmax())
+                if got[at] > best[p]:
+                    best[p], where[p] = got[at], (a + at * half, back)
+    return best, where
 
 
 def probability(z: float | np.ndarray) -> float | np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def score(text: bytes, model: Model, tables: np.ndarray) -> float:
+def score(text: bytes, model: Model, tables: tuple[np.ndarray, np.ndarray]) -> float:
     """The probability that the whole text is of quality 1."""
     x = padded(text)
-    a = np.maximum(0, byte_peaks(x, tables)[0] + model.byte_bias)
-    b = np.maximum(0, echo_peaks(echoes(x), model)[0] + model.echo_bias)
+    a = np.maximum(0, byte_peaks(x, tables[0])[0] + model.byte_bias)
+    b = np.maximum(0, pair_peaks(x, tables[1])[0] + model.pair_bias)
     return float(probability(float(np.concatenate((a, b)) @ model.out + model.bias[0])))
 
 
@@ -116,30 +127,39 @@ def fit(texts: list[bytes], labels: list[int], weights: tuple[float, float], see
     """A model of the labels (0 or 1), by Adam on the weighted logistic loss; the maxima pass gradients to their windows alone."""
     model, draw = Model.fresh(seed), np.random.default_rng(seed)
     xs = [padded(t) for t in texts]
-    heard = [echoes(x) for x in xs]
+    behind = [np.concatenate((np.zeros(REACH, np.uint8), x)) for x in xs]
     y, w = np.array(labels, np.float32), np.array([weights[v] for v in labels], np.float32)
     parts = model.parts()
     first, second, step = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
+    chunk, filters = np.arange(CHUNK), np.arange(PAIRS)
     for _ in range(EPOCHS):
         order = draw.permutation(len(xs))
         for k in range(0, len(order), BATCH):
             own = order[k : k + BATCH]
-            tables = model.tables()
-            peaks = [byte_peaks(xs[i], tables) for i in own]
-            rung = [echo_peaks(heard[i], model) for i in own]
+            by_byte, by_pair = model.tables()
+            peaks = [byte_peaks(xs[i], by_byte) for i in own]
+            twins = [pair_peaks(xs[i], by_pair) for i in own]
             a = np.stack([p for p, _ in peaks]) + model.byte_bias
-            b = np.stack([p for p, _ in rung]) + model.echo_bias
+            b = np.stack([p for p, _ in twins]) + model.pair_bias
             windows = np.stack([xs[i][at[:, None] + np.arange(KERNEL)] for i, (_, at) in zip(own, peaks, strict=True)])
-            chunks = np.stack([heard[i][at] for i, (_, at) in zip(own, rung, strict=True)])
+            here = np.stack([behind[i][REACH + at[:, :1] + chunk] for i, (_, at) in zip(own, twins, strict=True)])
+            there = np.stack([behind[i][REACH + at[:, :1] - at[:, 1:] + chunk] for i, (_, at) in zip(own, twins, strict=True)])
             hidden = np.maximum(0, np.concatenate((a, b), axis=1))
             err = (probability(hidden @ model.out + model.bias[0]) - y[own]) * w[own] / len(own)
             back = err[:, None] * model.out * (hidden > 0)
             ga, gb = back[:, :FILTERS], back[:, FILTERS:]
-            embed = np.zeros_like(model.embed)
+            embed, pair = np.zeros_like(model.embed), np.zeros_like(model.pair)
             np.add.at(embed, windows, ga[:, :, None, None] * model.byte.transpose(2, 0, 1))
+            each = (gb * (GAIN / CHUNK))[:, :, None, None]
+            which = np.broadcast_to(filters[None, :, None], here.shape)
+            norm = np.linalg.norm(model.pair, axis=2, keepdims=True)
+            unit = model.pair / norm
+            np.add.at(pair, (which, here), each * unit[which, there])
+            np.add.at(pair, (which, there), each * unit[which, here])
+            pair = (pair - (pair * unit).sum(axis=2, keepdims=True) * unit) / norm
             grads = [
                 embed, np.einsum("bf,bfkw->kwf", ga, model.embed[windows]), ga.sum(axis=0),
-                np.einsum("be,bet->te", gb, chunks), gb.sum(axis=0), err @ hidden, np.array([err.sum()]),
+                pair, gb.sum(axis=0), err @ hidden, np.array([err.sum()]),
             ]
             step += 1
             for p, g, m, v in zip(parts, grads, first, second, strict=True):
@@ -155,12 +175,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("long").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def least_score(scores: list[float], share: float = GOOD_LOST) -> float:
+    """The highest score, up to 0.5, under which at most `share` of the `scores` of good documents are."""
+    return min(0.5, sorted(scores)[int(share * len(scores))]) if scores else 0.5
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = BYTES) -> Model | None:
     """A model from `labels` (doc_id, quality) and the texts of `docs`; None if a class has no text to learn from.
 
     At most `rows` labelled rows of each class, none held out, with texts of at most `most` bytes,
     are taken by a hash of doc_id and learned from on the driver, whole; the loss weighs classes as
-    they stand among all labels that may be learned from.
+    they stand among all labels that may be learned from. Of a doc_id that repeats in `docs` one
+    row is learned from, that with the smallest text hash; of one that repeats in `labels` each label.
+    `Model.least` comes from the scores of the good texts learned from (`least_score`).
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
@@ -173,13 +200,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = BYTE
     # 2 * rows rows
     sample = F.broadcast(ids[0].union(ids[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").cast("binary").alias("text")).where(F.octet_length("text") <= most)
-    got = sorted((r["doc_id"], r["label"], bytes(r["text"])) for r in texts.join(sample, "doc_id").collect())
+    one = texts.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = sorted((r["doc_id"], r["label"], bytes(r["text"])) for r in one.join(sample, "doc_id").collect())
     taken = [sum(1 for g in got if g[1] == v) for v in (0, 1)]
     if not all(taken):
         return None
     total = sum(counts.values())
     weights = tuple(counts[v] / total * len(got) / taken[v] for v in (0, 1))
-    return fit([g[2] for g in got], [g[1] for g in got], weights)
+    model = fit([g[2] for g in got], [g[1] for g in got], weights)
+    tables = model.tables()
+    model.least = least_score([score(g[2], model, tables) for g in got if g[1] == 1])
+    return model
 
 
 def with_score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -199,10 +230,14 @@ def with_score(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def keep_good(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose score is `least` or more, with all their columns as they are; cases as in `with_score`."""
+def keep_good(docs: DataFrame, model: Model | None, least: float | None = None) -> DataFrame:
+    """The rows of `docs` whose score is `least` or more, with all their columns as they are; cases as in `with_score`.
+
+    `least`: None takes that of the model. Without a model each score is 0.5.
+    """
     if model is None:
-        return docs if least <= 0.5 else docs.limit(0)
+        return docs if least is None or least <= 0.5 else docs.limit(0)
+    least = model.least if least is None else least
     ship(docs.sparkSession)
     tables = model.tables()
     at = [c.lower() for c in docs.columns].index("text")

@@ -450,6 +450,63 @@ def test_quality_on_held_out_labels(spark):
     scores = {r["doc_id"]: r["score"] for r in quality.with_score(docs, quality.train(docs, labels)).collect()}
     held = [(scores[r["doc_id"]], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     assert sum((s >= 0.5) == (q == 1) for s, q in held) / len(held) >= 0.95
+    least = quality.train(docs, labels).least
+    assert sum(s < least for s, q in held if q == 0) >= 0.9 * sum(q == 0 for _, q in held)
+    assert sum(s < least for s, q in held if q == 1) <= 0.01 * sum(q == 1 for _, q in held)
+
+
+def naive_score(text, model):
+    """The forward pass, window by window and pair by pair."""
+    n = max(quality.CHUNK, -(-len(text) // (quality.CHUNK // 2)) * (quality.CHUNK // 2))
+    x = list(text) + [0] * (n - len(text))
+    hidden = []
+    for f in range(quality.FILTERS):
+        windows = range(0, n - quality.KERNEL + 1, quality.STRIDE)
+        hidden.append(max(sum(float(model.embed[x[a + k]] @ model.byte[k, :, f]) for k in range(quality.KERNEL)) for a in windows) + model.byte_bias[f])
+    for p in range(quality.PAIRS):
+        unit = [v / np.sqrt(v @ v) for v in model.pair[p].astype(float)]
+        y = [0] * quality.REACH + x
+        chunks = range(0, n - quality.CHUNK + 1, quality.CHUNK // 2)
+        best = max(sum(unit[x[a + t]] @ unit[y[quality.REACH + a + t - back]] for t in range(quality.CHUNK)) for a in chunks for back in range(2, quality.REACH + 1))
+        hidden.append(best * quality.GAIN / quality.CHUNK + model.pair_bias[p])
+    z = sum(max(0, h) * w for h, w in zip(hidden, model.out, strict=True)) + model.bias[0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_network_equals_a_naive_forward_pass(monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 8)  # several blocks a text
+    model = quality.Model.fresh(1)
+    model.pair_bias[:], tables = -1, model.tables()
+    rng = np.random.default_rng(2)
+    for text in (b"", b"a", b"one two " * 9, bytes(rng.integers(0, 256, 300, dtype=np.uint8)), "straße été ".encode() * 31, b"x" * 64, b"y" * 65):
+        assert abs(quality.score(text, model, tables) - naive_score(text, model)) < 1e-4
+
+
+def test_gradients_are_those_of_the_loss():
+    """A step of plain descent along fit's own gradients lowers the loss: seen by training on one batch."""
+    texts, labels = [b"the quick brown fox jumps over it " * 4, b"word word word word word word " * 5], [1, 0]
+    losses = []
+    for epochs in (1, 60):
+        old, quality.EPOCHS = quality.EPOCHS, epochs
+        try:
+            model = quality.fit(texts, labels, (1.0, 1.0))
+        finally:
+            quality.EPOCHS = old
+        t = model.tables()
+        losses.append(-sum(np.log(s if y else 1 - s) for s, y in ((quality.score(x, model, t), y) for x, y in zip(texts, labels))))
+    assert losses[1] < 0.2 * losses[0]
+
+
+def test_threshold_loses_few_good_documents():
+    assert quality.least_score([]) == 0.5 and quality.least_score([0.9] * 10) == 0.5
+    assert quality.least_score([k / 1000 for k in range(1000)], 0.002) == 0.002
+
+
+def test_repeated_ids_teach_once(spark):
+    df = spark.createDataFrame([(k % 4, f"{'good words here' if k % 2 else '!! ## !! ##'} {k}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (2, 0), (1, 1), (3, 1), (3, 1), (None, 1), (1, None), (99, 0)], "doc_id long, quality int")
+    a, b = quality.train(df, labels), quality.train(df.repartition(3), labels)
+    assert (a is None) == (b is None) and (a is None or all((x == y).all() for x, y in zip(a.parts(), b.parts(), strict=True)))
 
 
 def test_held_out_labels_teach_nothing(spark):
