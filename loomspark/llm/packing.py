@@ -35,6 +35,8 @@ class Encoder:
     alone, which normalization only lower-cases, the splitter's pattern is stated here over
     those characters, and a part goes to the merges at once. Equal words or parts are encoded
     once while they are remembered: what was not met in the last REMEMBERED new ones is forgotten.
+    A text that says one of the vocabulary's added tokens, such as '<|endoftext|>', has the id of
+    that token there, as the tokenizer gives it: such a text goes to the tokenizer whole.
     """
 
     _word = re.compile("[^ \t\n\r\x0b\x0c]+").findall
@@ -47,6 +49,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.I).search
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
         self.words, self.parts = Memory(self._whole), Memory(self._merged)
@@ -62,12 +66,14 @@ class Encoder:
         return _encoders[path]
 
     def encode(self, text: str) -> bytes:
+        if self._added(text):
+            return self._whole(text)
         if self._plain(text):
             return self.parts.joined(self._part(text.lower()))
         return self.words.joined(self._word(text))
 
-    def _whole(self, word: str) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+    def _whole(self, text: str) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def _merged(self, part: str) -> bytes:
         return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(part if part.isascii() else part.translate(self.letters))])
@@ -186,7 +192,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null text: as
     empty, one id. Null doc_id and repeated rows: packed like any other. Empty table: no rows.
-    Other columns are ignored. `tokenizer`: the path of a vocabulary file, the same on every
+    An added token's string in a text: its id, see `Encoder`. Other columns are ignored. `tokenizer`: the path of a vocabulary file, the same on every
     machine; None: the public 49k word vocabulary.
     """
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

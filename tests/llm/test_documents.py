@@ -267,6 +267,28 @@ def test_encoder_equals_tokenizer_on_odd_texts():
         assert encoder.encode(t) == np.array(want, "<u4").tobytes(), repr(t)
 
 
+def test_encoder_equals_tokenizer_on_added_tokens():
+    encoder = packing.Encoder.of(None)
+    rng = np.random.default_rng(4)
+    added = [t.content for t in encoder.tokenizer.get_added_tokens_decoder().values()]
+    assert len(added) == 2
+    some = [*added, *[a.upper() for a in added], *[a[:-1] for a in added], *[a[1:] for a in added], " ", "\n", "word", "É", "中", "'s", "<", "|", ">", "İ", "12"]
+    for _ in range(4000):
+        t = "".join(rng.choice(some, rng.integers(0, 9)))
+        want = encoder.tokenizer.encode(t, add_special_tokens=False).ids
+        assert encoder.encode(t) == np.array(want, "<u4").tobytes(), repr(t)
+
+
+def test_added_tokens_are_packed_as_the_tokenizer_gives_them(spark):
+    texts = ["hello <|endoftext|> world", "<|startoftext|>" * 3, "a<|endoftext|>b" * 2000, "É<|endoftext|>中"]
+    tokenizer = packing.Encoder.of(None).tokenizer
+    got = Counter()
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r["doc_id"], r["doc_tokens"]] += r["length"]
+    ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
+    assert got == Counter({(k, len(x)): len(x) for k, x in enumerate(ids)})
+
+
 def test_shards(docs):
     got = sharding.shard_by_bytes(docs).collect()
     want = Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t, _ in texts(docs))
