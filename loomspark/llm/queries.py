@@ -75,7 +75,7 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_pack
 
 ORACLES = {
     "op8_mixing": """
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
@@ -95,12 +95,30 @@ WITH d AS (
     CAST(CAST('0x' || md5('17:' || coalesce('s' || source, 'n'))[1:8] AS BIGINT) AS DOUBLE) / 4294967296.0 AS offset_
   FROM y
 ), r AS (
-  SELECT d.*, z.source_size, z.target, z.offset_, CASE WHEN z.source_size > 0 THEN z.target / z.source_size ELSE 0.0 END AS copies,
-    row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) AS n
-  FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source
+  SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size DESC, doc_id DESC NULLS LAST) AS place FROM d
+), f AS (
+  SELECT source, CAST(0 AS BIGINT) AS place, target AS left_, source_size AS size_left, offset_ AS total, CAST(0 AS BIGINT) AS n FROM z
+  UNION ALL
+  SELECT source, place, left_ - CAST(n * size AS DOUBLE), size_left - size, total + e, n
+  FROM (
+    SELECT *, CAST(floor(total + e) - floor(total) AS BIGINT) AS n
+    FROM (
+      SELECT f.source, r.place, f.left_, f.size_left, f.total, r.size,
+        CASE WHEN r.size > 0 THEN least(3.0::DOUBLE, greatest(0.0::DOUBLE, ceil((f.left_ - 3 * (f.size_left - r.size)) / r.size), least(f.left_ / f.size_left, floor(f.left_ / r.size)))) ELSE 0.0::DOUBLE END AS e
+      FROM f JOIN r ON r.source IS NOT DISTINCT FROM f.source AND r.place = f.place + 1
+      WHERE f.place < 512
+    )
+  )
+), g AS (
+  SELECT source, last(left_ ORDER BY place) AS left_, last(size_left ORDER BY place) AS size_left, last(total ORDER BY place) AS total FROM f GROUP BY source
+), h AS (
+  SELECT source, total, CASE WHEN size_left > 0 THEN greatest(0.0, least(3.0, left_ / size_left)) ELSE 0.0 END AS e FROM g
+), k AS (
+  SELECT r.doc_id, r.size, z.source_size, z.target,
+    CASE WHEN r.place <= 512 THEN f.n ELSE CAST(floor((r.place - 512) * h.e + h.total) - floor((r.place - 513) * h.e + h.total) AS BIGINT) END AS copies
+  FROM r JOIN z ON r.source IS NOT DISTINCT FROM z.source JOIN h ON r.source IS NOT DISTINCT FROM h.source
+  LEFT JOIN f ON r.source IS NOT DISTINCT FROM f.source AND r.place = f.place
 )
-SELECT doc_id, size, source_size, target,
-  CAST((floor(n * copies + offset_) - floor((n - 1) * copies + offset_)) * size AS BIGINT) AS taken
-FROM r
+SELECT doc_id, size, source_size, target, copies * size AS taken FROM k
 """,
 }

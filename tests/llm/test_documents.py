@@ -387,26 +387,80 @@ def waterfill(sizes):
         free -= over
 
 
-def test_mix(docs):
+def brute_copies(sizes, target, start, fold):
+    """One document after another, longest first; `fold` of them settled in turn, the rest at one rate."""
+    left, size, total, out = target, sum(sizes), start, []
+    for k, s in enumerate(sizes):
+        if k < fold:
+            e = 0.0
+            if s > 0:
+                e = min(left / size, float(np.floor(left / s)))
+                e = min(3.0, max(0.0, float(np.ceil((left - 3 * (size - s)) / s)), e))
+            n = int(np.floor(total + e)) - int(np.floor(total))
+            out.append(n)
+            left, size, total = left - n * s, size - s, total + e
+        else:
+            e = max(0.0, min(3.0, left / size)) if size > 0 else 0.0
+            at = k - fold
+            out.append(int(np.floor((at + 1) * e + total)) - int(np.floor(at * e + total)))
+    return out
+
+
+@pytest.mark.parametrize("fold", [mixing.FOLD, 7, 1])
+def test_mix(docs, fold):
     rows = [(i, len(WORD.findall(t)), s) for i, t, s in texts(docs)]
-    sizes = Counter()
-    for _, n, s in rows:
+    sizes, by = Counter(), defaultdict(list)
+    for i, n, s in rows:
         sizes[s] += n
+        by[s].append((-n, i is None, -(i or 0)))
     targets = waterfill(sizes)
-    got = mixing.mix(docs).collect()
+    got = mixing.mix(docs, fold=fold).collect()
     assert Counter((r["doc_id"], r["size"], r["source"]) for r in got) == Counter(rows)
-    taken, longest = Counter(), Counter()
+    taken, ours = Counter(), Counter()
     for r in got:
         assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - targets[r["source"]]) < 1e-6 * max(1, r["target"])
         assert r["taken"] == r["copies"] * r["size"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
-        longest[r["source"]] = max(longest[r["source"]], r["size"])
-    for s in sizes:
-        assert abs(taken[s] - targets[s]) <= longest[s] + 1e-6
-    again = mixing.mix(docs.repartition(5)).collect()
+        ours[r["source"], r["doc_id"], r["size"]] += r["copies"]
+    want = Counter()
+    for s, own in by.items():
+        own.sort()
+        start = int(hashlib.md5(f"17:{'n' if s is None else 's' + s}".encode()).hexdigest()[:8], 16) / 2**32
+        target = next(r["target"] for r in got if r["source"] == s)
+        for (n, none, i), c in zip(own, brute_copies([-n for n, _, _ in own], target, start, fold)):
+            want[s, None if none else -i, -n] += c
+        others = [-n for n, _, _ in own[fold:]]
+        assert abs(taken[s] - targets[s]) <= max([0.05 * targets[s], *others, 1 if len(own) > 7 else -own[0][0]])
+    assert ours == want
+    again = mixing.mix(docs.repartition(5), fold=fold).collect()
     assert Counter((r["doc_id"], r["size"], r["taken"]) for r in again) == Counter((r["doc_id"], r["size"], r["taken"]) for r in got)
 
 
+def test_many_sources_and_one_with_a_third_of_all_rows(spark):
+    rows = [(k, "word " * (1 + k * k % 90), "hot" if k % 3 == 0 else f"s{k % 400:03d}") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    targets, sizes = {}, Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    targets = waterfill(sizes)
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r["source"]] += r["taken"]
+        assert abs(r["target"] - targets[r["source"]]) < 1e-6 * r["target"]
+    assert all(abs(taken[s] - t) <= 90 for s, t in targets.items())
+
+
+def test_repeated_rows_share_their_copies(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", k) for k in range(5)] + [(2, "a b c", "x", 0), (None, "d", "y", 1), (None, "d", "y", 2)], "doc_id long, text string, source string, other int")
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"], r["source"]] += r["copies"]
+    got = Counter((r["doc_id"], r["source"], r["other"]) for r in mixing.take_copies(df).collect())
+    assert Counter({k: sum(n for g, n in got.items() if g[:2] == k) for k in want}) == want
+    ones = [n for (i, _, _), n in got.items() if i == 1]
+    assert max(ones) - min(ones) <= 1 and (len(ones) == 5 or max(ones) == 1)
+
+
 def test_copies_have_the_rows_columns(docs):
     copies = Counter()
     for r in mixing.mix(docs).collect():
