@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.materialize import settle
@@ -244,15 +244,15 @@ def component_ids(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` without those of a class but its first, by doc_id; all columns as they are.
 
-    What goes is sought by doc_id and text hash, so texts are dealt out at most once. Rows that
-    repeat both are one document, of which one row stays. Other cases as in `near_classes`.
+    What goes is sought by doc_id and text hash, so texts are dealt out once. Rows that repeat
+    both are one document, of which one row stays, the first by a hash of its other columns.
+    Other cases as in `near_classes`.
     """
-    found = settle(near_classes(docs, radius).withColumn("stays", F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))))
-    gone = found.where(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
-    here = F.xxhash64(whole(docs["text"]))
-    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (here == F.col("gone_hash")), "left_anti")
-    n = found.where("stays").agg(F.count("*").alias("rows"), F.count_distinct(F.struct("doc_id", "text_hash")).alias("docs")).first()
-    if n["rows"] == n["docs"]:
-        return left
-    tagged = left.select(F.struct(*left.columns).alias("row"), F.xxhash64(whole(left["text"])).alias("hash"), left["doc_id"].alias("id"))
-    return tagged.dropDuplicates(["id", "hash"]).select("row.*")
+    key = {"key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "key_none": F.col("doc_id").isNull()}
+    first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
+    gone = near_classes(docs, radius).where(~first).select(*[v.alias(k) for k, v in key.items()], F.col("text_hash").alias("key_hash"))
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*plain).alias("tie"), *[v.alias(k) for k, v in key.items()], F.xxhash64(whole(docs["text"])).alias("key_hash"))
+    left = rows.join(gone, [*key, "key_hash"], "left_anti")
+    place = F.row_number().over(Window.partitionBy(*key, "key_hash").orderBy("tie"))
+    return left.withColumn("place", place).where("place = 1").select("row.*")
