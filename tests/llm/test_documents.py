@@ -179,7 +179,8 @@ def test_quality_counts(docs):
     assert by_row(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == want
     for r in got.collect():
         assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
-        assert r["kept"] == (not r["base_failed"] and r["failed_rule"] is None)
+    want = Counter((i, not rejected(t)) for i, t, _ in texts(docs))
+    assert by_row(got, "doc_id", "kept") == want and by_row(rules.judge(docs.repartition(5)), *got.columns) == by_row(got, *got.columns)
 
 
 def rejected(t):
@@ -202,9 +203,26 @@ def test_cascade_keeps_whole_rows(docs):
 
 
 def test_cascade_order_is_by_rejection_per_cost(spark):
-    found = rules.order_rules(spark.read.parquet(f"{SF}/documents.parquet"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = rules.order_rules(docs)
     worth = [rate / cost for _, rate, cost in found]
     assert worth == sorted(worth, reverse=True) and len(found) == len(rules.RULES)
+    cost = {r.name: c for r, _, c in found}
+    assert cost["few_words"] < cost["symbols"] < cost["repeated_windows"]
+    # rates are those of the sample, whatever the partitions
+    assert {(r.name, rate) for r, rate, _ in found} == {(r.name, rate) for r, rate, _ in rules.order_rules(docs.repartition(7))}
+
+
+def test_cascade_order_follows_what_is_seen(spark):
+    """A costly rule that rejects all goes behind a cheap one that does, and before one that rejects none."""
+    from pyspark.sql import functions as F
+
+    slow = lambda f: F.size(F.filter(F.sequence(F.lit(1), F.lit(3000)), lambda x: x * x > 5 * f.n_words())) > 0
+    made = (rules.Rule("none", lambda f: f.n_words() < 0), rules.Rule("slow", slow), rules.Rule("cheap", lambda f: f.n_words() >= 0))
+    docs = spark.createDataFrame([(k, "some words here " * 20) for k in range(300)], "doc_id long, text string")
+    for _ in range(3):
+        assert [r.name for r, _, _ in rules.order_rules(docs, made)] == ["cheap", "slow", "none"]
+    assert [r.name for r, _, _ in rules.order_rules(docs.limit(0), made)] == ["none", "slow", "cheap"]
 
 
 def test_packing_round_trip(docs):
