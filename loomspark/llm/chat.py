@@ -32,33 +32,33 @@ def root_paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     """(tree, leaf, id, depth) of the messages on the best root-to-leaf paths; depth is 0 at the leaf.
 
     `messages`: tree, id, parent, score (id unique in a tree; a parent that is null or absent
-    marks a root). Self-joins double the step of each round: from pairs of a leaf and an ancestor
-    to those twice as far, until no jump is left, so a path of n messages takes log2(n) rounds.
-    Of each tree's paths the `top` with the highest mean score are chosen (None: all), ties by
-    the longer path and then the smaller leaf. Null scores count as 0. Messages that reply in
-    a ring have no leaf below them or lead to no root, and are in no path.
+    marks a root). Self-joins double the step of each round, so a path of n messages takes log2(n)
+    rounds. First each message learns the length and the score of its way to the root; by these the
+    `top` paths of each tree with the highest mean score are chosen (None: all), ties by the longer
+    path and then the smaller leaf. Then only the chosen leaves meet their ancestors, by the same jumps. Null
+    scores count as 0. Messages that reply in a ring, or lead into one, are in no path.
     """
     own = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    known = own.select("tree", F.col("id").alias("parent"))
-    jump = settle(own.where("parent is not null").select("tree", "id", "parent").join(known, ["tree", "parent"], "left_semi").select("tree", "id", F.col("parent").alias("up")))
-    answered = jump.select("tree", F.col("up").alias("id")).distinct()
-    pairs = settle(own.select("tree", "id").join(answered, ["tree", "id"], "left_anti").select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("depth")))
-    rounds, most = 0, own.count().bit_length()
-    while rounds <= most and not jump.isEmpty():
-        step = F.lit(1 << rounds)
-        hop = jump.withColumnRenamed("id", "at")
-        more = pairs.join(hop, (pairs["tree"] == hop["tree"]) & (pairs["id"] == hop["at"])).select(pairs["tree"], "leaf", F.col("up").alias("id"), (F.col("depth") + step).alias("depth"))
-        pairs = settle(pairs.union(more))
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = settle(a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.id"))).select("a.tree", "a.id", "b.up"))
-        rounds += 1
-    if top is None:
-        return pairs
-    scored = pairs.join(own.select("tree", "id", "score"), ["tree", "id"])
-    branches = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("n"), "leaf"))
-    best = branches.withColumn("place", place).where(F.col("place") <= top).select("tree", "leaf")
-    return pairs.join(best, ["tree", "leaf"], "left_semi")
+    known = own.select("tree", F.col("id").alias("parent"), F.lit(True).alias("there"))
+    # up: the message 2 ** k replies up, null past the root; n and score: of the messages on the way, the own included
+    now = settle(own.join(known, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("n"), "score"))
+    jumps, most = [now.select("tree", "id", "up").where("up is not null")], now.count().bit_length()
+    answered = jumps[0].select("tree", F.col("up").alias("id")).distinct()
+    while len(jumps) <= most and not jumps[-1].isEmpty():
+        b = now.select(F.col("tree").alias("t"), F.col("id").alias("at"), F.col("up").alias("far"), F.col("n").alias("more"), F.col("score").alias("added"))
+        met = now.join(b, (now["tree"] == b["t"]) & (now["up"] == b["at"]), "left")
+        now = settle(met.select("tree", "id", F.col("far").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("score") + F.coalesce("added", F.lit(0.0))).alias("score")))
+        jumps.append(now.select("tree", "id", "up").where("up is not null"))
+    leaves = now.where("up is null").join(answered, ["tree", "id"], "left_anti")  # the others lead into a ring
+    if top is not None:
+        place = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("n")), F.desc("n"), "id"))
+        leaves = leaves.withColumn("place", place).where(F.col("place") <= top)
+    pairs = leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("depth"))
+    for k, jump in enumerate(jumps[:-1]):  # of the last, none is left but in rings
+        pairs = settle(pairs)
+        hop = jump.select(F.col("tree").alias("t"), F.col("id").alias("at"), "up")
+        pairs = pairs.union(pairs.join(hop, (F.col("tree") == F.col("t")) & (F.col("id") == F.col("at"))).select("tree", "leaf", F.col("up").alias("id"), (F.col("depth") + F.lit(1 << k)).alias("depth")))
+    return settle(pairs)
 
 
 def format_turns(turns: Column) -> Column:
@@ -99,29 +99,36 @@ def format_trees(messages: DataFrame, top: int | None = 1) -> DataFrame:
     `messages`: tree, id, parent, score, role, text. One row a path: its messages from root to
     leaf as one conversation. Null role or text: empty. Empty table: no rows.
     """
-    thin = settle(messages.select("tree", "id", "parent", "score"))
-    paths = root_paths(thin, top)
-    texts = messages.select(F.col("tree").alias("t"), F.col("id").alias("i"), whole("role").alias("role"), whole("text").alias("text"))
-    joined = paths.join(texts, (F.col("tree") == F.col("t")) & (F.col("id") == F.col("i")))
+    paths = root_paths(settle(messages.select("tree", "id", "parent", "score")), top)
+    return format_paths(paths, messages.select("tree", "id", "role", "text"))
+
+
+def format_paths(paths: DataFrame, texts: DataFrame) -> DataFrame:
+    """`format_trees` from the chosen `paths` (tree, leaf, id, depth) and `texts` (tree, id, role, text).
+
+    Rows of `texts` that repeat tree and id are turns each, one after another by role and text. Only
+    here do texts move: to the places of their messages, and from there to their paths.
+    """
+    said = texts.select(F.col("tree").alias("t"), F.col("id").alias("i"), whole("role").alias("role"), whole("text").alias("text"))
+    joined = paths.join(said, (F.col("tree") == F.col("t")) & (F.col("id") == F.col("i")))
     grouped = joined.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("place"), "role", "text"))).alias("turns"))
     return grouped.withColumn("out", format_turns(F.col("turns"))).select("tree", "leaf", "out.formatted", "out.mask", F.size("turns").cast("long").alias("n_turns"))
 
 
-def as_chains(rows: DataFrame) -> DataFrame:
-    """Messages for `format_trees` from `rows` (conv_id, turn, role, text): each turn replies to the one before.
+def chain_texts(rows: DataFrame) -> DataFrame:
+    """tree (a string, so that a null conv_id is a conversation too), id, role, text of `rows` (conv_id, turn, role, text).
 
-    Returns them with tree (a string, so that a null conv_id is a conversation too) and conv_id.
-    Ties in turn are ordered by role and text, nulls first; repeated rows are turns each.
+    A message's id is its place in the order of turns, null first: rows with one conv_id and turn share it.
     """
-    tree = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null"))
-    place = F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text"))
-    return (
-        rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text"))
-        .withColumn("tree", tree)
-        .withColumn("id", place.cast("long"))
-        .withColumn("parent", F.when(F.col("id") > 1, F.col("id") - 1))
-        .select("conv_id", "tree", "id", "parent", F.lit(0.0).alias("score"), "role", "text")
-    )
+    tree = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("long").cast("string")), F.lit("null"))
+    turn = F.col("turn").cast("long")
+    return rows.select(tree.alias("tree"), F.struct(turn.isNotNull().alias("known"), F.coalesce(turn, F.lit(0)).alias("turn")).alias("id"), F.col("role").alias("role"), F.col("text").alias("text"))
+
+
+def as_chains(texts: DataFrame) -> DataFrame:
+    """Thin messages (tree, id, parent, score) from `chain_texts`: each turn replies to the one before."""
+    turns = texts.select("tree", "id").distinct()
+    return turns.select("tree", "id", F.lag("id").over(Window.partitionBy("tree").orderBy("id")).alias("parent"), F.lit(0.0).alias("score"))
 
 
 def digest_conversations(rows: DataFrame) -> DataFrame:
@@ -129,11 +136,12 @@ def digest_conversations(rows: DataFrame) -> DataFrame:
 
     Returns conv_id, n_turns, turns_sha256 (role, newline, text, newline for each turn),
     loss_chars and loss_sha256 (the unescaped text under the mask) and formatted_chars. Null
-    conv_id: one conversation. Null role or text: empty. Repeated rows and ties: see
-    `as_chains`. No LEARNED turn: loss_chars 0. Empty table: no rows.
+    conv_id: one conversation. Null role or text: empty. Ties in turn are ordered by role and
+    text; repeated rows are turns each; null turns come first. No LEARNED turn: loss_chars 0. Empty
+    table: no rows.
     """
-    chains = settle(as_chains(rows))
-    made = format_trees(chains)
+    texts = chain_texts(rows)
+    made = format_paths(root_paths(settle(as_chains(texts))), texts)
     masked = F.array_join(F.transform("mask", lambda s: F.substring(F.col("formatted"), s["start"] + 1, s["length"])), "")
     said = F.transform(read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return (

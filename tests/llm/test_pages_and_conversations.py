@@ -186,6 +186,46 @@ def test_trees(spark):
     assert said(1) == [lost, four]
 
 
+def brute_paths(rows, top):
+    """rows: (tree, id, parent, score); every leaf's way up, one message after another."""
+    known = {(t, i): (p, s or 0.0) for t, i, p, s in rows}
+    answered = {(t, p) for t, i, p, _ in rows if (t, p) in known}
+    paths = defaultdict(list)
+    for t, i in known:
+        if (t, i) in answered:
+            continue
+        way, at = [], i
+        while (t, at) in known and at not in way:
+            way.append(at)
+            at = known[t, at][0]
+        if (t, at) in known:
+            continue  # into a ring
+        scores = [known[t, x][1] for x in way]
+        paths[t].append((-sum(scores) / len(way), -len(way), i, way))
+    return sorted((t, p[2], x, d) for t, own in paths.items() for p in sorted(own)[:top] for d, x in enumerate(p[3]))
+
+
+@pytest.mark.parametrize("top", [1, 2, None])
+def test_paths_equal_brute_force(spark, top):
+    import random
+
+    rng = random.Random(7)
+    rows = [("ring", 1, 2, 9.0), ("ring", 2, 1, 9.0), ("ring", 3, 2, 9.0), ("ring", 4, None, 0.0), ("self", 1, 1, 1.0), ("one", 5, None, None), ("wide", 0, None, 1.0)]
+    rows += [("wide", k, 0, float(k % 7)) for k in range(1, 300)]
+    for t in range(30):
+        n = rng.randint(1, 40)
+        rows += [(f"t{t}", k, rng.choice([None, 999, *range(k)]) if k else None, rng.choice([None, 0.0, 1.0, 2.0, -1.0])) for k in range(n)]
+    df = spark.createDataFrame(rows, "tree string, id long, parent long, score double").repartition(5)
+    assert sorted((r["tree"], r["leaf"], r["id"], r["depth"]) for r in chat.root_paths(df, top).collect()) == brute_paths(rows, top)
+
+
+def test_texts_are_dealt_out_twice_at_most(spark):
+    """The plan of the last step moves texts to their messages and to their paths; no window or checkpoint holds them."""
+    df = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    plan = chat.digest_conversations(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Window" not in plan and plan.count("Exchange") <= 3
+
+
 def test_paths_double_their_steps(spark):
     df = spark.range(1000).selectExpr("'t' AS tree", "id", "CASE WHEN id > 0 THEN id - 1 END AS parent", "0.0 AS score")
     got = sorted((r["depth"], r["id"]) for r in chat.root_paths(df).collect())
