@@ -96,7 +96,181 @@ mulanpsl-2.0 | mulanpsl 2 0 | mulan permissive software license( version| v)? ?2
 openrail | openrail | (creativeml |bigscience )?open ?rail( m)?( license)?
 """
 
-#: label | keyword | regex, for grants and notices that name no version; the lowest priority but one
+#: label | keyword | regex, for sentences and headings of license texts that tell which license it is
+TEXTS = """
+mit | permission is hereby granted | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit | above copyright notice | the above copyright notice and this permission notice (shall be included|are included) in all copies or substantial portions of the software
+mit | deal in the software | to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense
+mit-0 | deal in the software without restriction | permission is hereby granted free of charge to any person to deal in the software without restriction and without attribution
+x11 | x consortium | the name of the x consortium shall not be used in advertising
+isc | permission to use copy modify | permission to use copy modify (and |and or )?distribute this software for any purpose with or without fee is hereby granted
+0bsd | with or without fee | permission to use copy modify (and |and or )?distribute this software for any purpose with or without fee is hereby granted the software is provided
+isc | disclaims all warranties | the author disclaims all warranties with regard to this software
+bsd-2-clause | redistributions in binary form | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+bsd-2-clause | redistributions of source code | redistributions of source code must retain the above copyright notice
+bsd-3-clause | endorse or promote products | (neither the name|the names?) of ([^ ]+ ){0,12}may (not )?be used to endorse or promote products derived from this software
+bsd-4-clause | advertising materials mentioning | all advertising materials mentioning features or use of this software must display the following acknowledg(e)?ment
+bsd-source-code | binary form need not | redistributions in binary form need not reproduce the copyright notice
+bsd-3-clause-clear | no express or implied licenses | no express or implied licenses to any party s patent rights are granted by this license
+zlib | origin of this software | the origin of this software must not be misrepresented you must not claim that you wrote the original (software|licensed software)
+zlib | plainly marked as such | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+zlib | damages arising from the use | in no event will the authors be held liable for any damages arising from the use of this software
+libpng-2.0 | png reference library | png reference library license( version 2)?
+apache-2.0 | apache org licenses license 2 0 | apache org licenses license 2 0( txt| html)?
+apache-2.0 | except in compliance with the license | you may not use this file except in compliance with the license
+apache-2.0 | limitations under the license | see the license for the specific language governing permissions and limitations under the license
+apache-2.0 | terms and conditions for use reproduction | terms and conditions for use reproduction and distribution
+apache-2.0 | grant of patent license | grant of patent license subject to the terms and conditions of this license each contributor hereby grants
+apache-1.1 | developed by the apache | this product includes software developed by the apache software foundation
+apache-1.1 | apache and apache software foundation | the names apache and apache software foundation must not be used to endorse
+llvm-exception | llvm exception | (llvm exceptions to the apache 2 0 license|apache 2 0 with llvm exception|apache license v2 0 with llvm exceptions)
+unlicense | free and unencumbered software | this is free and unencumbered software released into the public domain
+unlicense | relinquishment in perpetuity | overt act of relinquishment in perpetuity of all present and future rights to this software
+wtfpl | just do what the fuck | you just do what the fuck you want to
+cc0-1.0 | commons deed is not | the commons deed is not a legal instrument
+cc0-1.0 | affirmer hereby overtly | affirmer hereby overtly fully permanently irrevocably and unconditionally waives
+cc0-1.0 | no copyright the person | no copyright the person who associated a work with this deed has dedicated the work to the public domain
+cc-by-4.0 | creative commons attribution 4 0 | creative commons attribution 4 0 international public license
+cc-by | appropriate credit provide a link | you must give appropriate credit provide a link to the license and indicate if changes were made
+cc-by-sa | distribute your contributions | if you remix transform or build upon the material you must distribute your contributions under the same license
+cc-by-nc | primarily intended for or directed | not primarily intended for or directed towards commercial advantage or monetary compensation
+cc-by-nc | use the material for commercial | you may not use the material for commercial purposes
+cc-by-nd | distribute the modified material | if you remix transform or build upon the material you may not distribute the modified material
+cc | some rights reserved this work | some rights reserved this work is licensed under a creative commons
+gpl | this program is free software | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
+gpl | without even the implied warranty | without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license
+gpl | received a copy of the gnu general | you should have received a copy of the gnu general public license( along with this program| along with this file)?
+gpl-2.0 | either version 2 of the license | either version 2 of the license or (at your option|by your choice) any later version
+gpl-2.0 | published by the free software foundation version 2 | published by the free software foundation version 2( of the license)?
+gpl-3.0 | either version 3 of the license | either version 3 of the license or (at your option|by your choice) any later version
+gpl-3.0 | published by the free software foundation version 3 | published by the free software foundation version 3( of the license)?
+gpl-2.0 | license version 2 june 1991 | gnu general public license version 2 june 1991
+gpl-3.0 | license version 3 29 june 2007 | gnu general public license version 3 29 june 2007
+gpl-1.0 | license version 1 february 1989 | gnu general public license version 1 february 1989
+gpl | copyleft license for software | the gnu general public license is a free copyleft license for software
+gpl | freedom to share and change | licenses for most software are designed to take away your freedom to share and change it
+gpl-2.0 | 2 or later | (licensed under |under )?(the )?gpl ?v? ?2 or later
+gpl-3.0 | 3 or later | (licensed under |under )?(the )?gpl ?v? ?3 or later
+gpl-2.0 | gplv2 only | gplv2 only
+gpl-3.0 | gplv3 only | gplv3 only
+classpath-exception | linking this library statically | linking this library statically or dynamically with other modules is making a combined work
+gcc-exception | gcc runtime library exception | gcc runtime library exception( version 3 1)?
+autoconf-exception | configure script | as a special exception ([^ ]+ ){0,12}configure script generated by autoconf
+font-exception | font exception | (gpl|general public license) with font exception
+lgpl-2.1 | license version 2 1 february 1999 | gnu lesser general public license version 2 1 february 1999
+lgpl-3.0 | lesser general public license version 3 29 june | gnu lesser general public license version 3 29 june 2007
+lgpl-2.0 | library general public license version 2 june | gnu library general public license version 2 june 1991
+lgpl | received a copy of the gnu lesser | you should have received a copy of the gnu lesser general public license
+lgpl | received a copy of the gnu library | you should have received a copy of the gnu library general public license
+agpl-3.0 | affero general public license version 3 19 | gnu affero general public license version 3 19 november 2007
+agpl | received a copy of the gnu affero | you should have received a copy of the gnu affero general public license
+agpl | interacting with it remotely | all users interacting with it remotely through a computer network
+gfdl-1.3 | documentation license version 1 3 3 | gnu free documentation license version 1 3 3 november 2008
+gfdl | no invariant sections | with no invariant sections no front cover texts and no back cover texts
+mpl-2.0 | subject to the terms of the mozilla | this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-2.0 | copy of the mpl was not distributed | if a copy of the mpl was not distributed with this file you can obtain one at
+mpl-1.1 | subject to the mozilla public license version 1 1 | the contents of this file are subject to the mozilla public license version 1 1
+mpl-1.0 | subject to the mozilla public license version 1 0 | the contents of this file are subject to the mozilla public license version 1 0
+mpl | incompatible with secondary licenses | this source code form is incompatible with secondary licenses
+npl-1.1 | netscape public license | netscape public license( version| v)? ?1 1
+epl-2.0 | made available under the terms of the eclipse public license 2 0 | made available under the terms of the eclipse public license 2 0
+epl-1.0 | made available under the terms of the eclipse public license v1 0 | made available under the terms of the eclipse public license v1 0
+edl-1.0 | eclipse distribution license | eclipse distribution license( version| v)? ?1 0
+cddl | terms of the common development and distribution license | subject to the terms of the common development and distribution license
+cecill-2.1 | cecill free software license agreement version 2 1 | cecill free software license agreement version 2 1
+cecill | cecill license | governed by the cecill license under french law
+cecill-b | cecill b license | cecill b license
+cecill-c | cecill c license | cecill c license
+eupl | licensed under the eupl | licensed under the eupl( version| v)?( 1 1| 1 2)?
+osl | open software license | licensed under the open software license
+artistic | perl itself | (you can redistribute it and or modify it )?under the same terms as perl itself
+artistic-1.0 | the artistic license preamble | the artistic license preamble the intent of this document is to state the conditions
+artistic-2.0 | artistic license 2 0 copyright | artistic license 2 0 copyright( c)? 2000 2006 the perl foundation
+bsl-1.0 | boost org license 1 0 | boost org license 1 0 txt
+bsl-1.0 | boost software license version 1 0 17 | boost software license version 1 0 17(th)? august 2003
+busl-1.1 | additional use grant | additional use grant (you may|none)( make production use of the licensed work)?
+busl-1.1 | effective on the change date | effective on the change date or the fourth anniversary of the first publicly available distribution
+sspl-1.0 | server side public license version 1 october | server side public license version 1 october 16 2018
+elastic-2.0 | hosted or managed service | you may not provide the software to third parties as a hosted or managed service
+commons-clause | commons clause | (commons clause license condition|commons clause)( v1 0)?
+polyform-noncommercial-1.0.0 | polyform noncommercial license | polyform noncommercial license( 1 0 0)?
+polyform-small-business-1.0.0 | polyform small business license | polyform small business license( 1 0 0)?
+hippocratic-2.1 | hippocratic license | hippocratic license( version)?( 2 1| 3 0)?
+ms-pl | microsoft public license | microsoft public license ms pl
+ms-pl | conditions and limitations a no trademark | conditions and limitations a no trademark license
+ms-lpl | microsoft limited public license | microsoft limited public license
+ofl-1.1 | reserved font name | with reserved font names?
+ofl-1.1 | sil open font license version 1 1 26 | sil open font license version 1 1 26 february 2007
+ofl-1.0 | sil open font license version 1 0 | sil open font license version 1 0
+ufl-1.0 | ubuntu font licen | ubuntu font licen[cs]e( version)?( 1 0)?
+bitstream-vera | bitstream vera | bitstream vera (fonts )?copyright
+odbl-1.0 | opendatacommons org licenses odbl | opendatacommons org licenses odbl( 1 0| summary)?
+odc-by-1.0 | opendatacommons org licenses by | opendatacommons org licenses by( 1 0| summary)?
+pddl-1.0 | opendatacommons org licenses pddl | opendatacommons org licenses pddl( 1 0| summary)?
+dbcl-1.0 | database contents license | (open data commons )?database contents license( v1 0)?
+cdla-permissive-2.0 | cdla permissive 2 0 | cdla permissive 2 0( license)?
+cdla-permissive-1.0 | community data license agreement permissive | community data license agreement permissive( version 1 0)?
+cdla-sharing-1.0 | community data license agreement sharing | community data license agreement sharing( version 1 0)?
+ogl-uk-3.0 | public sector information licensed | contains public sector information licensed under the open government licen[cs]e v3 0
+ogl-uk-2.0 | open government licence v2 0 | open government licence v2 0
+ogl-uk-1.0 | open government licence v1 0 | open government licence v1 0
+ogl-canada-2.0 | open government licence canada | open government licence canada
+etalab-2.0 | licence ouverte | licence ouverte( open licence)?( etalab)?( version)?( 2 0)?
+dl-de-by-2.0 | datenlizenz deutschland namensnennung | datenlizenz deutschland namensnennung( version)? 2 0
+dl-de-zero-2.0 | datenlizenz deutschland zero | datenlizenz deutschland zero( version)? 2 0
+psf-2.0 | python software foundation license version 2 | python software foundation license version 2
+psf-2.0 | psf hereby grants licensee | psf hereby grants licensee a nonexclusive royalty free world wide license
+cnri-python | cnri | cnri (open source )?license agreement
+ruby | same terms as ruby itself | (licensed )?under the same terms as ruby itself
+php-3.01 | freely available from http www php net | this product includes php software freely available from http www php net
+openssl | openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
+ssleay | cryptographic software written by eric young | this product includes cryptographic software written by eric young
+curl | curl license | curl license
+ncsa | deal with the software without restriction | to deal with the software without restriction
+postgresql | postgresql database management system | postgresql database management system ([^ ]+ ){0,8}portions copyright
+json | used for good not evil | the software shall be used for good not evil
+ijg | independent jpeg group | based in part on the work of the independent jpeg group
+ftl | freetype project license | (the )?freetype project license
+imagemagick | imagemagick license | imagemagick license
+info-zip | info zip license | info zip license
+libtiff | sam leffler and silicon graphics | the names of sam leffler and silicon graphics may not be used in any advertising
+tcl | tcl tk license | tcl tk license terms
+vim | vim is charityware | vim is charityware you can use and copy it as much as you like
+unicode-dfs | license agreement data files | unicode (inc )?license agreement data files and software
+w3c | w3c software notice and license | w3c software notice and license
+w3c | w3 org consortium legal | w3 org consortium legal (2015 )?copyright software
+intel-acpi | intel open source license | intel open source license
+nasa-1.3 | nasa open source | nasa open source (software )?agreement( version 1 3)?
+qpl-1.0 | q public license | q public license( version 1 0)?
+rpl-1.5 | reciprocal public license | reciprocal public license( version)?( 1 5| 1 1)?
+sleepycat | sleepycat license | sleepycat license
+sissl | sun industry standards source license | sun industry standards source license( version 1 1)?
+apsl-2.0 | apple public source license | apple public source license( version)?( 2 0| 1 2)?
+lppl | latex project public license | conditions of the latex project public license either version 1 3
+knuth-ctan | donald knuth | donald knuth license
+anti-996 | anti 996 license | anti 996 license( version 1 0)?
+blueoak-1.0.0 | blue oak model license | blue oak model license( 1 0 0)?
+isc | openbsd license | openbsd license
+beerware | buy me a beer | you can buy me a beer in return
+openrail | use based restrictions | use based restrictions as referenced in paragraph 5( of this license)?
+bigscience-rail-1.0 | bigscience rail license | bigscience rail license( v1 0)?
+llama-2 | llama 2 community license | llama 2 community license( agreement)?
+llama-3 | llama 3 community license | (meta )?llama 3 community license( agreement)?
+gemma | gemma terms of use | gemma terms of use( license)?
+jrl | java research license | java research license
+oracle-bcl | oracle binary code license | oracle binary code license agreement
+fair-source | functional source license | functional source license( version)?( 1 1)?
+copyfree | copyfree open innovation license | copyfree open innovation license
+oasis | oasis open | copyright( c)? oasis open
+ietf | ietf trust legal provisions | ietf trust legal provisions relating to ietf documents
+ietf | the internet society | copyright( c)? the internet society
+pixabay | pixabay | pixabay (content )?license
+unsplash | unsplash license | unsplash license
+stack-exchange | user contributions licensed under cc by sa | user contributions licensed under cc by sa
+wikipedia | available under the creative commons attribution share | text is available under the creative commons attribution share ?alike license
+"""
+
+#: label | keyword | regex, for grants and notices that name no version; the lowest priority
 NOTICES = """
 apache | apache | apache license
 bsd | bsd | bsd (style )?license
@@ -122,19 +296,56 @@ reserved | rights reserved | (all|some) rights reserved
 copyright | copyright | copyright( c)? (19|20)\\d\\d( (19|20)\\d\\d)?
 proprietary | confidential | proprietary and confidential
 no-warranty | warranty | (without warranty of any kind|as is without warranty)
+no-warranty | merchantability | (implied )?warrant(y|ies) of merchantability
+no-warranty | provided by the copyright holders | provided by the copyright holders and contributors as is
+no-liability | liable | in no event shall (the )?(authors?|copyright holders?|contributors) ([^ ]+ ){0,8}be liable
+patent | patent pending | patent pending
+patent | patents | protected by (one or more|the following) (u s |us )?patents
+trademark | registered trademark | (is a|are) registered trademarks? of
+proprietary | trade secret | (contains|constitutes) (confidential and )?trade secrets?( information)? of
+proprietary | unauthorized | unauthorized (copying|reproduction|use|distribution) of this (file|software|document|work)( [^ ]+){0,6} is strictly prohibited
+proprietary | without the prior written permission | (reproduced|distributed|transmitted|copied) ([^ ]+ ){0,12}without the prior written permission of the (publisher|author|copyright holder|owner)
+proprietary | end user license agreement | end user license agreement
+proprietary | terms of service | subject to (our|the) terms of service
+proprietary | internal use only | for internal use only
+non-commercial | commercial use only | for (personal and )?non ?commercial use only
+non-commercial | commercial use | (no|not for) commercial use( is permitted| is allowed)?
+research-only | research purposes only | for (academic |educational )?(and )?research purposes only
+evaluation-only | evaluation purposes only | for evaluation purposes only
+reserved | todos los derechos reservados | todos los derechos reservados
+reserved | tous droits | tous droits (de reproduction )?(reserves|réservés)
+reserved | alle rechte vorbehalten | alle rechte vorbehalten
+reserved | tutti i diritti riservati | tutti i diritti riservati
+reserved | no rights reserved | no rights reserved
+copyright | copr | copr (19|20)\\d\\d
+copyright | urheberrechtlich | urheberrechtlich geschützt
+fair-use | fair use | fair use (notice|disclaimer)
+cc-by | licensed under cc by | (photo|image|text|content) (by|credit) ([^ ]+ ){0,8}licensed under cc by
+open-access | open access article | this is an open access article (distributed )?under the terms of
+us-government | of the united states government | works? of the united states government
+permission | permission | (reprinted|reproduced|used) (with|by) (kind )?permission( of)?
+dual | licensed under | (is |are )?dual ?licensed under
+same-as | licensed under the same terms | licensed under the same terms as
+see-file | file | see (the )?(accompanying )?licen[cs]e file( for details| for copyright)?
 """
 
 #: Words without which a text is not looked at: every rule's text has one of them.
-ANCHORS = ("licen", "cc by", "cc0", "gpl", "copyright", "rights reserved", "public domain", "spdx", "commons", "unlicense", "redistribution and use", "permission ", "altered source versions", "warranty", "confidential", "asl 2 0", "openrail", "open rail", "zero clause", "mit no attribution")
-#: A detection's trust by priority class: tag, grant, name, address, notice.
-TRUST = (1.0, 0.95, 0.9, 0.8, 0.5)
+ANCHORS = ("licen", "cc by", "cc0", "gpl", "copyright", "rights reserved", "public domain", "spdx", "commons", "unlicense", "redistribution and use", "permission", "altered source versions", "warranty", "confidential", "asl 2 0", "openrail", "open rail", "zero clause", "mit no attribution",
+    "redistribut", "deal in the software", "deal with the software", "what the fuck", "affirmer hereby", "advertis", "this software", "of the software", "terms and conditions for", "apache", "llvm exception", "appropriate credit",
+    "remix transform", "commercial", "the material", "merchantability", "free software foundation", "invariant sections", "interacting with it remotely", "special exception", "linking this library", "gcc runtime", "mozilla", "a copy of the mpl", "source code form",
+    "perl itself", "ruby itself", "boost org", "additional use grant", "change date", "managed service", "trademark", "font name", "bitstream vera", "opendatacommons", "cdla permissive", "datenlizenz", "php software", "openssl project", "cryptographic software",
+    "good not evil", "independent jpeg group", "charityware", "w3 org consortium", "open source", "apple public source", "buy me a beer", "based restrictions", "terms of use", "ietf trust", "patent", "trade secret", "unauthorized", "terms of service", "internal use only",
+    "purposes only", "derechos reservados", "droits", "rechte vorbehalten", "diritti riservati", "copr ", "urheberrechtlich", "fair use", "open access article", "united states government", "provided by the", "be liable", "held liable", "published by the", "silicon graphics", "png reference", "x consortium")
+#: A detection's trust by priority class: tag, grant, name, address, text, notice.
+TRUST = (1.0, 0.95, 0.9, 0.8, 0.7, 0.5)
 
 
 def signature_rules() -> list[dict]:
     """The rules in order: no (place), class (priority, 0 first), label, keyword, regex.
 
     Each license gives rules for its identifier tag, for its names in a grant, for its names
-    alone and for its address (two for those of Creative Commons); NOTICES come last. All work on words joined by single spaces.
+    alone and for its address (two for those of Creative Commons); then come TEXTS and NOTICES,
+    each line a rule of its own. All work on words joined by single spaces.
     """
     rows = [[x.strip() for x in line.split("|", 2)] for line in LICENSES.strip().splitlines()]
     out = []
@@ -156,9 +367,10 @@ def signature_rules() -> list[dict]:
         if label.startswith("cc"):
             path = "publicdomain zero 1 0" if label == "cc0-1.0" else f"licenses {tag.removeprefix('cc ')}"
             add(3, label, f"creativecommons org {path}", f"creativecommons org {path}")
-    for line in NOTICES.strip().splitlines():
-        label, keyword, regex = (x.strip() for x in line.split(" | ", 2))
-        add(4, label, keyword, regex)
+    for kind, lines in ((4, TEXTS), (5, NOTICES)):
+        for line in lines.strip().splitlines():
+            label, keyword, regex = (x.strip() for x in line.split(" | ", 2))
+            add(kind, label, keyword, regex)
     return out
 
 

@@ -92,7 +92,10 @@ def test_license_labels_equal_brute_force(docs):
 
 def test_license_rules_are_sound():
     found = licenses.signature_rules()
-    assert len(found) >= 200
+    assert len(found) >= 600
+    written = [x for lines in (licenses.TEXTS, licenses.NOTICES) for x in lines.strip().splitlines()]
+    names = [n for line in licenses.LICENSES.strip().splitlines() for n in line.split("|", 2)[2].split(";")]
+    assert len(written) + len(names) >= 300 and len({r["regex"] for r in found}) >= 600
     for r in found:
         re.compile(r["regex"])
         assert r["keyword"]
@@ -109,6 +112,8 @@ def spelt(pattern):
         for op, arg in tree:
             if op is C.LITERAL:
                 parts.append([chr(arg)])
+            elif op is C.NOT_LITERAL:
+                parts.append(["x"])
             elif op is C.IN:
                 parts.append([chr(a) if o is C.LITERAL else {C.CATEGORY_DIGIT: "7", C.CATEGORY_NOT_SPACE: "x"}[a] for o, a in arg])
             elif op is C.MAX_REPEAT:
@@ -144,6 +149,13 @@ def test_license_spelt_out_names(spark):
         "MIT No Attribution": "mit-0",
         "http://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa-4.0",
         "http://creativecommons.org/publicdomain/zero/1.0/": "cc0-1.0",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions": "bsd-2-clause",
+        "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
+        "You should have received a copy of the GNU Affero General Public License along with this program.": "agpl,gpl",
+        "You may not use this file except in compliance with the License.": "apache-2.0",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+        "Tous droits réservés": "reserved",
     }
     df = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "doc_id long, text string")
     got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()}
