@@ -42,14 +42,16 @@ def root_paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     known = own.select("tree", F.col("id").alias("parent"), F.lit(True).alias("there"))
     # up: the message 2 ** k replies up, null past the root; n and score: of the messages on the way, the own included
     now = settle(own.join(known, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("n"), "score"))
-    jumps, most = [now.select("tree", "id", "up").where("up is not null")], now.count().bit_length()
+    most, rooted, going = now.count().bit_length(), now.where("up is null"), now.where("up is not null")
+    jumps = [going.select("tree", "id", "up")]
     answered = jumps[0].select("tree", F.col("up").alias("id")).distinct()
-    while len(jumps) <= most and not jumps[-1].isEmpty():
-        b = now.select(F.col("tree").alias("t"), F.col("id").alias("at"), F.col("up").alias("far"), F.col("n").alias("more"), F.col("score").alias("added"))
-        met = now.join(b, (now["tree"] == b["t"]) & (now["up"] == b["at"]), "left")
-        now = settle(met.select("tree", "id", F.col("far").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("score") + F.coalesce("added", F.lit(0.0))).alias("score")))
-        jumps.append(now.select("tree", "id", "up").where("up is not null"))
-    leaves = now.where("up is null").join(answered, ["tree", "id"], "left_anti")  # the others lead into a ring
+    while len(jumps) <= most and not going.isEmpty():  # only ways that have not reached the root go on
+        far = rooted.union(going).select(F.col("tree").alias("t"), F.col("id").alias("at"), F.col("up").alias("far"), F.col("n").alias("more"), F.col("score").alias("added"))
+        met = going.join(far, (going["tree"] == far["t"]) & (going["up"] == far["at"]))
+        now = settle(met.select("tree", "id", F.col("far").alias("up"), (F.col("n") + F.col("more")).alias("n"), (F.col("score") + F.col("added")).alias("score")))
+        rooted, going = rooted.union(now.where("up is null")), now.where("up is not null")
+        jumps.append(going.select("tree", "id", "up"))
+    leaves = rooted.join(answered, ["tree", "id"], "left_anti")  # what is left over leads into a ring
     if top is not None:
         place = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("n")), F.desc("n"), "id"))
         leaves = leaves.withColumn("place", place).where(F.col("place") <= top)
