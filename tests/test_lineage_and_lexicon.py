@@ -34,15 +34,18 @@ def test_extensions(spark):
 @pytest.mark.parametrize("raw,canonical,category", [
     ("S Mary V", "Saint Mary the Virgin", "abbreviation_expansion"), ("Cath Ch of S Paul", "Cathedral Church of Saint Paul", "abbreviation_expansion"), ("SS Peter & Paul", "Saints Peter and Paul", "abbreviation_expansion"), ("All SS", "All Saints", "abbreviation_expansion"),
     ("St Edmund K&M", "Saint Edmund King and Martyr", "abbreviation_expansion"), ("Holy Laurence", "Holy Lawrence", "spelling_variant"), ("  Our Lady ", "Our Lady", "verbatim"), ("H Trinity", "Holy Trinity", "abbreviation_expansion"), ("Peter & Paul", "Peter and Paul", "abbreviation_expansion"),
+    ("S Thomas a Becket", "Saint Thomas Becket", "spelling_variant"), ("St Thomas of Canterbury", "Saint Thomas Becket", "alias"), ("Holy Bartholomew", "Holy Bartholomew", "spelling_variant"), ("Botolph", "Botolph", "spelling_variant"),
+    ("Edmund K & M", "Edmund King and Martyr", "honorific_expansion"), ("SS Peter & Sts Paul", "Saints Peter and Sts Paul", "abbreviation_expansion"), ("S Mary and St Anne", "Saint Mary and St Anne", "abbreviation_expansion"), ("Sts Cosmas", "Saints Cosmas", "abbreviation_expansion"),
 ])
 def test_dedications(spark, raw, canonical, category):
     got = one(spark, X.apply_rules(F.lit(raw), X.dedication_rules()))
     assert (got["text"], got["category"]) == (canonical, category)
 
 
-@pytest.mark.parametrize("raw,canonical,category", [("St Albans", "Saint Albans", "abbreviation_expansion"), ("Stratford on Avon", "Stratford-upon-Avon", "toponym_variant"), ("York", "York", "verbatim")])
+@pytest.mark.parametrize("raw,canonical,category", [("St Albans", "Saint Albans", "abbreviation_expansion"), ("Stratford on Avon", "Stratford-upon-Avon", "toponym_variant"), ("York", "York", "verbatim"), ("South Mymms", "South Mimms", "spelling_variant"), ("King's Lynn,", "Kings Lynn", "punctuation_variant"),
+    ("bishop's stortford", "Bishops Stortford", "punctuation_variant"), ("Weston-super-Mare", "Weston-super-Mare", "toponym_variant"), (" Stoke-on-Trent , ", "Stoke-on-Trent", "toponym_variant"), ("St Stow on the Wold", "Saint Stow-on-the-Wold", "toponym_variant")])
 def test_places(spark, raw, canonical, category):
-    got = one(spark, X.apply_rules(F.lit(raw), X.place_rules()))
+    got = one(spark, X.apply_rules(F.lit(raw), X.place_rules(), ", "))
     assert (got["text"], got["category"]) == (canonical, category)
 
 
