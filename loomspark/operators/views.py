@@ -7,22 +7,21 @@ from pyspark.sql import functions as F
 
 
 def ringing_towers(dove: DataFrame) -> DataFrame:
-    """V1: the ringing register's attributes under plain names, a row for each ring."""
+    """V1: the ringing register, a row for each ring, with two columns under clearer names."""
     return dove.select(
-        F.col("RingID").alias("ring_id"), F.col("TowerID").alias("tower_id"), F.col("Place").alias("place"), F.col("Dedicn").alias("dedication"),
-        F.col("County").alias("county"), F.col("Country").alias("country"), F.col("Practice").alias("practice"),
+        "TowerID", "RingID", "DoveID", "Place", "County", "Region", "Country", "RingType", F.col("Bells").alias("bell_count"), F.col("Wt").alias("tenor_weight"), "Lat", "Long", "Practice", "WebPage",
     )
 
 
 def towers_unique(towers: DataFrame) -> DataFrame:
     """V2: one row a TowerID. MAX is safe as the attributes are the same for all of a tower's rings."""
-    attributes = ["Place", "Dedicn", "County", "Country", "Practice"]
+    attributes = ["Place", "Dedicn", "County", "Country", "Lat", "Long"]
     return towers.groupBy("TowerID").agg(*[F.max(c).alias(c) for c in attributes], F.count("*").alias("installations"))
 
 
 def dove_towers(dove: DataFrame) -> DataFrame:
     """V3: one row a TowerID with its smallest ring as the primary one and the number of rings."""
-    return dove.groupBy("TowerID").agg(F.min("RingID").alias("primary_ring"), F.count("RingID").alias("rings"), F.max("Place").alias("Place"), F.max("County").alias("County"))
+    return dove.groupBy("TowerID").agg(F.min("RingID").alias("primary_ring_id"), F.count("*").alias("rings"), *[F.max(c).alias(c) for c in ("Place", "Dedicn", "County")])
 
 
 def tower_performances(performances: DataFrame, unique: DataFrame) -> DataFrame:

@@ -22,11 +22,13 @@ SELECT o_orderkey AS perf_id, concat('Place ', CAST(o_custkey % 80 AS STRING)) A
   CASE WHEN o_orderstatus = 'O' THEN 'hand' ELSE 'tower' END AS ring_type,
   CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey % 110 END AS dove_tower_id,
   CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey END AS dove_ring_id,
-  CAST(CAST(o_orderdate AS DATE) AS STRING) AS perf_date,
+  CASE WHEN o_orderkey % 12 = 5 THEN '2023-05-06' WHEN o_orderkey % 12 = 7 THEN '2022-06-05' WHEN o_orderkey % 60 = 11 THEN '2022-09-19'
+    ELSE CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL '9128' DAY AS DATE) AS STRING) END AS perf_date,
   CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 101 = 0 THEN 5000 ELSE CAST(1000 + (o_orderkey * 37) % 6000 AS INT) END AS changes,
   CASE WHEN o_orderkey % 19 = 0 THEN '45m' ELSE concat(CAST(2 + o_orderkey % 2 AS STRING), 'h ', CAST(o_orderkey % 60 AS STRING)) END AS duration,
   CASE WHEN o_orderkey % 23 = 0 THEN '12 cwt' ELSE concat(CAST(8 + o_orderkey % 10 AS STRING), '-', CAST(o_orderkey % 4 AS STRING), '-', CAST(o_orderkey % 28 AS STRING)) END AS tenor,
-  CASE o_orderkey % 7 WHEN 0 THEN concat(CAST(70 + o_orderkey % 29 AS STRING), ' Tolling') WHEN 1 THEN 'Call Changes' WHEN 2 THEN ' ' WHEN 3 THEN NULL
+  CASE o_orderkey % 7 WHEN 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN concat(CAST(70 + o_orderkey % 29 AS STRING), ' Tolling') ELSE concat(substr(CAST(o_orderdate AS STRING), 9, 2), ' Tolling') END
+    WHEN 1 THEN 'Call Changes' WHEN 2 THEN ' ' WHEN 3 THEN NULL WHEN 4 THEN concat('County style ', CAST((o_custkey % 110) % 5 AS STRING))
     ELSE concat('small ring ', CAST(o_orderkey % 5 AS STRING)) END AS method,
   o_orderpriority AS association
 FROM {orders}""",
@@ -43,7 +45,7 @@ FROM {orders}
 UNION ALL
 SELECT o_orderkey, 2, 'Rung fully muffled' FROM {orders} WHERE o_orderstatus = 'F'""",
     "methods": """
-SELECT concat('m', CAST(p_partkey AS STRING)) AS method_id, concat(p_name, ' ', CAST(p_size % 9 AS STRING)) AS title,
+SELECT concat('m', CAST(p_partkey AS STRING)) AS method_id, CASE WHEN p_partkey <= 2 THEN concat('County style ', CAST(p_partkey AS STRING)) ELSE concat(p_name, ' ', CAST(p_size % 9 AS STRING)) END AS title,
   CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE concat(p_name, ' ', p_brand) END AS name, CAST(4 + p_size % 9 AS INT) AS stage,
   CASE WHEN p_type = 'ECONOMY' THEN NULL ELSE p_type END AS classification, CAST(p_partkey % 2 AS INT) AS cls_little,
   concat('-', CAST(p_size AS STRING)) AS notation, CASE WHEN p_partkey % 3 = 0 THEN 'palindromic' END AS symmetry,
@@ -59,9 +61,9 @@ SELECT concat('m', CAST(l_partkey AS STRING)) AS method_id, l_linenumber AS posi
   CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE l_suppkey END AS dove_tower_id
 FROM {lineitem}""",
     "performance_methods": """
-SELECT l_orderkey AS perf_id, concat('m', CAST(l_partkey AS STRING)) AS method_id,
-  CASE min(l_returnflag) WHEN 'A' THEN 'high' WHEN 'N' THEN 'medium' ELSE 'low' END AS confidence
-FROM {lineitem} GROUP BY l_orderkey, l_partkey""",
+SELECT perf_id, method_id, CASE min(flag) WHEN 'A' THEN 'high' WHEN 'N' THEN 'medium' ELSE 'low' END AS confidence
+FROM (SELECT l_orderkey AS perf_id, l_returnflag AS flag, CASE WHEN l_partkey % 10 < 3 THEN concat('m', CAST(1 + (o_custkey % 110) % 5 AS STRING)) ELSE concat('m', CAST(l_partkey AS STRING)) END AS method_id
+  FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey) AS x GROUP BY perf_id, method_id""",
     "performance_method_unresolved": """
 SELECT o_orderkey AS perf_id, CASE o_orderkey % 3 WHEN 0 THEN 'spliced_count_mismatch' WHEN 1 THEN 'no_title_match' ELSE 'ambiguous_title' END AS reason,
   CASE WHEN o_orderkey % 21 = 0 THEN NULL ELSE CAST(2 + o_orderkey % 5 AS INT) END AS expected_n, CAST(o_orderkey % 9 AS INT) AS found_n,
@@ -70,7 +72,9 @@ FROM {orders} WHERE o_orderstatus = 'P'""",
     "towers": """
 SELECT c_custkey AS RingID, c_custkey % 100 AS TowerID, concat('Place ', CAST(c_custkey % 100 AS STRING)) AS Place, c_mktsegment AS Dedicn, c_mktsegment AS BareDedicn,
   CASE WHEN c_custkey % 4 = 0 THEN 'Upper' END AS Place2, concat('CL ', CAST(c_custkey % 100 AS STRING)) AS PlaceCL, CASE WHEN c_custkey % 6 = 0 THEN 'Old' END AS AltName,
-  CASE WHEN c_custkey % 25 = 7 THEN NULL ELSE concat('County ', CAST(c_custkey % 5 AS STRING)) END AS County, concat('Country ', CAST(c_custkey % 2 AS STRING)) AS Country, c_acctbal AS Lat,
+  CASE WHEN c_custkey % 25 = 7 THEN NULL ELSE concat('County ', CAST(c_custkey % 5 AS STRING)) END AS County, concat('Country ', CAST(c_custkey % 2 AS STRING)) AS Country, c_acctbal AS Lat, c_acctbal / 3 AS Long,
+  concat('D', CAST(c_custkey AS STRING)) AS DoveID, CASE WHEN c_custkey % 8 > 0 THEN concat('Region ', CAST(c_custkey % 3 AS STRING)) END AS Region, CASE WHEN c_custkey % 9 = 0 THEN 'Lightweight' ELSE 'Full-circle ring' END AS RingType,
+  4 + c_custkey % 9 AS Bells, CASE WHEN c_custkey % 11 > 0 THEN concat(CAST(5 + c_custkey % 30 AS STRING), '-0-0') END AS Wt, CASE WHEN c_custkey % 4 = 0 THEN concat('https://example.org/', CAST(c_custkey AS STRING)) END AS WebPage,
   CASE c_custkey % 10 WHEN 0 THEN 'Mon' WHEN 1 THEN 'Tue 7.30' WHEN 2 THEN 'Wed (alt)' WHEN 3 THEN 'Thu' WHEN 4 THEN 'Fri by arrangement' WHEN 5 THEN 'Sat' WHEN 6 THEN '' WHEN 7 THEN NULL WHEN 8 THEN 'tue' ELSE 'Sun' END AS Practice
 FROM {customer}""",
     "bells": """
@@ -118,7 +122,7 @@ class Corpus:
 
 
 _DERIVED = {
-    "towers_unique": "SELECT TowerID, max(Place) AS Place, max(Dedicn) AS Dedicn, max(County) AS County, max(Country) AS Country, max(Practice) AS Practice, count(*) AS installations FROM towers GROUP BY TowerID",
+    "towers_unique": "SELECT TowerID, max(Place) AS Place, max(Dedicn) AS Dedicn, max(County) AS County, max(Country) AS Country, max(Lat) AS Lat, max(Long) AS Long, count(*) AS installations FROM towers GROUP BY TowerID",
     "dove": "SELECT * FROM towers",
 }
 _NEEDS = {"towers_unique": ["towers"], "dove": ["towers"]}

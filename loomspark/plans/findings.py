@@ -12,19 +12,33 @@ from loomspark.operators.views import performance_methods_view
 from loomspark.plans.bridge import Corpus, oracle
 from loomspark.plans.registry import recorded
 
+#: The order of a statement's rows, where it states one.
+ORDERS: dict[str, str] = {}
+
+
 def row_count() -> Column:
     return F.count("*")
 
-FIRST, LAST = "1996-01-01", "1999-12-31"
+
+FIRST, LAST = "2021-01-01", "2024-12-31"
 
 
-def over(statement: str, *tables: str) -> Callable:
-    """Record a function of a corpus, with its oracle over the tables named."""
+def ordered(df: DataFrame, order: str) -> DataFrame:
+    """`df` in the statement's own order, such as 'd, -n'; a tie goes by the other columns, so the order is one."""
+    asked = [x.strip() for x in order.split(",")]
+    rest = [c for c in df.columns if c not in [x.lstrip("-") for x in asked]]
+    return df.orderBy(*[F.desc(x[1:]) if x.startswith("-") else F.asc(x) for x in asked], *rest)
+
+
+def over(statement: str, *tables: str, order: str = "") -> Callable:
+    """Record a function of a corpus, with its oracle over the tables named and the order of its rows, if it has one."""
     def put(f: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return f(Corpus(spark, folder))
+            return ordered(f(Corpus(spark, folder)), order) if order else f(Corpus(spark, folder))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
+        if order:
+            ORDERS[f.__name__] = order
         recorded(oracle(statement, *tables))(run)
         return f
 
@@ -53,7 +67,7 @@ def q01_bells_by_group(c: Corpus) -> DataFrame:
 @over("""
 SELECT founder_group, count(DISTINCT e.method_id) AS methods_first_rung
 FROM method_performances e JOIN towers_unique u ON u.TowerID = e.dove_tower_id JOIN bells b ON b.Tower_ID = u.TowerID JOIN founders f ON f.Name = b.Founder
-WHERE e.event_type = 'firstTowerbellPeal' AND founder_group IS NOT NULL GROUP BY founder_group""", "method_performances", "towers_unique", "bells", "founders")
+WHERE e.event_type = 'firstTowerbellPeal' AND founder_group IS NOT NULL GROUP BY founder_group""", "method_performances", "towers_unique", "bells", "founders", order="-methods_first_rung")
 def q02_first_peals_by_group(c: Corpus) -> DataFrame:
     """Methods first rung on a group's bells; a method counts for every group that has a bell there."""
     groups = c.founders.where("founder_group IS NOT NULL").select(F.col("Name").alias("Founder"), "founder_group")
@@ -128,7 +142,7 @@ WITH earliest AS (
 SELECT {', '.join('m.' + x for x in _FAMILY)}, coalesce(classification, 'Principle') AS classification, e.perf_date AS first_date, e.town AS first_town,
   e.building AS first_building, e.society AS first_society, e.dove_tower_id AS first_tower_id
 FROM methods m LEFT JOIN earliest e ON e.method_id = m.method_id
-WHERE (SELECT count(DISTINCT o.stage) FROM methods o WHERE o.name = m.name) > 1""", "methods", "method_performances")
+WHERE (SELECT count(DISTINCT o.stage) FROM methods o WHERE o.name = m.name) > 1""", "methods", "method_performances", order="name, stage, method_id")
 def q10_method_families(c: Corpus) -> DataFrame:
     """Methods whose name stands at several stages, with the earliest of four kinds of event; ties by all its values."""
     event = F.struct("perf_date", "town", "building", "society", "dove_tower_id")
@@ -159,12 +173,12 @@ def q13_debut_denominators(c: Corpus) -> DataFrame:
     return c.methods.agg(row_count().alias("methods_total")).join(dated(c.method_performances).agg(F.count_distinct("method_id").alias("with_a_debut_date")))
 
 
-@over("SELECT method_id, perf_date AS debut_date, event_type, building, town, county, society, dove_tower_id FROM method_performances WHERE perf_date <> ''", "method_performances")
+@over("SELECT method_id, perf_date AS debut_date, event_type, building, town, county, society, dove_tower_id FROM method_performances WHERE perf_date <> ''", "method_performances", order="method_id, debut_date")
 def q14_dated_events(c: Corpus) -> DataFrame:
     return dated(c.method_performances).select("method_id", F.col("perf_date").alias("debut_date"), "event_type", "building", "town", "county", "society", "dove_tower_id")
 
 
-@over("SELECT event_type, substr(perf_date, 1, 4) AS year, count(*) AS events FROM method_performances WHERE event_type ILIKE '%keyboard%' AND perf_date <> '' GROUP BY ALL", "method_performances")
+@over("SELECT event_type, substr(perf_date, 1, 4) AS year, count(*) AS events FROM method_performances WHERE event_type ILIKE '%keyboard%' AND perf_date <> '' GROUP BY ALL", "method_performances", order="year, -events")
 def q15_keyboard_events(c: Corpus) -> DataFrame:
     return dated(c.method_performances).where(F.col("event_type").ilike("%keyboard%")).groupBy("event_type", F.substring("perf_date", 1, 4).alias("year")).agg(row_count().alias("events"))
 
@@ -211,7 +225,7 @@ SELECT perf_date AS d, count(*) AS n, CAST(sum(CAST(ring_type = 'tower' AS INT))
   CAST(sum(CAST(method ILIKE '%tolling%' AS INT)) AS BIGINT) AS n_toll,
   CAST(sum(CAST(perf_id IN (SELECT f.perf_id FROM performance_footnotes f WHERE f.footnote ILIKE '%muffl%') AS INT)) AS BIGINT) AS n_muffled,
   count(DISTINCT dove_tower_id) AS n_towers
-FROM performances WHERE perf_date BETWEEN '{FIRST}' AND '{LAST}' GROUP BY perf_date""", "performances", "performance_footnotes")
+FROM performances WHERE perf_date BETWEEN '{FIRST}' AND '{LAST}' GROUP BY perf_date""", "performances", "performance_footnotes", order="d")
 def q21_daily_profile(c: Corpus) -> DataFrame:
     """Nine measures a day; a performance with several muffled footnotes counts once."""
     quiet = c.performance_footnotes.where(muffled(F.col("footnote"))).select("perf_id").distinct().withColumn("quiet", F.lit(1))
@@ -223,7 +237,7 @@ def q21_daily_profile(c: Corpus) -> DataFrame:
     )
 
 
-@over(f"SELECT perf_date AS d, footnote, count(*) AS n FROM performance_footnotes JOIN performances USING (perf_id) WHERE perf_date BETWEEN '{FIRST}' AND '{LAST}' GROUP BY ALL HAVING count(*) >= 3", "performances", "performance_footnotes")
+@over(f"SELECT perf_date AS d, footnote, count(*) AS n FROM performance_footnotes JOIN performances USING (perf_id) WHERE perf_date BETWEEN '{FIRST}' AND '{LAST}' GROUP BY ALL HAVING count(*) >= 3", "performances", "performance_footnotes", order="d, -n")
 def q22_day_footnotes(c: Corpus) -> DataFrame:
     days = c.performances.where(F.col("perf_date").between(FIRST, LAST)).select("perf_id", F.col("perf_date").alias("d"))
     return c.performance_footnotes.join(days, "perf_id").groupBy("d", "footnote").agg(row_count().alias("n")).where("n >= 3")
@@ -241,7 +255,7 @@ def q24_muffled_base_rate(c: Corpus) -> DataFrame:
     return quiet.join(c.performances.agg(row_count().alias("n"))).select((F.col("quiet").cast("double") / F.col("n")).alias("rate"))
 
 
-@over(f"SELECT method, perf_date AS d, count(*) AS n FROM performances WHERE method ILIKE '%tolling%' AND perf_date BETWEEN '{FIRST}' AND '{LAST}' GROUP BY ALL", "performances")
+@over(f"SELECT method, perf_date AS d, count(*) AS n FROM performances WHERE method ILIKE '%tolling%' AND perf_date BETWEEN '{FIRST}' AND '{LAST}' GROUP BY ALL", "performances", order="-n")
 def q25_toll_candidates(c: Corpus) -> DataFrame:
     return c.performances.where(F.col("method").ilike("%tolling%") & F.col("perf_date").between(FIRST, LAST)).groupBy("method", F.col("perf_date").alias("d")).agg(row_count().alias("n"))
 
@@ -265,7 +279,7 @@ WITH peals AS (
 ), banded AS (SELECT * FROM peals WHERE cwt >= 10 AND cwt < 16 AND cpm > 10 AND cpm < 60
 ), per AS (SELECT conductor, avg(cpm) AS mean_cpm FROM banded GROUP BY conductor HAVING count(*) >= 20)
 SELECT (SELECT count(*) FROM banded) AS peals_measured, count(*) AS conductors, round((SELECT avg(cpm) FROM banded), 2) AS corpus_mean_cpm,
-  round(max(mean_cpm), 2) AS fastest, round(min(mean_cpm), 2) AS slowest, round(max(mean_cpm) - min(mean_cpm), 2) AS spread_cpm FROM per""", "performances", "performance_ringers")
+  round(max(mean_cpm), 2) AS fastest_conductor_mean, round(min(mean_cpm), 2) AS slowest_conductor_mean, round(max(mean_cpm) - min(mean_cpm), 2) AS spread_cpm FROM per""", "performances", "performance_ringers")
 def q27_conductor_speed(c: Corpus) -> DataFrame:
     """Spread of conductors' mean speeds in one weight class; no names in the result."""
     long = c.performances.where("ring_type = 'tower' AND changes > 5000").where(F.col("duration").ilike("%h%") & ~F.col("duration").ilike("%m%") & F.col("tenor").like("%-%-%"))
@@ -276,17 +290,17 @@ def q27_conductor_speed(c: Corpus) -> DataFrame:
     mean = lambda f: f(F.when(kept, F.col("mean")))
     return each.agg(
         F.coalesce(F.sum("peals"), F.lit(0)).alias("peals_measured"), F.count(F.when(kept, 1)).alias("conductors"), F.round(F.sum("sum") / F.sum("peals"), 2).alias("corpus_mean_cpm"),
-        F.round(mean(F.max), 2).alias("fastest"), F.round(mean(F.min), 2).alias("slowest"), F.round(mean(F.max) - mean(F.min), 2).alias("spread_cpm"),
+        F.round(mean(F.max), 2).alias("fastest_conductor_mean"), F.round(mean(F.min), 2).alias("slowest_conductor_mean"), F.round(mean(F.max) - mean(F.min), 2).alias("spread_cpm"),
     )
 
 
-@over("SELECT method, perf_date, count(*) AS n FROM performances WHERE regexp_matches(method, '^[0-9]') AND method ILIKE '%tolling%' GROUP BY ALL HAVING count(*) >= 2", "performances")
+@over("SELECT method, perf_date, count(*) AS n FROM performances WHERE regexp_matches(method, '^[0-9]') AND method ILIKE '%tolling%' GROUP BY ALL HAVING count(*) >= 3", "performances", order="-n")
 def q28_counted_tolls(c: Corpus) -> DataFrame:
-    """Tolls that begin with a number, rung at least twice in a day."""
-    return c.performances.where(F.col("method").rlike("^[0-9]") & F.col("method").ilike("%tolling%")).groupBy("method", "perf_date").agg(row_count().alias("n")).where("n >= 2")
+    """Tolls that begin with a number, rung at least three times in a day."""
+    return c.performances.where(F.col("method").rlike("^[0-9]") & F.col("method").ilike("%tolling%")).groupBy("method", "perf_date").agg(row_count().alias("n")).where("n >= 3")
 
 
-@over("SELECT concat(substr(perf_date, 1, 3), '0s') AS decade, count(*) AS first_peals FROM method_performances WHERE event_type = 'firstTowerbellPeal' AND regexp_matches(perf_date, '^[0-9]{4}-') GROUP BY decade", "method_performances")
+@over("SELECT concat(substr(perf_date, 1, 3), '0s') AS decade, count(*) AS first_peals FROM method_performances WHERE event_type = 'firstTowerbellPeal' AND regexp_matches(perf_date, '^[0-9]{4}-') GROUP BY decade", "method_performances", order="decade")
 def q29_first_peals_by_decade(c: Corpus) -> DataFrame:
     return tower_peals(c).where(F.col("perf_date").rlike("^[0-9]{4}-")).groupBy(F.concat(F.substring("perf_date", 1, 3), F.lit("0s")).alias("decade")).agg(row_count().alias("first_peals"))
 
@@ -310,17 +324,17 @@ def q31_linkage_coverage(c: Corpus) -> DataFrame:
     return c.performances.agg(row_count().alias("performances")).join(links).join(c.performance_method_unresolved.agg(row_count().alias("unresolved")))
 
 
-@over("SELECT confidence, count(*) AS links, count(DISTINCT perf_id) AS performances FROM performance_methods GROUP BY confidence", "performance_methods")
+@over("SELECT confidence, count(*) AS links, count(DISTINCT perf_id) AS performances FROM performance_methods GROUP BY confidence", "performance_methods", order="-links")
 def q32_links_by_confidence(c: Corpus) -> DataFrame:
     return c.performance_methods.groupBy("confidence").agg(row_count().alias("links"), F.count_distinct("perf_id").alias("performances"))
 
 
-@over("SELECT reason, count(*) AS performances FROM performance_method_unresolved GROUP BY reason", "performance_method_unresolved")
+@over("SELECT reason, count(*) AS performances FROM performance_method_unresolved GROUP BY reason", "performance_method_unresolved", order="-performances")
 def q33_unresolved_by_reason(c: Corpus) -> DataFrame:
     return c.performance_method_unresolved.groupBy("reason").agg(row_count().alias("performances"))
 
 
-@over("SELECT found_n - expected_n AS methods_off, count(*) AS performances FROM performance_method_unresolved WHERE reason = 'spliced_count_mismatch' AND expected_n IS NOT NULL GROUP BY 1", "performance_method_unresolved")
+@over("SELECT found_n - expected_n AS methods_off, count(*) AS performances FROM performance_method_unresolved WHERE reason = 'spliced_count_mismatch' AND expected_n IS NOT NULL GROUP BY 1", "performance_method_unresolved", order="-performances")
 def q34_methods_off(c: Corpus) -> DataFrame:
     rows = c.performance_method_unresolved.where("reason = 'spliced_count_mismatch' AND expected_n IS NOT NULL")
     return rows.groupBy((F.col("found_n") - F.col("expected_n")).alias("methods_off")).agg(row_count().alias("performances"))
@@ -330,14 +344,14 @@ def q34_methods_off(c: Corpus) -> DataFrame:
 WITH placed AS (
   SELECT method_id, title, County AS county FROM performance_methods JOIN performances USING (perf_id) JOIN towers_unique ON TowerID = dove_tower_id JOIN methods USING (method_id) WHERE County <> ''
 ), counted AS (SELECT method_id, title, county, count(*) AS county_perfs, CAST(sum(count(*)) OVER (PARTITION BY method_id) AS BIGINT) AS total_perfs FROM placed GROUP BY method_id, title, county)
-SELECT method_id, title AS method, county AS dominant_county, county_perfs, total_perfs, round(100.0 * county_perfs / total_perfs, 1) AS concentration_pct
-FROM counted WHERE total_perfs >= 10 AND 100.0 * county_perfs / total_perfs > 30""", "performance_methods", "performances", "towers_unique", "methods")
+SELECT title AS method, county AS dominant_county, county_perfs, total_perfs, round(100.0 * county_perfs / total_perfs, 1) AS concentration_pct
+FROM counted WHERE total_perfs >= 50 AND 100.0 * county_perfs / total_perfs > 50""", "performance_methods", "performances", "towers_unique", "methods", order="-concentration_pct")
 def q35_method_regionalism(c: Corpus) -> DataFrame:
-    """Counties with over 30 % of a method's performances, of at least 10 (thresholds of the bridged size)."""
+    """Counties with over half of a method's performances, of at least 50."""
     placed = c.performance_methods.join(c.performances.select("perf_id", "dove_tower_id"), "perf_id").join(c.towers_unique.where("County <> ''").select(F.col("TowerID").alias("dove_tower_id"), F.col("County").alias("dominant_county")), "dove_tower_id")
     counts = placed.groupBy("method_id", "dominant_county").agg(row_count().alias("county_perfs")).withColumn("total_perfs", F.sum("county_perfs").over(Window.partitionBy("method_id")))
     pct = share(F.col("county_perfs"), F.col("total_perfs"))
-    return counts.where((F.col("total_perfs") >= 10) & (pct > 30)).join(c.methods.select("method_id", F.col("title").alias("method")), "method_id").withColumn("concentration_pct", F.round(pct, 1))
+    return counts.where((F.col("total_perfs") >= 50) & (pct > 50)).join(c.methods.select("method_id", F.col("title").alias("method")), "method_id").select("method", "dominant_county", "county_perfs", "total_perfs", F.round(pct, 1).alias("concentration_pct"))
 
 
 @over("""
@@ -352,7 +366,7 @@ def q36_most_rung_methods(c: Corpus) -> DataFrame:
 
 @over("""
 SELECT stage, count(*) AS methods_in_library, CAST(sum(CASE WHEN method_id IN (SELECT method_id FROM performance_methods) THEN 0 ELSE 1 END) AS BIGINT) AS never_rung
-FROM methods WHERE stage BETWEEN 4 AND 12 GROUP BY stage""", "methods", "performance_methods")
+FROM methods WHERE stage BETWEEN 4 AND 12 GROUP BY stage""", "methods", "performance_methods", order="stage")
 def q37_never_rung(c: Corpus) -> DataFrame:
     """Methods of each stage without any link, whatever its confidence."""
     rung = c.performance_methods.select("method_id").distinct().withColumn("rung", F.lit(1))
@@ -362,7 +376,7 @@ def q37_never_rung(c: Corpus) -> DataFrame:
 @over("""
 SELECT CAST(10 * least(floor(10.0 * peals / appearances), 9) AS BIGINT) AS peal_share_band_pct, count(*) AS ringers, CAST(sum(appearances) AS BIGINT) AS appearances_in_band
 FROM (SELECT trim(name) AS ringer, count(*) AS appearances, sum(CASE WHEN changes >= 5000 THEN 1 ELSE 0 END) AS peals FROM performance_ringers JOIN performances USING (perf_id)
-  WHERE trim(name) <> '' AND changes IS NOT NULL GROUP BY ringer HAVING count(*) >= 50) GROUP BY 1""", "performance_ringers", "performances")
+  WHERE trim(name) <> '' AND changes IS NOT NULL GROUP BY ringer HAVING count(*) >= 50) GROUP BY 1""", "performance_ringers", "performances", order="peal_share_band_pct")
 def q38_peal_share_bands(c: Corpus) -> DataFrame:
     """Ringers by the share of peals in their appearances, in bands of ten per cent, the last one closed."""
     rung = c.performance_ringers.where(filled(F.col("name"))).join(c.performances.where("changes IS NOT NULL").select("perf_id", "changes"), "perf_id")
@@ -377,41 +391,41 @@ def stated_night(practice: Column, days: int) -> Column:
     return F.when(clear, found)
 
 
-def night_agreement(c: Corpus, performances: DataFrame, stated: DataFrame, last: int, total: str) -> DataFrame:
+def night_agreement(c: Corpus, performances: DataFrame, stated: DataFrame, last: int, total: str, on_night: str = "stated_night_perfs") -> DataFrame:
     """Stated against busiest weekday of each tower with 20 or more short performances on Monday to `last`."""
     days = performances.where("changes IS NULL OR changes < 5000").withColumn("dow", weekday(F.col("perf_date"))).where(F.col("dow").between(1, last))
     counts = days.groupBy(F.col("dove_tower_id").alias("TowerID"), "dow").agg(row_count().alias("n"))
     busiest = counts.groupBy("TowerID").agg(F.sum("n").alias(total), F.min_by("dow", F.struct(-F.col("n"), "dow")).alias("busiest_dow")).where(F.col(total) >= 20)
     on_day = counts.select("TowerID", F.col("dow").alias("stated_dow"), F.col("n").alias("on_day"))
     return stated.where("stated_dow IS NOT NULL").join(busiest, "TowerID").join(on_day, ["TowerID", "stated_dow"], "left").select(
-        "TowerID", "Place", "County", "Practice", "stated_dow", "busiest_dow", total, F.coalesce("on_day", F.lit(0)).alias("stated_night_perfs"),
+        *[x for x in stated.columns if x != "stated_dow"], "stated_dow", "busiest_dow", total, F.coalesce("on_day", F.lit(0)).alias(on_night),
         F.round(share(F.coalesce("on_day", F.lit(0)), F.col(total)), 1).alias("stated_night_pct"), (F.col("stated_dow") == F.col("busiest_dow")).cast("int").alias("is_busiest"),
     )
 
 
-def _night_sql(source: str, outer: str, inner: str, last: int, names: str, total: str) -> str:
+def _night_sql(source: str, outer: str, inner: str, last: int, names: str, total: str, extra: str = "", on_night: str = "stated_night_perfs") -> str:
     cases = " ".join(f"WHEN Practice ILIKE '{d}%' THEN {k}" for k, d in enumerate(names.split(), 1))
     return f"""
-WITH st AS (SELECT *, CASE WHEN {outer} THEN NULL {cases} END AS stated_dow FROM (SELECT TowerID, max(Place) AS Place, max(County) AS County, max(Practice) AS Practice FROM dove WHERE Practice <> '' {inner} GROUP BY TowerID)),
+WITH st AS (SELECT *, CASE WHEN {outer} THEN NULL {cases} END AS stated_dow FROM (SELECT TowerID, max(Place) AS Place, max(County) AS County, max(Practice) AS Practice, max(Dedicn) AS Dedicn FROM dove WHERE Practice <> '' {inner} GROUP BY TowerID)),
 c AS (SELECT dove_tower_id AS t, CAST(dayofweek(CAST(perf_date AS DATE)) AS INT) AS dow, count(*) AS n FROM {source} WHERE dove_tower_id IS NOT NULL AND (changes IS NULL OR changes < 5000)
   AND dayofweek(CAST(perf_date AS DATE)) BETWEEN 1 AND {last} GROUP BY ALL),
 b AS (SELECT t, CAST(sum(n) AS BIGINT) AS total, arg_min(dow, -n * 10 + dow) AS busiest_dow FROM c GROUP BY t HAVING sum(n) >= 20)
-SELECT TowerID, Place, County, Practice, stated_dow, busiest_dow, total AS {total}, coalesce(c.n, 0) AS stated_night_perfs, round(100.0 * coalesce(c.n, 0) / total, 1) AS stated_night_pct,
+SELECT TowerID, Place, {extra} County, Practice, stated_dow, busiest_dow, total AS {total}, coalesce(c.n, 0) AS {on_night}, round(100.0 * coalesce(c.n, 0) / total, 1) AS stated_night_pct,
   CAST(stated_dow = busiest_dow AS INT) AS is_busiest
 FROM st JOIN b ON b.t = TowerID LEFT JOIN c ON c.t = TowerID AND c.dow = stated_dow WHERE stated_dow IS NOT NULL"""
 
 
-@over(_night_sql("performances JOIN towers_unique u ON u.TowerID = dove_tower_id", "Practice ILIKE '%alt%' OR Practice ILIKE '%arrangement%'", "", 6, "Mon Tue Wed Thu Fri Sat", "total_non_sun_perfs"), "performances", "towers_unique", "dove")
+@over(_night_sql("performances JOIN towers_unique u ON u.TowerID = dove_tower_id", "Practice ILIKE '%alt%' OR Practice ILIKE '%arrangement%'", "", 6, "Mon Tue Wed Thu Fri Sat", "total_non_sun_perfs", "Dedicn,", "stated_day_perfs"), "performances", "towers_unique", "dove", order="-total_non_sun_perfs")
 def q39_practice_night(c: Corpus) -> DataFrame:
     """Monday to Saturday, over performances with a known tower; the wording is judged on the tower's greatest value."""
-    stated = c.dove.where("Practice <> ''").groupBy("TowerID").agg(*[F.max(x).alias(x) for x in ("Place", "County", "Practice")])
-    return night_agreement(c, c.tower_performances, stated.withColumn("stated_dow", stated_night(F.col("Practice"), 6)), 6, "total_non_sun_perfs")
+    stated = c.dove.where("Practice <> ''").groupBy("TowerID").agg(*[F.max(x).alias(x) for x in ("Place", "Dedicn", "County", "Practice")])
+    return night_agreement(c, c.tower_performances, stated.withColumn("stated_dow", stated_night(F.col("Practice"), 6)), 6, "total_non_sun_perfs", "stated_day_perfs")
 
 
 WEEKNIGHTS = _night_sql("performances", "false", "AND Practice NOT ILIKE '%alt%' AND Practice NOT ILIKE '%arrangement%'", 5, "Mon Tue Wed Thu Fri", "total_weekday")
 
 
-@over(WEEKNIGHTS, "performances", "dove")
+@over(WEEKNIGHTS, "performances", "dove", order="-total_weekday")
 def q40_practice_weeknight(c: Corpus) -> DataFrame:
     """Monday to Friday, over all performances with a tower; the wording is judged row by row."""
     rows = c.dove.where("Practice <> ''").where(~F.col("Practice").ilike("%alt%") & ~F.col("Practice").ilike("%arrangement%"))
@@ -422,14 +436,15 @@ def q40_practice_weeknight(c: Corpus) -> DataFrame:
 @over("""
 WITH counted AS (SELECT trim(method) AS method, County AS county, count(*) AS county_perfs, CAST(sum(count(*)) OVER (PARTITION BY trim(method)) AS BIGINT) AS total_perfs
   FROM performances JOIN towers_unique ON TowerID = dove_tower_id WHERE trim(method) <> '' AND County <> '' GROUP BY trim(method), County)
-SELECT method, county AS dominant_county, county_perfs, total_perfs, CASE WHEN method IN (SELECT title FROM methods) THEN 'library method' ELSE 'not a library method' END AS kind
-FROM counted WHERE total_perfs >= 50 AND 100.0 * county_perfs / total_perfs > 25""", "performances", "towers_unique", "methods")
+SELECT method, county AS dominant_county, county_perfs, total_perfs, round(100.0 * county_perfs / total_perfs, 1) AS concentration_pct, CASE WHEN method IN (SELECT title FROM methods) THEN 'library method' ELSE 'not a library method' END AS kind
+FROM counted WHERE total_perfs >= 50 AND 100.0 * county_perfs / total_perfs > 70""", "performances", "towers_unique", "methods", order="-concentration_pct")
 def q41_regional_traditions(c: Corpus) -> DataFrame:
-    """Strings rung mostly in one county (over 25 % at the bridged size), and whether the library knows them."""
+    """Strings with over 70 % of their performances in one county, and whether the library knows them."""
     placed = c.tower_performances.where(filled(F.col("method")) & (F.col("County") != ""))
     counts = placed.groupBy(F.trim("method").alias("method"), F.col("County").alias("dominant_county")).agg(row_count().alias("county_perfs")).withColumn("total_perfs", F.sum("county_perfs").over(Window.partitionBy("method")))
     known = c.methods.select(F.col("title").alias("method")).distinct().withColumn("known", F.lit(True))
-    kept = counts.where((F.col("total_perfs") >= 50) & (share(F.col("county_perfs"), F.col("total_perfs")) > 25))
+    pct = share(F.col("county_perfs"), F.col("total_perfs"))
+    kept = counts.where((F.col("total_perfs") >= 50) & (pct > 70)).withColumn("concentration_pct", F.round(pct, 1))
     return kept.join(known, "method", "left").withColumn("kind", F.when(F.col("known"), "library method").otherwise("not a library method")).drop("known")
 
 
@@ -439,7 +454,7 @@ WITH tp AS (SELECT label AS practice, County AS county FROM performance_method_u
 a AS (SELECT County AS county, count(*) AS county_total FROM performances JOIN towers_unique ON TowerID = dove_tower_id WHERE County <> '' GROUP BY 1),
 p AS (SELECT practice, count(*) AS national_total FROM tp GROUP BY 1 HAVING count(*) >= 50)
 SELECT practice, county, count(*) AS performances, county_total, round(100.0 * count(*) / county_total, 2) AS pct_of_county, national_total, round(100.0 * count(*) / national_total, 2) AS pct_of_national
-FROM tp JOIN p USING (practice) JOIN a USING (county) WHERE county_total >= 500 GROUP BY practice, county, county_total, national_total""", "performance_method_unresolved", "performances", "towers_unique", "traditions")
+FROM tp JOIN p USING (practice) JOIN a USING (county) WHERE county_total >= 500 GROUP BY practice, county, county_total, national_total""", "performance_method_unresolved", "performances", "towers_unique", "traditions", order="practice, -pct_of_county")
 def q42_traditions_normalised(c: Corpus) -> DataFrame:
     """Practice by county of unresolved performances, against all output of the county and of the practice."""
     placed = c.tower_performances.where("County <> ''").select("perf_id", F.col("County").alias("county"))
@@ -451,16 +466,19 @@ def q42_traditions_normalised(c: Corpus) -> DataFrame:
     return cells.withColumn("pct_of_county", pct("county_total")).withColumn("pct_of_national", pct("national_total"))
 
 
-_DATES = ("1996-11-10", "1997-11-09", "1998-11-08", "1999-11-14")
+_DATES = ("2021-11-14", "2022-11-13", "2023-11-12", "2024-11-10")
 
 
 @over(f"""
-SELECT perf_date, count(DISTINCT perf_id) AS performances, count(DISTINCT CASE WHEN footnote ILIKE '%muffl%' THEN perf_id END) AS muffled
-FROM performances LEFT JOIN performance_footnotes USING (perf_id) WHERE perf_date IN {_DATES} GROUP BY perf_date""", "performances", "performance_footnotes")
+SELECT perf_date, count(DISTINCT perf_id) AS performances, count(DISTINCT CASE WHEN footnote ILIKE '%muffl%' THEN perf_id END) AS muffled,
+  round(100.0 * count(DISTINCT CASE WHEN footnote ILIKE '%muffl%' THEN perf_id END) / count(DISTINCT perf_id), 1) AS pct
+FROM performances LEFT JOIN performance_footnotes USING (perf_id) WHERE perf_date IN {_DATES} GROUP BY perf_date""", "performances", "performance_footnotes", order="perf_date")
 def q43_remembrance_muffled(c: Corpus) -> DataFrame:
     """Muffled performances on four dates; those without a footnote still count."""
     days = c.performances.where(F.col("perf_date").isin(*_DATES)).select("perf_id", "perf_date")
-    return days.join(c.performance_footnotes, "perf_id", "left").groupBy("perf_date").agg(F.count_distinct("perf_id").alias("performances"), F.count_distinct(F.when(muffled(F.col("footnote")), F.col("perf_id"))).alias("muffled"))
+    return days.join(c.performance_footnotes, "perf_id", "left").groupBy("perf_date").agg(
+        F.count_distinct("perf_id").alias("performances"), F.count_distinct(F.when(muffled(F.col("footnote")), F.col("perf_id"))).alias("muffled")
+    ).withColumn("pct", F.round(share(F.col("muffled"), F.col("performances")), 1))
 
 
 @over("SELECT round(100.0 * count(DISTINCT f.perf_id) / (SELECT count(*) FROM performances), 2) AS pct_muffled_overall FROM performance_footnotes f JOIN performances p ON p.perf_id = f.perf_id WHERE footnote ILIKE '%muffl%'", "performances", "performance_footnotes")
@@ -508,18 +526,18 @@ def q46_group_territory(c: Corpus) -> DataFrame:
 
 @over("""
 SELECT perf_date, count(*) AS performances, CAST(sum(CAST(method ILIKE '%tolling%' AS INT)) AS BIGINT) AS tolling, count(DISTINCT dove_tower_id) AS rings
-FROM performances WHERE perf_date LIKE '1998-09%' GROUP BY perf_date ORDER BY performances DESC, perf_date LIMIT 8""", "performances")
+FROM performances WHERE perf_date LIKE '2022-09%' GROUP BY perf_date ORDER BY performances DESC, perf_date LIMIT 8""", "performances")
 def q47_top_days_of_a_month(c: Corpus) -> DataFrame:
-    days = c.performances.where(F.col("perf_date").startswith("1998-09")).groupBy("perf_date").agg(row_count().alias("performances"), truth_sum(F.col("method").ilike("%tolling%")).alias("tolling"), F.count_distinct("dove_tower_id").alias("rings"))
+    days = c.performances.where(F.col("perf_date").startswith("2022-09")).groupBy("perf_date").agg(row_count().alias("performances"), truth_sum(F.col("method").ilike("%tolling%")).alias("tolling"), F.count_distinct("dove_tower_id").alias("rings"))
     return days.orderBy(F.desc("performances"), "perf_date").limit(8)
 
 
 @over("""
-SELECT count(*) AS all_september, count(*) FILTER (WHERE perf_date NOT BETWEEN '1998-09-08' AND '1998-09-19') AS excluding_that_week
+SELECT count(*) AS all_september, count(*) FILTER (WHERE perf_date NOT BETWEEN '2022-09-08' AND '2022-09-19') AS excluding_that_week
 FROM performances WHERE month(CAST(perf_date AS DATE)) = 9""", "performances")
 def q48_month_without_a_range(c: Corpus) -> DataFrame:
     autumn = c.performances.where(F.month(F.try_to_date("perf_date", "yyyy-MM-dd")) == 9)
-    return autumn.agg(row_count().alias("all_september"), F.count_if(~F.col("perf_date").between("1998-09-08", "1998-09-19")).alias("excluding_that_week"))
+    return autumn.agg(row_count().alias("all_september"), F.count_if(~F.col("perf_date").between("2022-09-08", "2022-09-19")).alias("excluding_that_week"))
 
 
 @over("SELECT CASE WHEN dove_tower_id IS NULL THEN 'unlinked' ELSE 'linked' END AS state, count(*) AS records FROM method_performances GROUP BY 1", "method_performances")

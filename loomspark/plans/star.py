@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.dialect import band
 from loomspark.operators import analytics as A
 from loomspark.operators import calendar as C
+from loomspark.plans.bridge import Corpus, oracle
 from loomspark.plans.registry import recorded
 from loomspark.sources.tables import table
 
@@ -16,52 +17,52 @@ def row_count() -> Column:
 
 
 _DAYS = """
-days AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS seen FROM orders GROUP BY 1),
+days AS (SELECT CAST(perf_date AS DATE) AS d, count(*) AS seen FROM performances GROUP BY 1),
 spine AS (SELECT CAST(unnest(generate_series((SELECT min(d) FROM days), (SELECT max(d) FROM days), INTERVAL 1 DAY)) AS DATE) AS d),
 daily AS (SELECT d, coalesce(seen, 0) AS n FROM spine LEFT JOIN days USING (d)),
 base AS (SELECT a.d, a.n, median(b.n) AS base FROM daily a JOIN daily b ON b.d <> a.d AND abs(date_diff('day', a.d, b.d)) % 7 = 0 AND abs(date_diff('day', a.d, b.d)) <= 42 GROUP BY a.d, a.n HAVING count(*) >= 6 AND median(b.n) > 0),
 rated AS (SELECT d, n, base, n / base AS ratio FROM base)"""
-RATIO, LEAST = 2.0, 10
+RATIO, LEAST = C.RATIO, C.LEAST
 
 
 def _daily(spark: SparkSession, folder: str) -> DataFrame:
-    return C.daily_counts(table(spark, folder, "orders"), "o_orderdate")
+    return C.daily_counts(Corpus(spark, folder).performances.select("perf_date"), "perf_date")
 
 
-@recorded(f"WITH {_DAYS} SELECT d, n FROM daily")
+@recorded(oracle(f"WITH {_DAYS} SELECT d, n FROM daily", "performances"))
 def calendar_spine(spark: SparkSession, folder: str) -> DataFrame:
     return _daily(spark, folder)
 
 
-@recorded(f"WITH {_DAYS} SELECT d, n, base, ratio FROM rated")
+@recorded(oracle(f"WITH {_DAYS} SELECT d, n, base, ratio FROM rated", "performances"))
 def seasonal_baseline(spark: SparkSession, folder: str) -> DataFrame:
     return C.with_baseline(_daily(spark, folder))
 
 
-@recorded(f"WITH {_DAYS} SELECT d, n, base, ratio FROM rated WHERE ratio >= {RATIO} AND n >= {LEAST}")
+@recorded(oracle(f"WITH {_DAYS} SELECT d, n, base, ratio FROM rated WHERE ratio >= {RATIO} AND n >= {LEAST}", "performances"))
 def calendar_anomaly(spark: SparkSession, folder: str) -> DataFrame:
-    """N1 at thresholds that the table's few rows a day reach."""
+    """Days with 100 performances or more and 3.5 times their baseline."""
     return C.anomalies(_daily(spark, folder), RATIO, LEAST)
 
 
-@recorded(f"WITH {_DAYS} SELECT d, n, base, ratio FROM rated WHERE ratio >= {0.75 * RATIO} AND NOT (ratio >= {RATIO} AND n >= {LEAST}) ORDER BY ratio DESC, d DESC LIMIT 8")
+@recorded(oracle(f"WITH {_DAYS} SELECT d, n, base, ratio FROM rated WHERE ratio >= {0.75 * RATIO} AND NOT (ratio >= {RATIO} AND n >= {LEAST}) ORDER BY ratio DESC, d DESC LIMIT 8", "performances"))
 def near_misses(spark: SparkSession, folder: str) -> DataFrame:
     return C.near_misses(_daily(spark, folder), RATIO, LEAST)
 
 
-@recorded(f"""WITH {_DAYS}, event AS (SELECT d FROM rated WHERE ratio >= {RATIO} AND n >= {LEAST}),
-label AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderpriority AS label, count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) IN (SELECT d FROM event) GROUP BY ALL)
-SELECT d, label, n, row_number() OVER (PARTITION BY d ORDER BY n DESC, label) AS place FROM label QUALIFY place <= 3""")
+@recorded(oracle(f"""WITH {_DAYS}, event AS (SELECT d FROM rated WHERE ratio >= {RATIO} AND n >= {LEAST}),
+label AS (SELECT CAST(perf_date AS DATE) AS d, association AS label, count(*) AS n FROM performances WHERE CAST(perf_date AS DATE) IN (SELECT d FROM event) GROUP BY ALL)
+SELECT d, label, n, row_number() OVER (PARTITION BY d ORDER BY n DESC, label) AS place FROM label QUALIFY place <= 3""", "performances"))
 def event_labels(spark: SparkSession, folder: str) -> DataFrame:
     """The three most repeated labels of each event day."""
     events = C.anomalies(_daily(spark, folder), RATIO, LEAST).select("d")
-    rows = table(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("d"), F.col("o_orderpriority").alias("label"))
+    rows = Corpus(spark, folder).performances.select(F.col("perf_date").cast("date").alias("d"), F.col("association").alias("label"))
     counts = rows.join(events, "d", "left_semi").groupBy("d", "label").agg(row_count().alias("n"))
     return A.top_per_key(counts, ["d"], [F.desc("n"), F.col("label")], 3)
 
 
-@recorded(f"""WITH {_DAYS} SELECT CAST(dayofweek(d) AS INT) AS dow, CAST(year(d) AS INT) AS year, CAST(sum(n) AS BIGINT) AS n, count(*) AS days FROM daily
-WHERE d NOT IN (SELECT d FROM rated WHERE ratio >= {RATIO} AND n >= {LEAST}) GROUP BY ALL""")
+@recorded(oracle(f"""WITH {_DAYS} SELECT CAST(dayofweek(d) AS INT) AS dow, CAST(year(d) AS INT) AS year, CAST(sum(n) AS BIGINT) AS n, count(*) AS days FROM daily
+WHERE d NOT IN (SELECT d FROM rated WHERE ratio >= {RATIO} AND n >= {LEAST}) GROUP BY ALL""", "performances"))
 def weekday_profile_net(spark: SparkSession, folder: str) -> DataFrame:
     """Weekday profile by year without event days."""
     days = _daily(spark, folder)
@@ -69,8 +70,8 @@ def weekday_profile_net(spark: SparkSession, folder: str) -> DataFrame:
     return quiet.groupBy((F.dayofweek("d") - 1).alias("dow"), F.year("d").alias("year")).agg(F.sum("n").alias("n"), row_count().alias("days"))
 
 
-@recorded(f"""WITH {_DAYS} SELECT CAST(month(d) AS INT) AS month, CAST(sum(n) AS BIGINT) AS raw,
-  CAST(sum(CASE WHEN d IN (SELECT d FROM rated WHERE ratio >= {RATIO} AND n >= {LEAST}) THEN 0 ELSE n END) AS BIGINT) AS net FROM daily GROUP BY 1""")
+@recorded(oracle(f"""WITH {_DAYS} SELECT CAST(month(d) AS INT) AS month, CAST(sum(n) AS BIGINT) AS raw,
+  CAST(sum(CASE WHEN d IN (SELECT d FROM rated WHERE ratio >= {RATIO} AND n >= {LEAST}) THEN 0 ELSE n END) AS BIGINT) AS net FROM daily GROUP BY 1""", "performances"))
 def month_raw_vs_net(spark: SparkSession, folder: str) -> DataFrame:
     """Rows by month, with and without event days."""
     days = _daily(spark, folder)

@@ -97,17 +97,17 @@ def high_water_mark(spark: SparkSession, folder: str) -> DataFrame:
     return U.resume_day(table(spark, folder, "events"), "ts")
 
 
-@recorded(oracle("SELECT TowerID, Place, Dedicn, County, Country, Practice, installations FROM towers_unique", "towers_unique"))
+@recorded(oracle("SELECT TowerID, Place, Dedicn, County, Country, Lat, Long, installations FROM towers_unique", "towers_unique"))
 def view_towers_unique(spark: SparkSession, folder: str) -> DataFrame:
     return Corpus(spark, folder).towers_unique
 
 
-@recorded(oracle("SELECT RingID AS ring_id, TowerID AS tower_id, Place AS place, Dedicn AS dedication, County AS county, Country AS country, Practice AS practice FROM towers", "towers"))
+@recorded(oracle("SELECT TowerID, RingID, DoveID, Place, County, Region, Country, RingType, Bells AS bell_count, Wt AS tenor_weight, Lat, Long, Practice, WebPage FROM towers", "towers"))
 def view_ringing_towers(spark: SparkSession, folder: str) -> DataFrame:
     return V.ringing_towers(Corpus(spark, folder).dove)
 
 
-@recorded(oracle("SELECT TowerID, min(RingID) AS primary_ring, count(RingID) AS rings, max(Place) AS Place, max(County) AS County FROM towers GROUP BY TowerID", "towers"))
+@recorded(oracle("SELECT TowerID, min(RingID) AS primary_ring_id, count(*) AS rings, max(Place) AS Place, max(Dedicn) AS Dedicn, max(County) AS County FROM towers GROUP BY TowerID", "towers"))
 def view_dove_towers(spark: SparkSession, folder: str) -> DataFrame:
     return V.dove_towers(Corpus(spark, folder).dove)
 
