@@ -90,7 +90,7 @@ def knuth_sample(df: DataFrame, key: str, size: int) -> DataFrame:
 
 def seeded_sample(df: DataFrame, key: str, seed: int, size: int) -> DataFrame:
     """A sample that depends on the seed and the keys alone, not on partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(size)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(size)
 
 
 def scores(df: DataFrame, truth: str, guess: str) -> DataFrame:

@@ -146,21 +146,20 @@ FULL_NAME, ON_BELLS = r"[A-Z][a-z]+ [A-Z][a-z]+", r"(?i)\b(on the|bells|dumbbell
 
 
 def occasion(footnote: Column) -> Column:
-    """K-T2: struct occasion, subject, evidence (the text that told it); blank text has none.
+    """K-T2: struct occasion, subject, confidence (always high) and evidence, the text that told the occasion.
 
-    The first of NOTES that a text has decides, but a royal funeral or a war memorial is civic.
+    The first of NOTES that a text has decides, but a royal funeral or a war memorial is civic, and then both texts are the evidence.
     """
     t = F.trim(F.coalesce(footnote, F.lit("")))
     has = {k: t.rlike(p) for k, p in NOTES.items()}
-    civic = has["civic"] & ((has["funeral"] & t.rlike(CIVIC_FUNERAL)) | (~has["funeral"] & has["memorial"] & t.rlike(CIVIC_MEMORIAL)))
-    kind = F.when(civic, "civic")
+    told = {k: F.regexp_extract(t, p, 0) for k, p in NOTES.items()}
+    royal = has["civic"] & has["funeral"] & t.rlike(CIVIC_FUNERAL)
+    war = has["civic"] & ~has["funeral"] & has["memorial"] & t.rlike(CIVIC_MEMORIAL)
+    kind = F.when(t == "", "none").when(royal | war, "civic")
+    evidence = F.when(t == "", "empty footnote").when(royal, F.concat(told["civic"], F.lit(" / "), told["funeral"])).when(war, F.concat(told["civic"], F.lit(" ("), told["memorial"], F.lit(")")))
     for k in NOTES:
-        kind = kind.when(has[k], k)
-    kind = F.when(t == "", "none").otherwise(kind.otherwise("none"))
-    told = F.regexp_extract(t, NOTES["civic"], 0)
-    evidence = F.when(t == "", "").when(civic, told)
-    for k, p in NOTES.items():
-        evidence = evidence.when(has[k], F.regexp_extract(t, p, 0))
+        kind, evidence = kind.when(has[k], k), evidence.when(has[k], told[k])
+    kind, evidence = kind.otherwise("none"), evidence.otherwise("no occasion marker")
     s = {k: t.rlike(p) for k, p in SUBJECTS.items()}
     someone = s["person"] | t.rlike(FULL_NAME)
     by_kind = (
@@ -171,7 +170,7 @@ def occasion(footnote: Column) -> Column:
         .otherwise(F.when(s["bells"] & t.rlike(ON_BELLS), "bells").otherwise("none"))
     )
     subject = F.when(t == "", "none").when(t.rlike(ABOUT_BELLS), "bells").when(t.rlike(ABOUT_BUILDING), "building").when(t.rlike(ABOUT_INSTITUTION), "institution").otherwise(by_kind)
-    return F.struct(kind.alias("occasion"), subject.alias("subject"), evidence.otherwise("").alias("evidence"))
+    return F.struct(kind.alias("occasion"), subject.alias("subject"), F.lit("high").alias("confidence"), evidence.alias("evidence"))
 
 
 def novelty(compositions: DataFrame, calls: Column | str) -> DataFrame:

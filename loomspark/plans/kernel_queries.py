@@ -59,14 +59,6 @@ def lead_lengths_all(spark: SparkSession, folder: str) -> DataFrame:
     return methods(spark).select("title", F.size(K.lead_rows(F.col("notation"), F.col("stage"))).alias("rows"))
 
 
-@recorded("SELECT title, true AS true FROM (VALUES " + ", ".join(f"('{t}')" for t, *_ in GOLDEN) + ") t(title)")
-def lead_truth(spark: SparkSession, folder: str) -> DataFrame:
-    """K8: no row stands twice in a plain lead."""
-    rows = K.lead_rows(F.col("notation"), F.col("stage"))
-    blocks = methods(spark).select(F.col("title").alias("composition"), F.explode(F.slice(rows, 2, F.size(rows) - 1)).alias("r")).select("composition", F.array_join("r", "").alias("row"))
-    return K.truth(blocks).withColumnRenamed("composition", "title")
-
-
 @recorded("SELECT call, 120 AS heads, 120 AS next_heads FROM (VALUES ('p'), ('b'), ('s')) t(call)")
 def course_head_graph(spark: SparkSession, folder: str) -> DataFrame:
     """K9 at six bells: each call leads from the 120 heads to 120 different ones."""
@@ -81,21 +73,10 @@ def course_head_graph_major(spark: SparkSession, folder: str) -> DataFrame:
     return steps.groupBy("call").agg(F.count("*").alias("heads"), F.count_distinct("next_head").alias("next_heads"))
 
 
-def false_heads(spark: SparkSession, folder: str, body: str = MINOR, stage: int = 6) -> DataFrame:
-    """K10, at six bells if not told otherwise; tested against a brute-force version."""
-    return K.false_heads(K.head_rows(K.course_heads(spark, stage), body, CALLS["p"], stage))
-
-
-def head_music(spark: SparkSession, folder: str, body: str = MINOR, stage: int = 6) -> DataFrame:
-    """K11, K12, at six bells if not told otherwise; tested against a brute-force version."""
-    return K.musicality(K.head_rows(K.course_heads(spark, stage), body, CALLS["p"], stage), stage)
-
-
 def composition_search(spark: SparkSession, folder: str, body: str = MINOR, stage: int = 6, least: int = 2, most: int = 12, width: int = 30) -> DataFrame:
     """K13, at six bells if not told otherwise: the paths are replayed row by row in the tests."""
     return search(spark, body, CALLS, stage, least, most, width)
 
 
 # Recorded at the size of the reference: Cambridge Surprise Major, 39 to 42 leads, beams of 100.
-for _f, _sizes in ((false_heads, ()), (head_music, ()), (composition_search, (39, 42, 100))):
-    recorded()(wraps(_f)(lambda spark, folder, f=_f, sizes=_sizes: f(spark, folder, MAJOR, 8, *sizes)))
+recorded()(wraps(composition_search)(lambda spark, folder: composition_search(spark, folder, MAJOR, 8, 39, 42, 100)))

@@ -65,11 +65,6 @@ def counted_tolls(spark: SparkSession, folder: str) -> DataFrame:
     return counts.groupBy("tolls").agg(F.sum("k").alias("n"), F.count("*").alias("days"), F.min_by("d", F.struct(-F.col("k"), "d")).alias("modal_day"))
 
 
-@recorded(oracle("SELECT 'tower' AS venue, count(*) AS n FROM method_performances", "method_performances"))
-def venue_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    return Corpus(spark, folder).method_performances.groupBy(K.venue(F.col("building"), F.col("town")).alias("venue")).agg(F.count("*").alias("n"))
-
-
 @recorded(oracle("""
 SELECT CASE WHEN footnote ILIKE '%the fallen%' THEN 'civic' WHEN footnote ILIKE '%muffled%' THEN 'memorial' WHEN footnote ILIKE '%wedding%' THEN 'wedding' WHEN footnote ILIKE 'first quarter%' THEN 'first-performance' ELSE 'none' END AS occasion,
   CASE WHEN footnote ILIKE '%the fallen%' THEN 'institution' WHEN footnote ILIKE '%muffled%' OR footnote ILIKE '%wedding%' THEN 'person' ELSE 'none' END AS subject, count(*) AS n FROM performance_footnotes GROUP BY ALL""", "performance_footnotes"))

@@ -100,9 +100,9 @@ def test_false_heads_and_music(spark):
         for r in own:
             holders[r].add(head)
     want = {(a, b) for own in holders.values() for a in own for b in own if a != b}
-    assert {(r["head"], r["false_head"]) for r in Q.false_heads(spark, "").collect()} == want
+    assert {(r["head"], r["false_head"]) for r in K.false_heads(K.head_rows(K.course_heads(spark, 6), Q.MINOR, Q.CALLS["p"], 6)).collect()} == want
     score = lambda r: ("56" in r) + 2 * r.startswith("1234") + 5 * (r == "142536")
-    assert {r["head"]: r["score"] for r in Q.head_music(spark, "").collect()} == {h: sum(map(score, own)) for h, own in rows.items()}
+    assert {r["head"]: r["score"] for r in K.musicality(K.head_rows(K.course_heads(spark, 6), Q.MINOR, Q.CALLS["p"], 6), 6).collect()} == {h: sum(map(score, own)) for h, own in rows.items()}
 
 
 def test_long_parting_costs(spark):
