@@ -31,8 +31,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder of its own under the checkpoint folder, which all executors share."""
+    return f"{_shared(spark)}/{name.replace(' ', '_')}-{uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to a folder of its own under the checkpoint folder, where it stays, and read it again."""
-    path = f"{_shared(df.sparkSession)}/{name.replace(' ', '_')}-{uuid4().hex}.parquet"
+    path = f"{scratch(df.sparkSession, name)}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

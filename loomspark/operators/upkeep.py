@@ -122,6 +122,28 @@ def window_gate(rows: DataFrame, date: str, key: str, expected: DataFrame, spans
     return out.withColumn("complete", (F.col("found") == F.col("expected")) & (F.col("rows") == F.col("found")))
 
 
+STATE_VERSION = 2
+_STATE = "version int, begins date, ends date, status string"
+
+
+def window_state(gate: DataFrame, old: DataFrame | None = None, version: int = STATE_VERSION) -> DataFrame:
+    """T4: version, begins, ends and status of each window: completed, failed or pending.
+
+    `gate`: as from `window_gate`. A window that `old` has completed stays so; a state of another version is
+    dropped whole, as it may call short windows complete. A window of which nothing was found is pending.
+    """
+    spark = gate.sparkSession
+    known = (spark.createDataFrame([], _STATE) if old is None else old).where(F.col("version") == version)
+    done = known.where("status = 'completed'").select("begins", "ends", F.lit(True).alias("done"))
+    status = F.when(F.col("done") | F.col("complete"), "completed").when(F.col("rows") > 0, "failed").otherwise("pending")
+    return gate.join(done, ["begins", "ends"], "left").select(F.lit(version).alias("version"), "begins", "ends", status.alias("status"))
+
+
+def windows_to_ask(state: DataFrame) -> DataFrame:
+    """T4: the windows that are not completed yet, in order."""
+    return state.where("status <> 'completed'").select("begins", "ends").orderBy("begins")
+
+
 def resume_day(rows: DataFrame, stamp: str) -> DataFrame:
     """The day to fetch again from: that of the latest stamp."""
     return rows.agg(F.to_date(F.max(stamp)).alias("resume"))

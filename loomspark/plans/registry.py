@@ -24,5 +24,5 @@ def load() -> None:
     """Import every module that records queries."""
     from importlib import import_module
 
-    for name in ("findings", "star", "kernel_queries", "texts", "upkeep", "pages", "links", "cases"):
+    for name in ("findings", "star", "kernel_queries", "texts", "upkeep", "pages", "links", "cases", "files"):
         import_module(f"loomspark.plans.{name}")

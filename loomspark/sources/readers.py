@@ -20,13 +20,14 @@ def whole_number(text: Column) -> Column:
     return F.when(F.trim(text).rlike(r"^-?\d+$"), F.trim(text).try_cast("bigint"))
 
 
-def scan_csv(spark: SparkSession, paths: str | list[str], columns: dict[str, str]) -> DataFrame:
+def scan_csv(spark: SparkSession, paths: str | list[str], columns: dict[str, str], lines_in_cells: bool = True) -> DataFrame:
     """The named columns of headed CSV files, by their safe names; `columns` has a type for each.
 
     Files are read as text by their own header (one pass over the first line), then cast: a cell that is empty, 'nan' or
     not of the type is null, and a column that a file lacks is null. Paths may have wildcards, as for one file a year.
+    A cell may hold line ends, for which a file is read by one task; where none does, `lines_in_cells` False lets large files be split.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "").csv(paths)
+    raw = spark.read.option("header", True).option("multiLine", lines_in_cells).option("escape", '"').option("nullValue", "").csv(paths)
     raw = raw.toDF(*[safe_name(c) for c in raw.columns])
 
     def cell(name: str, kind: str) -> Column:

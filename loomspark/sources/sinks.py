@@ -15,8 +15,8 @@ def write_table(df: DataFrame, path: str, parts: list[str] | None = None, append
 
 
 def write_csv(df: DataFrame, path: str, header: list[str]) -> None:
-    """A dataset as headed CSV, its columns in a stated order; null as empty."""
-    df.select(*header).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    """A dataset as headed CSV, its columns in a stated order; null as empty, a quote inside a cell doubled."""
+    df.select(*header).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def payload(df: DataFrame, name: str) -> DataFrame:

@@ -23,7 +23,22 @@ def test_latest_rows_are_kept(spark, folder):
     want = {}
     for r in events.collect():
         want[r["user_id"]] = max(want.get(r["user_id"], (r["ts"], -1)), (r["ts"], r["event_id"]))
-    assert {r["user_id"]: r["event_id"] for r in spark.read.parquet(str(path / "store/v2")).collect()} == {u: e for u, (_, e) in want.items()}
+    kept = lambda: {r["user_id"]: r["event_id"] for r in I.latest_rows(spark, str(path / "store"), events.schema).collect()}
+    assert kept() == {u: e for u, (_, e) in want.items()}
+    assert I.drop_unused(spark, str(path / "store")) > 0 and I.drop_unused(spark, str(path / "store")) == 0
+    assert kept() == {u: e for u, (_, e) in want.items()}
+
+
+def test_a_batch_writes_only_the_buckets_it_touches_and_may_run_twice(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame([(u, e, None, "t") for u, e in x], SCHEMA)
+    store = str(tmp_path / "store")
+    assert I.latest_rows(spark, store, rows().schema).count() == 0
+    for k, batch in enumerate([rows((1, 1), (2, 1), (3, 1)), rows((2, 5)), rows()]):
+        batch.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    for log in ("a", "b"):  # the second query starts anew: its batches have the same numbers and are written again
+        I.keep_latest(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*")), store, str(tmp_path / log), ["user_id"], [F.col("event_id")]).awaitTermination()
+        assert sorted((r["user_id"], r["event_id"]) for r in I.latest_rows(spark, store, rows().schema).collect()) == [(1, 1), (2, 5), (3, 1)]
+    assert len(list((tmp_path / "store/rows/v0").glob("bucket=*"))) == 3 and len(list((tmp_path / "store/rows/v1").glob("bucket=*"))) == 1
 
 
 def test_incomplete_batches_fail(spark, folder):
