@@ -61,11 +61,23 @@ def cumulative_curve(df: DataFrame, value: str, last: int) -> DataFrame:
     return spine.select("k", F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("k")).alias("at_most"))
 
 
-def co_occurrence(df: DataFrame, place: str, member: str, least: int) -> DataFrame:
-    """Pairs a < b of members that share at least `least` places; members are made distinct in a place first."""
+#: Members of a block of a place.
+BLOCK = 1024
+
+
+def co_occurrence(df: DataFrame, place: str, member: str, least: int, block: int = BLOCK) -> DataFrame:
+    """Pairs a < b of members that share at least `least` places; members are made distinct in a place first.
+
+    A place's members are dealt into blocks of about `block` by hash, and each pair of its blocks is joined on its
+    own, so one place with very many members is spread over many tasks; the pairs themselves are the result.
+    """
     once = df.select(F.col(place).alias("at"), F.col(member).alias("m")).distinct()
-    a, b = once.alias("a"), once.alias("b")
-    pairs = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.m") < F.col("b.m")))
+    sizes = once.groupBy("at").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = once.join(sizes, "at", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    a = dealt.select("at", "m", F.col("own").alias("i"), F.explode(every).alias("j")).alias("a")
+    b = dealt.select("at", "m", F.col("own").alias("j"), F.explode(every).alias("i")).alias("b")
+    pairs = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.m") < F.col("b.m")))
     return pairs.groupBy(F.col("a.m").alias("a"), F.col("b.m").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 

@@ -83,7 +83,7 @@ SELECT s_suppkey AS Bell_ID, s_suppkey % 90 AS Tower_ID, CASE WHEN s_suppkey % 1
 FROM {supplier}""",
     "founders": """
 SELECT concat('Founder ', CAST(n_nationkey AS STRING)) AS Name, 1500 + 10 * n_nationkey AS from_year, 1600 + 10 * n_nationkey AS to_year,
-  CASE WHEN n_nationkey % 8 = 7 THEN NULL ELSE concat('Group ', CAST(n_regionkey AS STRING)) END AS founder_group,
+  CASE WHEN n_nationkey % 8 = 7 THEN NULL ELSE concat('Group ', CAST(n_regionkey * 3 + n_nationkey % 3 AS STRING)) END AS founder_group,
   CASE WHEN n_nationkey % 9 = 8 THEN NULL ELSE concat('Home ', CAST(n_nationkey % 3 AS STRING)) END AS Location, 7 * n_nationkey AS Bells
 FROM {nation}""",
     "traditions": """

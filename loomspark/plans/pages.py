@@ -26,18 +26,30 @@ def _cast(c: Corpus) -> DataFrame:
 _CAST = "b AS (SELECT Tower_ID, founder_group, TRY_CAST(regexp_extract(Cast_Date, '(1\\d{3}|20\\d{2})', 1) AS INT) AS year FROM bells JOIN founders ON Name = Founder WHERE founder_group IS NOT NULL AND Latitude IS NOT NULL)"
 
 
-@over(f"WITH {_CAST}, g AS (SELECT Tower_ID, founder_group, count(*) AS n FROM b GROUP BY ALL) SELECT Tower_ID, arg_min(founder_group, concat(lpad(CAST(100000 - n AS STRING), 9, '0'), founder_group)) AS dominant, CAST(sum(n) AS BIGINT) AS bells, (SELECT min(year) FROM b x WHERE x.Tower_ID = g.Tower_ID) AS earliest FROM g GROUP BY Tower_ID", "bells", "founders")
+#: Groups that stand for themselves; the bells of all others are 'Other'.
+TOP_GROUPS = 8
+_TOP = f"top AS (SELECT founder_group AS g FROM b GROUP BY 1 ORDER BY count(*) DESC, g LIMIT {TOP_GROUPS}), m AS (SELECT Tower_ID, year, CASE WHEN founder_group IN (SELECT g FROM top) THEN founder_group ELSE 'Other' END AS founder_group FROM b)"
+
+
+def _grouped(c: Corpus) -> DataFrame:
+    """`_cast` with every group but the TOP_GROUPS ones of most bells, ties by name, as 'Other'."""
+    cast = _cast(c)
+    top = cast.groupBy("founder_group").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "founder_group").limit(TOP_GROUPS).select("founder_group", F.lit(True).alias("top"))
+    return cast.join(F.broadcast(top), "founder_group", "left").withColumn("founder_group", F.when(F.col("top"), F.col("founder_group")).otherwise("Other")).drop("top")  # TOP_GROUPS rows
+
+
+@over(f"WITH {_CAST}, {_TOP}, g AS (SELECT Tower_ID, founder_group, count(*) AS n FROM m GROUP BY ALL) SELECT Tower_ID, arg_min(founder_group, concat(lpad(CAST(100000 - n AS STRING), 9, '0'), founder_group)) AS dominant, CAST(sum(n) AS BIGINT) AS bells, (SELECT min(year) FROM b x WHERE x.Tower_ID = g.Tower_ID) AS earliest FROM g GROUP BY Tower_ID", "bells", "founders")
 def atlas_towers(c: Corpus) -> DataFrame:
     """Each tower's dominant group, bells and earliest year."""
-    cast = _cast(c)
+    cast = _grouped(c)
     dominant = A.most_common(cast, ["Tower_ID"], "founder_group").select("Tower_ID", F.col("founder_group").alias("dominant"))
     return cast.groupBy("Tower_ID").agg(F.count("*").alias("bells"), F.min("year").alias("earliest")).join(dominant, "Tower_ID")
 
 
-@over(f"WITH {_CAST} SELECT CAST(year // 25 * 25 AS INT) AS quarter_century, founder_group, count(*) AS n FROM b WHERE year >= 1400 GROUP BY ALL", "bells", "founders")
+@over(f"WITH {_CAST}, {_TOP} SELECT CAST(year // 25 * 25 AS INT) AS quarter_century, founder_group, count(*) AS n FROM m WHERE year >= 1400 GROUP BY ALL", "bells", "founders")
 def atlas_timeline(c: Corpus) -> DataFrame:
     """Bells of each group by quarter-century."""
-    return _cast(c).where("year >= 1400").groupBy((F.floor(F.col("year") / 25) * 25).cast("int").alias("quarter_century"), "founder_group").agg(F.count("*").alias("n"))
+    return _grouped(c).where("year >= 1400").groupBy((F.floor(F.col("year") / 25) * 25).cast("int").alias("quarter_century"), "founder_group").agg(F.count("*").alias("n"))
 
 
 @over("""SELECT CAST(10 * least(floor(10.0 * peals / n), 9) AS BIGINT) AS band, count(*) AS towers FROM (SELECT dove_tower_id, CAST(sum(CASE WHEN changes >= 5000 THEN 1 ELSE 0 END) AS DOUBLE) AS peals, count(*) AS n
@@ -153,3 +165,72 @@ def currency_by_era(c: Corpus) -> DataFrame:
     used = c.performance_methods.where("confidence = 'high'").select("method_id").distinct().withColumn("used", F.lit(1))
     era = F.when(F.col("debut") < "1900", "before 1900").when(F.col("debut") < "1998", "to 1997").otherwise("from 1998")
     return debut.join(used, "method_id", "left").groupBy(era.alias("era")).agg(F.count("*").alias("methods"), F.count("used").alias("in_use"))
+
+
+#: Performances of the nexus page.
+NEXUS = 1500
+_NEXUS = f"""p AS (SELECT perf_id, concat('P_', perf_id) AS pid, place, method, perf_date FROM performances WHERE method <> '' ORDER BY (perf_id * 2654435761) % 1000003, perf_id LIMIT {NEXUS}),
+r AS (SELECT p.pid, p.perf_date, x.name, x.bell FROM performance_ringers x JOIN p ON p.perf_id = x.perf_id)"""
+
+
+def _nexus(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    """The sampled performances, spread by Knuth's multiplier, and their ringers."""
+    some = c.performances.where("method <> ''").orderBy((F.col("perf_id") * 2654435761) % 1000003, "perf_id").limit(NEXUS)
+    perfs = some.select("perf_id", F.concat(F.lit("P_"), F.col("perf_id").cast("string")).alias("pid"), "place", "method", "perf_date")
+    ringers = c.performance_ringers.join(F.broadcast(perfs.select("perf_id", "pid", "perf_date")), "perf_id").select("pid", "perf_date", "name", "bell")  # NEXUS rows
+    return perfs, ringers
+
+
+_NODE = "concat('{k}_', coalesce({c}, 'None'))"
+
+
+@over(f"""WITH {_NEXUS} SELECT pid AS source, {_NODE.format(k='T', c='place')} AS target, 'perf_tower' AS type, perf_date AS date, CAST(NULL AS VARCHAR) AS bell FROM p
+UNION ALL SELECT pid, {_NODE.format(k='M', c='method')}, 'perf_method', perf_date, NULL FROM p UNION ALL SELECT pid, {_NODE.format(k='R', c='name')}, 'perf_ringer', perf_date, bell FROM r""", "performances", "performance_ringers")
+def nexus_links(c: Corpus) -> DataFrame:
+    """The three kinds of links of a performance: to its tower, its method and its ringers with their bells."""
+    perfs, ringers = _nexus(c)
+    node = lambda kind, col: F.concat(F.lit(f"{kind}_"), F.coalesce(col, F.lit("None"))).alias("target")
+    link = lambda df, kind, col, name, bell: df.select(F.col("pid").alias("source"), node(kind, col), F.lit(name).alias("type"), F.col("perf_date").alias("date"), bell.alias("bell"))
+    none = F.lit(None).cast("string")
+    return link(perfs, "T", "place", "perf_tower", none).union(link(perfs, "M", "method", "perf_method", none)).union(link(ringers, "R", "name", "perf_ringer", F.col("bell")))
+
+
+@over(f"""WITH {_NEXUS}, l AS (SELECT {_NODE.format(k='T', c='place')} AS id, 'tower' AS kind FROM p UNION ALL SELECT {_NODE.format(k='M', c='method')}, 'method' FROM p UNION ALL SELECT {_NODE.format(k='R', c='name')}, 'ringer' FROM r)
+SELECT id, kind, CASE kind WHEN 'ringer' THEN 2 + CAST(0.2 AS DOUBLE) * count(*) ELSE 3 + CAST(0.5 AS DOUBLE) * count(*) END AS val FROM l GROUP BY id, kind UNION ALL SELECT pid, 'performance', 1.0::DOUBLE FROM p""", "performances", "performance_ringers")
+def nexus_vertices(c: Corpus) -> DataFrame:
+    """The four kinds of nodes with their weights: 1, or 3 and half a link, or 2 and a fifth of a link."""
+    kinds = {"perf_tower": ("tower", 3, 0.5), "perf_method": ("method", 3, 0.5), "perf_ringer": ("ringer", 2, 0.2)}
+    ends = nexus_links(c).groupBy(F.col("target").alias("id"), "type").agg(F.count("*").alias("n"))
+    kind, val = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for link, (name, least, each) in kinds.items():
+        kind, val = F.when(F.col("type") == link, name).otherwise(kind), F.when(F.col("type") == link, least + each * F.col("n")).otherwise(val)
+    return ends.select("id", kind.alias("kind"), val.alias("val")).union(_nexus(c)[0].select("pid", F.lit("performance"), F.lit(1.0)))
+
+
+_DEBUTS = """d AS (SELECT method_id, arg_min({'date': perf_date, 'town': town, 'county': county, 'society': society}, concat(perf_date, '|', lpad(CAST(position AS STRING), 5, '0'), '|', coalesce(town, ''), '|', coalesce(building, ''))) AS e FROM method_performances WHERE perf_date <> '' GROUP BY method_id)"""
+#: Debuts of a batch day.
+BATCH = 3
+
+
+def _debuts(c: Corpus) -> DataFrame:
+    """method_id, date, town, county and society of each method's own earliest dated event; ties by position, town and building."""
+    none = F.lit("")
+    order = F.concat_ws("|", "perf_date", F.lpad(F.col("position").cast("string"), 5, "0"), F.coalesce("town", none), F.coalesce("building", none))
+    first = c.method_performances.where("perf_date <> ''").groupBy("method_id").agg(F.min_by(F.struct(F.col("perf_date").alias("date"), "town", "county", "society"), order).alias("e"))
+    return first.select("method_id", "e.*")
+
+
+@over(f"WITH {_DEBUTS} SELECT e.date AS date, count(*) AS methods, mode(e.society ORDER BY e.society) AS society FROM d GROUP BY 1 HAVING count(*) >= {BATCH}", "method_performances")
+def debut_batch_days(c: Corpus) -> DataFrame:
+    """Days that introduced BATCH methods or more, with the society of most of them."""
+    debuts = _debuts(c)
+    society = A.most_common(debuts.where("society IS NOT NULL"), ["date"], "society").select("date", "society")
+    return debuts.groupBy("date").agg(F.count("*").alias("methods")).where(F.col("methods") >= BATCH).join(society, "date", "left")
+
+
+@over(f"WITH {_DEBUTS} SELECT 'place' AS kind, e.town AS name, e.county AS county, count(*) AS methods FROM d GROUP BY ALL UNION ALL SELECT 'society', e.society, NULL, count(*) FROM d GROUP BY ALL", "method_performances")
+def debut_places(c: Corpus) -> DataFrame:
+    """Methods by the place and by the society of their debut, each method once."""
+    debuts = _debuts(c)
+    places = debuts.groupBy("town", "county").agg(F.count("*").alias("methods")).select(F.lit("place").alias("kind"), F.col("town").alias("name"), "county", "methods")
+    return places.union(debuts.groupBy("society").agg(F.count("*").alias("methods")).select(F.lit("society"), "society", F.lit(None).cast("string"), "methods"))

@@ -102,3 +102,31 @@ def test_results_do_not_depend_on_partitions(spark, parts):
 
 
 _first: dict = {}
+
+
+def test_co_occurrence_by_blocks_gives_all_pairs(spark):
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    rng = random.Random(1)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), rng.randint(0, 60)) for _ in range(600)]
+    places = {}
+    for p, m in rows:
+        places.setdefault(p, set()).add(m)
+    want = Counter(pair for own in places.values() for pair in combinations(sorted(own), 2))
+    df = spark.createDataFrame(rows, "p int, m int")
+    for block in (4, 1024):
+        got = {(r["a"], r["b"]): r["n"] for r in A.co_occurrence(df, "p", "m", 2, block).collect()}
+        assert got == {k: n for k, n in want.items() if n >= 2}
+
+
+def test_windows_keep_their_state(spark):
+    day = datetime.date
+    gate = spark.createDataFrame([(day(2024, 1, 1), day(2024, 1, 7), 5, 5, True), (day(2024, 1, 8), day(2024, 1, 14), 5, 4, False), (day(2024, 1, 15), day(2024, 1, 21), 5, 0, False)], "begins date, ends date, expected long, rows long, complete boolean")
+    state = U.window_state(gate)
+    assert [r["status"] for r in state.orderBy("begins").collect()] == ["completed", "failed", "pending"]
+    assert [r["begins"] for r in U.windows_to_ask(state).collect()] == [day(2024, 1, 8), day(2024, 1, 15)]
+    worse = gate.withColumn("complete", F.lit(False))
+    assert [r["status"] for r in U.window_state(worse, state).orderBy("begins").collect()] == ["completed", "failed", "pending"]
+    assert [r["status"] for r in U.window_state(worse, state.withColumn("version", F.lit(1))).orderBy("begins").collect()] == ["failed", "failed", "pending"]
