@@ -403,6 +403,25 @@ def test_trees_lose_no_link(spark):
     assert {frozenset(s) for s in ours.values()} == {frozenset(s) for s in brute.values()}
 
 
+@pytest.mark.parametrize("edges", [
+    [], [(5, 5)], [(3, 1), (1, 3), (3, 1)], [(k, k + 1) for k in range(200)], [(0, k) for k in range(1, 300)], [(k, 1000 - k) for k in range(100)] + [(-5, 7), (7, -9)],
+    [(k * 7919 % 500, k * 104729 % 500) for k in range(400)],
+])
+def test_components_equal_plain_propagation(spark, edges):
+    from loomspark.llm.components import components
+
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    changed = True
+    while changed:
+        changed = False
+        for u, v in edges:
+            if u != v and root[u] != root[v]:
+                root[u] = root[v] = min(root[u], root[v])
+                changed = True
+    got = [(r["node"], r["root"]) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()]
+    assert len(got) == len(set(got)) and dict(got) == root
+
+
 def waterfill(sizes):
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be")) + ([None] if None in sizes else [])
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
@@ -517,6 +536,68 @@ def test_audio(docs):
         assert found.num_rows == int(r["feature"].split(";")[0])
 
 
+def naive_log_mel(samples, rate):
+    """Frame by frame and band by band, the transform by its sum."""
+    x = np.frombuffer(samples, np.uint8)
+    n = -(-len(x) * audio.UP // audio.DOWN)
+    y = audio.resample(x, 0, n).astype(float)
+    top = rate * audio.UP / audio.DOWN
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(top / 2) * k / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    mels, energy, a = [], [], 0
+    while True:
+        frame = np.zeros(audio.FRAME)
+        part = y[a : a + audio.FRAME]
+        frame[: len(part)] = part
+        frame *= [0.5 - 0.5 * np.cos(2 * np.pi * t / audio.FRAME) for t in range(audio.FRAME)]
+        k = np.arange(audio.FRAME // 2 + 1)
+        spectrum = np.exp(-2j * np.pi * np.outer(k, np.arange(audio.FRAME)) / audio.FRAME) @ frame
+        row = []
+        for m in range(audio.MELS):
+            low, mid, high = edges[m : m + 3]
+            f = k * top / audio.FRAME
+            weight = np.where(f <= mid, (f - low) / (mid - low), (high - f) / (high - mid)).clip(0)
+            row.append(np.log10(max(1e-6, float(weight @ np.abs(spectrum) ** 2))))
+        mels.append(row)
+        energy.append(10 * np.log10(max(1e-9, float((frame**2).mean()))))
+        a += audio.HOP
+        if a + audio.FRAME - audio.HOP >= n:
+            return np.array(mels), np.array(energy)
+
+
+@pytest.mark.parametrize("text", [b"", b"a", b"The quick brown fox " * 40, bytes(range(256)) * 9, "été straße ".encode() * 77])
+def test_log_mel_equals_a_naive_version(text):
+    samples = audio.payload_of(text)
+    mels, energy = audio.log_mel(samples, audio.RATE)
+    want, loud = naive_log_mel(samples, audio.RATE)
+    assert mels.shape == want.shape and len(energy) == len(loud)
+    assert np.abs(mels / 100 - want).max() < 0.03 and np.abs(energy / 100 - loud).max() < 0.03
+
+
+def test_log_mel_in_blocks_is_the_same(monkeypatch):
+    samples = audio.payload_of(b"The quick brown fox jumps " * 200)
+    whole = audio.log_mel(samples, audio.RATE)
+    monkeypatch.setattr(audio, "BLOCK", 3)
+    parts = audio.log_mel(samples, audio.RATE)
+    assert all(np.abs(a.astype(int) - b.astype(int)).max() <= 1 for a, b in zip(whole, parts, strict=True))
+
+
+def test_tensors_hold_the_frames_and_their_spans():
+    mels, energy = audio.log_mel(audio.payload_of(b"some words and then some more " * 60), audio.RATE)
+    found = audio.read_tensors(audio.tensors(mels, energy, audio.RATE))
+    on = np.zeros(len(mels), int)
+    for a, b in audio.active_spans(energy):
+        on[a:b] = 1
+    ms = 1000 * audio.HOP * audio.DOWN / (audio.RATE * audio.UP)
+    values = np.concatenate([c.to_numpy_ndarray() for c in found.column("tensor").chunks])
+    for k, r in enumerate(found.drop_columns(["tensor"]).to_pylist()):
+        begin = k * audio.PATCH_HOP
+        end = min(begin + audio.PATCH, len(mels))
+        assert (values[k][: end - begin] == mels[begin:end]).all() and (values[k][end - begin :] == mels[-1]).all()
+        assert (r["begin_ms"], r["end_ms"], r["active"]) == (begin * ms, end * ms, on[begin:end].sum())
+    assert end == len(mels)
+
+
 @pytest.mark.parametrize("up,down", [(1, 2), (3, 4), (2, 3), (1, 1)])
 def test_resampling_equals_its_definition(up, down):
     x = np.random.default_rng(0).integers(0, 256, 500).astype(np.uint8)
