@@ -330,12 +330,12 @@ see-file | file | see (the )?(accompanying )?licen[cs]e file( for details| for c
 """
 
 #: Words without which a text is not looked at: every rule's text has one of them.
-ANCHORS = ("licen", "cc by", "cc0", "gpl", "copyright", "rights reserved", "public domain", "spdx", "commons", "unlicense", "redistribution and use", "permission", "altered source versions", "warranty", "confidential", "asl 2 0", "openrail", "open rail", "zero clause", "mit no attribution",
-    "redistribut", "deal in the software", "deal with the software", "what the fuck", "affirmer hereby", "advertis", "this software", "of the software", "terms and conditions for", "apache", "llvm exception", "appropriate credit",
-    "remix transform", "commercial", "the material", "merchantability", "free software foundation", "invariant sections", "interacting with it remotely", "special exception", "linking this library", "gcc runtime", "mozilla", "a copy of the mpl", "source code form",
-    "perl itself", "ruby itself", "boost org", "additional use grant", "change date", "managed service", "trademark", "font name", "bitstream vera", "opendatacommons", "cdla permissive", "datenlizenz", "php software", "openssl project", "cryptographic software",
-    "good not evil", "independent jpeg group", "charityware", "w3 org consortium", "open source", "apple public source", "buy me a beer", "based restrictions", "terms of use", "ietf trust", "patent", "trade secret", "unauthorized", "terms of service", "internal use only",
-    "purposes only", "derechos reservados", "droits", "rechte vorbehalten", "diritti riservati", "copr ", "urheberrechtlich", "fair use", "open access article", "united states government", "provided by the", "be liable", "held liable", "published by the", "silicon graphics", "png reference", "x consortium")
+ANCHORS = (
+    "licen", "creative", "distribut", "gpl", "cc by", "cc0", "copyright", "permission", "software", "openrail", "open rail", "commercial", "patent", "reserved", "warranty", "public domain", "asl 2 0", "mit no attribution", "zero clause",
+    "exception", "published by the", "trade", "confidential", "unauthorized", "vorbehalten", "derechos", "droits", "riservati", "datenlizenz", "purposes only", "internal use only", "fair use", "access article", "terms of ", "open source",
+    "commons", "legal provisions", "liable", "merchantab", "advertis", "copr ", "affirmer", "interacting with it", "linking this library", "jpeg group", "cdla", "use grant", "source versions",
+    "what the fuck", "invariant", "same terms as", "charityware", "me a beer", "based restrictions", "urheberrecht", "states government",
+)
 #: A detection's trust by priority class: tag, grant, name, address, text, notice.
 TRUST = (1.0, 0.95, 0.9, 0.8, 0.7, 0.5)
 
