@@ -199,13 +199,14 @@ def stop_words(text: str) -> tuple[int, int]:
     return sum(w in STOP_WORDS for w in words), len(words)
 
 
-def _first_pass(b: Block, known: bool) -> bool | None:
-    """Whether a block is of the article; None: it can't be told from the block alone. known: the page's language has stop words."""
-    if b.linked > LINKED * len(b.text):
-        return None if b.main and len(b.text) < SHORT else False
-    if len(b.text) < SHORT:
-        return None
-    found, n = stop_words(b.text)
+def _first_pass(b: Block, counts: tuple[int, int] | None, known: bool) -> bool | None:
+    """Whether a block is of the article; None: it can't be told from the block alone.
+
+    counts: its `stop_words`, None if it is short or has many links; known: the page's language has stop words.
+    """
+    if counts is None:
+        return False if b.linked > LINKED * len(b.text) and not (b.main and len(b.text) < SHORT) else None
+    found, n = counts
     least = (FEW_STOPS if len(b.text) >= LONG else MANY_STOPS) if known else 0
     return True if found >= least * n and (known or len(b.text) >= LONG) else None
 
@@ -252,9 +253,9 @@ def main_text(html: str) -> str:
     nearest decided neighbour. In a page with few stop words of the known languages length and links decide alone.
     """
     found = candidates(blocks(html))
-    counts = [stop_words(b.text) for b in found if len(b.text) >= SHORT and b.linked <= LINKED * len(b.text)]
-    known = sum(x for x, _ in counts) >= FEW_STOPS * sum(n for _, n in counts)
-    keep = _second_pass([_first_pass(b, known) for b in found])
+    counts = [stop_words(b.text) if len(b.text) >= SHORT and b.linked <= LINKED * len(b.text) else None for b in found]
+    known = sum(x[0] for x in counts if x) >= FEW_STOPS * sum(x[1] for x in counts if x)
+    keep = _second_pass([_first_pass(b, x, known) for b, x in zip(found, counts, strict=True)])
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
