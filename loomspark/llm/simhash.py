@@ -22,8 +22,8 @@ SEED = 42
 #: Fingerprints that a leaf of a tree should have, that the trees are built from for each leaf, and that a cell takes of
 #: either kind; fingerprints that a leaf of a cell's own tree should have.
 LEAF, SAMPLE, CELL, TINY = 16384, 32, 32768, 128
-#: Leaves of a tree at most; past that leaves grow and split into more cells.
-MOST_LEAVES = 1 << 14
+#: Leaves of a tree at most, past which leaves grow and split into more cells; fingerprints that go down a tree together.
+MOST_LEAVES, TOGETHER = 1 << 17, 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -166,20 +166,32 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
 
     Of two fingerprints that close, one 32-bit half differs in radius // 2 bits at most. So there
     is a vantage-point tree for each half, built from a sample of SAMPLE fingerprints a leaf and
-    at most MOST_LEAVES leaves (4 MB). Each fingerprint has its home in one leaf of each tree
+    at most MOST_LEAVES leaves (67 MB on the driver at most, 4 MB a tree). Each fingerprint has its home in one leaf of each tree
     and seeks in all leaves that the triangle bound leaves open at radius // 2. A leaf's seekers
     meet those at home in cells of about CELL by CELL, whatever their numbers, by trees of their own.
     """
     ship(distinct.sparkSession)
     leaves = int(min(MOST_LEAVES, max(1, count // LEAF)))
     share = max(1, count // (SAMPLE * leaves))
-    sample = distinct.where(F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(share)) == 0).limit(2 * SAMPLE * MOST_LEAVES).toPandas()["fp"].sort_values().to_numpy(np.int64)
+    sample = distinct.where(F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(share)) == 0).limit(2 * SAMPLE * MOST_LEAVES).toArrow().column("fp").to_numpy()
+    sample = np.sort(sample)
     trees = [Tree.build(h, leaves, k) for k, h in enumerate(_halves(sample))]
     reach = radius // 2
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """The fingerprints of a task, TOGETHER at a time: a node is then visited once for many of them."""
+        held, n = [], 0
         for b in batches:
-            fp = b.column("fp").to_numpy(zero_copy_only=False)
+            held.append(b.column("fp").to_numpy(zero_copy_only=False))
+            n += b.num_rows
+            if n >= TOGETHER:
+                yield np.concatenate(held)
+                held, n = [], 0
+        if n:
+            yield np.concatenate(held)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fp in some(batches):
             for t, (tree, half) in enumerate(zip(trees, _halves(fp), strict=True)):
                 for home in (False, True):
                     rows, leaf = tree.descend(half, 0 if home else reach)

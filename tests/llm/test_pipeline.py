@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -42,6 +43,15 @@ def test_stages_against_brute_force(spark):
     assert tokens == Counter({i: n * per[i] for i, n in copies.items()})
 
 
+def test_classifier_stage_acts_on_what_reaches_it(spark):
+    """The rules leave it next to nothing, so it is judged here on all documents: on labels that it has not learned from."""
+    folder = "/root/testdata/sf0.01"
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_classifier(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).select("doc_id").collect()}
+    held = [(r["doc_id"] in kept, r["quality"]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    bad, good = [k for k, q in held if q == 0], [k for k, q in held if q == 1]
+    assert len(bad) >= 10 and sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.99 * len(good)
+
+
 def test_run_gives_what_the_stages_give(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
