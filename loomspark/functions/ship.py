@@ -14,10 +14,15 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.ex
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once for each application, and bound their batches."""
+    """Give the executors' Python workers this package, once for each application, and bound their batches.
+
+    Spark has no bound for one operator alone, so the session's is set, but never one that the session has set itself.
+    """
     sc = spark.sparkContext
+    own = spark.conf.getAll
     for key, value in BATCHES.items():
-        spark.conf.set(key, value)
+        if key not in own:
+            spark.conf.set(key, value)
     if sc.applicationId in _sent:
         return
     package = Path(__file__).resolve().parent.parent

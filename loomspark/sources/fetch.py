@@ -1,13 +1,17 @@
-"""Landing remote records: retries, a disk cache and pages that may come short. The network itself is the caller's."""
+"""Landing remote records: downloads with retries, a disk cache and pages that may come short."""
 
 from __future__ import annotations
 
 import json
 import re
+import shutil
 import time
+import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
+from urllib.error import HTTPError
+from urllib.request import Request, urlopen
 
 
 def with_retries(get: Callable[[], Any], tries: int = 4, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Any:
@@ -22,6 +26,44 @@ def with_retries(get: Callable[[], Any], tries: int = 4, wait: float = 1.0, slee
     raise ValueError("at least one try is needed")
 
 
+def download(url: str, path: str | Path, tries: int = 4, wait: float = 1.0, timeout: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> Path:
+    """The file behind an address, written in pieces beside its place and moved there once it is whole.
+
+    A refusal of the server (4xx) is raised at once, all other failures are tried again. An archive of one file is unpacked by `unpacked`.
+    """
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    part = path.with_name(f"{path.name}.part")
+
+    def get() -> Path:
+        try:
+            with urlopen(Request(url, headers={"User-Agent": "loomspark"}), timeout=timeout) as source, part.open("wb") as to:
+                shutil.copyfileobj(source, to)
+        except HTTPError as refused:
+            if refused.code < 500:
+                raise ValueError(f"{url}: {refused.code}") from refused
+            raise
+        return part.replace(path)
+
+    return with_retries(get, tries, wait, sleep)
+
+
+def unpacked(path: str | Path, folder: str | Path) -> list[Path]:
+    """The files of a zip archive, none of them outside of the folder."""
+    out = []
+    with zipfile.ZipFile(path) as z:
+        for name in z.namelist():
+            if not name.endswith("/"):
+                out.append(Path(z.extract(name, folder)))
+    return out
+
+
+def get_json(url: str, timeout: float = 60.0) -> Any:
+    """What an address answers, as JSON."""
+    with urlopen(Request(url, headers={"Accept": "application/json", "User-Agent": "loomspark"}), timeout=timeout) as source:
+        return json.load(source)
+
+
 def cached(folder: str | Path, key: str, get: Callable[[], Any], delay: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> Any:
     """What a file of the folder holds under the key, or else what `get` gives; only a real fetch is followed by a delay."""
     path = Path(folder) / f"{re.sub(r'[^0-9A-Za-z_-]', '_', key)}.json"
