@@ -16,14 +16,12 @@ from loomspark.plans.kernel_queries import CALLS, MAJOR
 from loomspark.plans.registry import recorded
 from loomspark.sources.tables import table
 
-_TYPES = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "array<long>": "BIGINT[]", "array<string>": "VARCHAR[]"}
+_TYPES = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def literal(v: object) -> str:
     if v is None:
         return "NULL"
-    if isinstance(v, list):
-        return "[" + ", ".join(map(literal, v)) + "]"
     return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
 
@@ -99,20 +97,20 @@ _DOVE = "TowerID long, RingID long, Place string, Place2 string, AltName string,
 
 
 @told([
-    (None, "Ely", "Cambs", 1, "high", [], "Unique tower, no building"), ("Holy Trinity", "Ely", "Cambridgeshire", 1, "high", [], "Unique tower"), ("The Deanery", "Ely", "Cambridgeshire", 1, "medium", [], "Only tower; dedication differs from source"),
-    ("St Mary", "York", "Yorkshire", 2, "high", [3], "Dedication among several"), ("Clifton", "York", "Yorkshire", 2, "high", [3], "Dedication among several"), ("Christ Church, Dore", "Sheffield", None, 5, "high", [], "parish in building"),
-    (None, "Sheffield, Dore", "Yorkshire", 5, "high", [], "parish in town"), ("St Peter", "Newton", "Lincs", 6, "high", [], "Fuzzy place match"), ("12 Example Street", "York", None, None, "none", [], "address"), (None, "Ringing Room", None, None, "none", [], "virtual"),
-    (None, None, "Kent", None, "none", [], "no place given"), ("St Mary", "Nowhere", "Kent", None, "none", [], "no tower found"), ("Castle Keep", "York", "Yorkshire", None, "none", [2, 3], "no tower of the town has the dedication"),
-    (None, "Newport", "Wales", 10, "high", [], "Unique tower, no building"), (None, "Newport", "Scotland", 11, "high", [], "Unique tower, no building"), (None, "Newport", "USA", 12, "high", [], "Unique tower, no building"), (None, "Newport", "Ireland", 13, "high", [], "Unique tower, no building"),
-    (None, "Perth", "Australia", 14, "high", [], "Unique tower, no building"), (None, "Perth", "Scotland", 15, "high", [], "Unique tower, no building"), (None, "Nelson", "New Zealand", 16, "high", [], "Unique tower, no building"), ("St John", "Nelson", "Lancs", 17, "high", [], "Unique tower"),
-    ("St Paul", "Newport", None, 12, "high", [10, 11, 13], "Dedication among several"), ("St George", "Perth", "Canada", None, "none", [], "no tower found"),
-], "building string, town string, county string", "dove_tower_id long, confidence string, others array<long>, reasoning string")
+    (None, "Ely", "Cambs", 1, "high", "", "Unique tower, no building"), ("Holy Trinity", "Ely", "Cambridgeshire", 1, "high", "", "Unique tower"), ("The Deanery", "Ely", "Cambridgeshire", 1, "medium", "", "Only tower; dedication differs from source"),
+    ("St Mary", "York", "Yorkshire", 2, "high", "3", "Dedication among several"), ("Clifton", "York", "Yorkshire", 2, "high", "3", "Dedication among several"), ("Christ Church, Dore", "Sheffield", None, 5, "high", "", "parish in building"),
+    (None, "Sheffield, Dore", "Yorkshire", 5, "high", "", "parish in town"), ("St Peter", "Newton", "Lincs", 6, "high", "", "Fuzzy place match"), ("12 Example Street", "York", None, None, "none", "", "address"), (None, "Ringing Room", None, None, "none", "", "virtual"),
+    (None, None, "Kent", None, "none", "", "no place given"), ("St Mary", "Nowhere", "Kent", None, "none", "", "no tower found"), ("Castle Keep", "York", "Yorkshire", None, "none", "2 3", "no tower of the town has the dedication"),
+    (None, "Newport", "Wales", 10, "high", "", "Unique tower, no building"), (None, "Newport", "Scotland", 11, "high", "", "Unique tower, no building"), (None, "Newport", "USA", 12, "high", "", "Unique tower, no building"), (None, "Newport", "Ireland", 13, "high", "", "Unique tower, no building"),
+    (None, "Perth", "Australia", 14, "high", "", "Unique tower, no building"), (None, "Perth", "Scotland", 15, "high", "", "Unique tower, no building"), (None, "Nelson", "New Zealand", 16, "high", "", "Unique tower, no building"), ("St John", "Nelson", "Lancs", 17, "high", "", "Unique tower"),
+    ("St Paul", "Newport", None, 12, "high", "10 11 13", "Dedication among several"), ("St George", "Perth", "Canada", None, "none", "", "no tower found"),
+], "building string, town string, county string", "dove_tower_id long, confidence string, others string, reasoning string")
 def place_cases(df: DataFrame) -> DataFrame:
     """Places with buildings and counties, of all kinds of answers and of all groups of counties."""
     found = locate.locate(df, df.sparkSession.createDataFrame(TOWERS, _DOVE))
     keys = ["building", "town", "county"]
     met = df.alias("d").join(found.alias("f"), F.expr(" AND ".join(f"d.{c} <=> f.{c}" for c in keys)))
-    return met.select("d.*", "f.dove_tower_id", "f.confidence", "f.others", "f.reasoning")
+    return met.select("d.*", "f.dove_tower_id", "f.confidence", F.array_join("f.others", " ").alias("others"), "f.reasoning")
 
 
 @told([
@@ -135,11 +133,11 @@ LIBRARY = [
 
 
 @told([
-    ("Plain Bob Minor", None, "exact_title", "high", ["m4"]), ("plain bob  minor.", None, "normalised_title", "medium", ["m4"]), ("TWIN minor", None, "ambiguous_title", None, ["m8", "m9"]), ("99 Tolling", None, "not_a_method", None, None),
-    ("Something Else", None, "no_title_match", None, None), ("", None, "no_title_match", None, None), ("Spliced Surprise Major (2m)", "Cambridge, Yorkshire", "spliced_details", "high", ["m1", "m2"]), ("Major (2m)", "Cambridge; Yorkshire", "spliced_details", "low", ["m1", "m2"]),
-    ("Spliced (2m)", "Cambridge", "no_stage_word", None, None), ("Minor (3m)", "", "spliced_no_details", None, None), ("Minor (3m)", "Kent, Plain Bob", "spliced_count_mismatch", None, ["kent", "plainbob"]),
-    ("Minor (2m)", "720 Little Bob, 720 St.Clements", "spliced_details", "high", ["m5", "m7"]), ("Doubles (1p/2m)", "x", "no_stage_word", None, None),
-], "method string, details string", "outcome string, confidence string, found array<string>")
+    ("Plain Bob Minor", None, "exact_title", "high", "m4"), ("plain bob  minor.", None, "normalised_title", "medium", "m4"), ("TWIN minor", None, "ambiguous_title", None, "m8 m9"), ("99 Tolling", None, "not_a_method", None, None),
+    ("Something Else", None, "no_title_match", None, None), ("", None, "no_title_match", None, None), ("Spliced Surprise Major (2m)", "Cambridge, Yorkshire", "spliced_details", "high", "m1 m2"), ("Major (2m)", "Cambridge; Yorkshire", "spliced_details", "low", "m1 m2"),
+    ("Spliced (2m)", "Cambridge", "no_stage_word", None, None), ("Minor (3m)", "", "spliced_no_details", None, None), ("Minor (3m)", "Kent, Plain Bob", "spliced_count_mismatch", None, "kent plainbob"),
+    ("Minor (2m)", "720 Little Bob, 720 St.Clements", "spliced_details", "high", "m5 m7"), ("Doubles (1p/2m)", "x", "no_stage_word", None, None),
+], "method string, details string", "outcome string, confidence string, found string")
 def link_cases(df: DataFrame) -> DataFrame:
     """Every way in which a text is linked and every reason why not, over a small library."""
     spark = df.sparkSession
@@ -149,7 +147,7 @@ def link_cases(df: DataFrame) -> DataFrame:
     good = links.groupBy("perf_id").agg(F.min("match_kind").alias("outcome"), F.min("confidence").alias("confidence"), F.array_sort(F.collect_list("method_id")).alias("found"))
     none = F.lit(None).cast("string")
     bad = lost.select("perf_id", F.col("reason").alias("outcome"), none.alias("confidence"), F.from_json("candidates", "array<string>").alias("found"))
-    return each.join(good.union(bad), "perf_id").select("method", "details", "outcome", "confidence", "found", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return each.join(good.union(bad), "perf_id").select("method", "details", "outcome", "confidence", F.array_join("found", " ").alias("found"), F.explode(F.sequence(F.lit(1).cast("long"), "n")))
 
 
 #: Names that meet in bands: performances, name, association, tower, and the canonical name that each should get.
@@ -255,11 +253,11 @@ def symbol_places(df: DataFrame) -> DataFrame:
 
 
 @told([
-    ("-16-16-16", ["-", "16", "-", "16", "-", "16"]), ("3.1.E.3", ["3", "1", "E", "3"]), ("x 16 X", ["x", "16", "X"]), ("34-34.16", ["34", "-", "34", "16"]), ("", []), ("5T-14.5T", ["5T", "-", "14", "5T"]),
-], "notation string", "changes array<string>")
+    ("-16-16-16", "- 16 - 16 - 16"), ("3.1.E.3", "3 1 E 3"), ("x 16 X", "x 16 X"), ("34-34.16", "34 - 34 16"), ("", ""), ("5T-14.5T", "5T - 14 5T"),
+], "notation string", "changes string")
 def notation_changes(df: DataFrame) -> DataFrame:
     """K2."""
-    return df.withColumn("changes", kernel.split_changes(F.col("notation")))
+    return df.withColumn("changes", F.array_join(kernel.split_changes(F.col("notation")), " "))
 
 
 @told([
