@@ -179,18 +179,18 @@ _KIN = [
     ("m9", "Void", 6, None, None, None, None, None), ("m0", "Void", 8, None, None, None, None, "-18"),
 ]
 _JUDGED = [
-    ("m1", "m2", "extension", "high", 1.0), ("m1", "m3", "name_only", "high", 0.5), ("m1", "m4", "name_only", "high", 0.5), ("m2", "m4", "name_only", "high", 0.5), ("m3", "m4", "name_only", "high", 0.5),
+    ("m1", "m2", "extension", "high", 0.9167), ("m1", "m3", "name_only", "high", 0.5), ("m1", "m4", "name_only", "high", 0.875), ("m2", "m4", "name_only", "high", 0.875), ("m3", "m4", "name_only", "high", 0.5),
     ("m7", "m8", "name_only", "high", 0.0), ("m9", "m0", "name_only", "low", 0.0),
 ]
 
 
-@recorded("SELECT concat(n_nationkey, p) AS parent, concat(n_nationkey, c) AS child, r AS relationship, f AS confidence FROM nation, (VALUES " + ", ".join(f"('{p}', '{c}', '{r}', '{f}')" for p, c, r, f, _ in _JUDGED) + ") v(p, c, r, f)")
+@recorded("SELECT concat(n_nationkey, p) AS parent, concat(n_nationkey, c) AS child, r AS relationship, f AS confidence, CAST(s AS DOUBLE) AS front_share FROM nation, (VALUES " + ", ".join(f"('{p}', '{c}', '{r}', '{f}', {s})" for p, c, r, f, s in _JUDGED) + ") v(p, c, r, f, s)")
 def extension_cases(spark: SparkSession, folder: str) -> DataFrame:
     """The verdicts on families of methods, a family of each for each nation."""
     kin = spark.createDataFrame(_KIN, "method_id string, name string, stage int, classification string, symmetry string, number_of_hunts int, extension_construction string, notation string")
     nation = F.broadcast(table(spark, folder, "nation").select(F.col("n_nationkey").cast("string").alias("k")))  # a fixed table
     many = kin.join(nation).withColumn("method_id", F.concat("k", "method_id")).withColumn("name", F.concat("name", "k")).drop("k")
-    return lineage.extensions(many).select(F.col("parent_method_id").alias("parent"), F.col("child_method_id").alias("child"), "relationship", "confidence")
+    return lineage.extensions(many).select(F.col("parent_method_id").alias("parent"), F.col("child_method_id").alias("child"), "relationship", "confidence", F.round("front_share", 4).alias("front_share"))
 
 
 _TERMS = [

@@ -13,6 +13,9 @@ from typing import Any
 from urllib.error import HTTPError
 from urllib.request import Request, urlopen
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession
+
 
 def with_retries(get: Callable[[], Any], tries: int = 4, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Any:
     """The result of `get`, tried again after waits that double; the last failure is raised."""
@@ -78,6 +81,20 @@ def cached(folder: str | Path, key: str, get: Callable[[], Any], delay: float =
     return found
 
 
+def shared_cached(spark: SparkSession, folder: str, key: str, get: Callable[[], Any], delay: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> Any:
+    """`cached` in a folder of any file system that Spark writes to, as the shared one of a cluster."""
+    path = f"{folder}/{re.sub(r'[^0-9A-Za-z_-]', '_', key)}.json"
+    try:
+        return json.loads(spark.read.text(path).first()["value"])
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    found = get()
+    spark.createDataFrame([(json.dumps(found),)], "value string").coalesce(1).write.text(path)
+    sleep(delay)
+    return found
+
+
 def pages(page: Callable[[int], list], size: int, wait: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[list]:
     """Pages from 1 on until one is empty or short twice; a short one is asked for again and the longer answer kept."""
     number = 1
