@@ -19,11 +19,11 @@ from loomspark.llm.expressions import whole
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-#: Fingerprints that a leaf of a tree should have, that the trees are built from for each leaf, and that a cell takes of
-#: either kind; fingerprints that a leaf of a cell's own tree should have.
-LEAF, SAMPLE, CELL, TINY = 16384, 32, 32768, 128
+#: Fingerprints that a leaf of a tree should have, that the trees are built from for each leaf (at most, and at least where
+#: leaves are many), and that a cell takes of either kind; fingerprints that a leaf of a cell's own tree should have.
+LEAF, SAMPLE, LEAST_SAMPLE, CELL, TINY = 16384, 32, 8, 32768, 128
 #: Leaves of a tree at most, past which leaves grow and split into more cells; fingerprints that go down a tree together.
-MOST_LEAVES, TOGETHER = 1 << 17, 1 << 16
+MOST_LEAVES, TOGETHER = 1 << 20, 1 << 17
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -165,15 +165,16 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) over distinct fingerprints (fp) that join all that differ in `radius` bits or fewer, none else.
 
     Of two fingerprints that close, one 32-bit half differs in radius // 2 bits at most. So there
-    is a vantage-point tree for each half, built from a sample of SAMPLE fingerprints a leaf and
-    at most MOST_LEAVES leaves (67 MB on the driver at most, 4 MB a tree). Each fingerprint has its home in one leaf of each tree
+    is a vantage-point tree for each half, built from a sample of SAMPLE fingerprints a leaf (of
+    LEAST_SAMPLE where leaves are many: some 8 million, 67 MB) and at most MOST_LEAVES leaves (28 MB a tree). Each fingerprint has its home in one leaf of each tree
     and seeks in all leaves that the triangle bound leaves open at radius // 2. A leaf's seekers
     meet those at home in cells of about CELL by CELL, whatever their numbers, by trees of their own.
     """
     ship(distinct.sparkSession)
     leaves = int(min(MOST_LEAVES, max(1, count // LEAF)))
-    share = max(1, count // (SAMPLE * leaves))
-    sample = distinct.where(F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(share)) == 0).limit(2 * SAMPLE * MOST_LEAVES).toArrow().column("fp").to_numpy()
+    each = max(LEAST_SAMPLE, min(SAMPLE, LEAST_SAMPLE * MOST_LEAVES // (2 * leaves)))
+    share = max(1, count // (each * leaves))
+    sample = distinct.where(F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(share)) == 0).limit(2 * each * leaves).toArrow().column("fp").to_numpy()
     sample = np.sort(sample)
     trees = [Tree.build(h, leaves, k) for k, h in enumerate(_halves(sample))]
     reach = radius // 2
