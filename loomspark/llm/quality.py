@@ -21,8 +21,8 @@ CHUNK, REACH, PAIRS, PAIR_WIDTH, GAIN = 64, 40, 1, 32, 16.0
 ROWS, BYTES, EPOCHS, BATCH, RATE = 700, 1 << 16, 10, 32, 0.01
 #: Share of the good texts learned from that may score under `Model.least`.
 GOOD_LOST = 0.002
-#: Windows of bytes at a time.
-BLOCK = 1 << 14
+#: Windows of a byte filter at a time; bytes that a pair filter looks at together, whole chunks.
+BLOCK, PAIR_BLOCK = 1 << 14, 1 << 11
 
 
 @dataclass
@@ -92,22 +92,22 @@ def pair_peaks(x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
     Before the text stand zeros.
     """
-    half, step = CHUNK // 2, BLOCK * CHUNK // 2
+    half = CHUNK // 2
     best, where = np.full(PAIRS, -np.inf, np.float32), np.zeros((PAIRS, 2), np.int64)
-    for a in range(0, len(x) - half, step):
-        b = min(len(x), a + step + half)
+    for a in range(0, len(x) - half, PAIR_BLOCK):
+        b = min(len(x), a + PAIR_BLOCK + half)
         part = np.zeros(b - a + REACH, np.uint16)
         begin = min(a, REACH)
         part[REACH - begin :] = x[a - begin : b]
-        high = part[REACH:] << 8
+        # a row for each distance from 2 on: what stands so far before
+        before = np.lib.stride_tricks.sliding_window_view(part, b - a)[REACH - 2 :: -1]
+        pairs = before | part[REACH:] << 8
         for p in range(PAIRS):
-            own = table[p]
-            for back in range(2, REACH + 1):
-                sums = np.add.reduce(own.take(high | part[REACH - back : len(part) - back]).reshape(-1, half), axis=1)
-                got = sums[1:] + sums[:-1]
-                at = int(got.argmax())
-                if got[at] > best[p]:
-                    best[p], where[p] = got[at], (a + at * half, back)
+            sums = np.add.reduce(table[p].take(pairs, mode="clip").reshape(REACH - 1, -1, half), axis=2)
+            got = sums[:, 1:] + sums[:, :-1]
+            back, at = divmod(int(got.argmax()), got.shape[1])
+            if got[back, at] > best[p]:
+                best[p], where[p] = got[back, at], (a + at * half, back + 2)
     return best, where
 
 

@@ -662,6 +662,7 @@ def naive_score(text, model):
 
 def test_network_equals_a_naive_forward_pass(monkeypatch):
     monkeypatch.setattr(quality, "BLOCK", 8)  # several blocks a text
+    monkeypatch.setattr(quality, "PAIR_BLOCK", 2 * quality.CHUNK)
     model = quality.Model.fresh(1)
     model.pair_bias[:], tables = -1, model.tables()
     rng = np.random.default_rng(2)
