@@ -191,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     packed the same way, so only the last sequence of so many tasks has padding.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null text: as
-    empty, one id. Null doc_id and repeated rows: packed like any other. Empty table: no rows.
+    empty, one id. Bytes that are not UTF-8: as U+FFFD. Null doc_id and repeated rows: packed like any other. Empty table: no rows.
     An added token's string in a text: its id, see `Encoder`. Other columns are ignored. `tokenizer`: the path of a vocabulary file, the same on every
     machine; None: the public 49k word vocabulary.
     """
@@ -206,7 +206,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = encoder.encode(text.as_py()) + end
+                ids = encoder.encode(str(text.as_buffer(), "utf8", "replace")) + end
                 total, full = len(ids) // 4, len(ids) // (4 * capacity)
                 for k in range(full):
                     put([(doc, k * capacity, ids[4 * k * capacity : 4 * (k + 1) * capacity], total)])

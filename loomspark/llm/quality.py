@@ -233,7 +233,8 @@ def with_score(docs: DataFrame, model: Model | None) -> DataFrame:
 def keep_good(docs: DataFrame, model: Model | None, least: float | None = None) -> DataFrame:
     """The rows of `docs` whose score is `least` or more, with all their columns as they are; cases as in `with_score`.
 
-    `least`: None takes that of the model. Without a model each score is 0.5.
+    `least`: None takes that of the model. Without a model each score is 0.5. Texts count by their
+    bytes, which need not be UTF-8.
     """
     if model is None:
         return docs if least is None or least <= 0.5 else docs.limit(0)
@@ -244,7 +245,7 @@ def keep_good(docs: DataFrame, model: Model | None, least: float | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [score((x.as_py() or "").encode(), model, tables) >= least for x in b.column(at)]
+            good = [score(x.as_buffer().to_pybytes() if x.is_valid else b"", model, tables) >= least for x in b.column(at)]
             yield b.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

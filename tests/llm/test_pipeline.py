@@ -2,9 +2,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomspark.llm import queries
+from loomspark.llm import quality, queries
 from tests.llm import tables
 from tests.llm.test_documents import fingerprint, rejected
 
@@ -79,6 +80,19 @@ def test_stages_take_awkward_and_empty_tables(spark):
         docs.collect()
 
 
+def test_stages_take_texts_that_are_not_utf8(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    broken = F.expr("CAST(concat(CAST(text AS BINARY), X'20FFFE20C3') AS STRING)")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, broken).otherwise(F.col("text")))
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    good = {r["doc_id"] for r in quality.with_score(docs, model).collect() if r["score"] >= model.least}
+    assert any(i % 3 == 0 for i in good)
+    assert {r["doc_id"] for r in quality.keep_good(docs, model).select("doc_id").collect()} == good
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert any(r["doc_id"] % 3 == 0 for r in docs.collect())
+
+
 def test_every_query_is_registered():
     found = queries.QUERIES
     assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
