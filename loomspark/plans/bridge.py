@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomspark.sources.tables import table
 
@@ -104,6 +105,12 @@ class Corpus:
         setattr(self, name, made)
         return made
 
+    def with_place(self, name: str) -> DataFrame:
+        """The table `name`, made of one source, with place: the file and the number in it of the row that a row is made of."""
+        (source,) = [s for s in SOURCES if f"{{{s}}}" in TABLES[name]]
+        rows = table(self.spark, self.folder, source).select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+        return self.spark.sql(TABLES[name].replace(f"\nFROM {{{source}}}", f", place\nFROM {{{source}}}"), **{source: rows})
+
     @cached_property
     def dove(self) -> DataFrame:
         return self.towers

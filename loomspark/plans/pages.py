@@ -213,10 +213,11 @@ BATCH = 3
 
 
 def _debuts(c: Corpus) -> DataFrame:
-    """method_id, date, town, county and society of each method's own earliest dated event; ties by position, town and building."""
+    """method_id, date, town, county and society of each method's own earliest dated event; ties by position, town and building, then the first row of the source."""
     none = F.lit("")
-    order = F.concat_ws("|", "perf_date", F.lpad(F.col("position").cast("string"), 5, "0"), F.coalesce("town", none), F.coalesce("building", none))
-    first = c.method_performances.where("perf_date <> ''").groupBy("method_id").agg(F.min_by(F.struct(F.col("perf_date").alias("date"), "town", "county", "society"), order).alias("e"))
+    order = F.concat_ws("|", "perf_date", F.coalesce(F.lpad(F.col("position").cast("string"), 5, "0"), none), F.coalesce("town", none), F.coalesce("building", none))
+    event = F.struct(F.col("perf_date").alias("date"), "town", "county", "society")
+    first = c.with_place("method_performances").where("perf_date <> ''").groupBy("method_id").agg(F.min_by(event, F.struct(order, "place")).alias("e"))
     return first.select("method_id", "e.*")
 
 
