@@ -38,6 +38,11 @@ def band(share: Column, bands: int = 10) -> Column:
     return F.least(F.floor(bands * share), F.lit(bands - 1))
 
 
+def tenths(x: Column) -> Column:
+    """A double rounded to one decimal as DuckDB does: ten times it to the nearest integer, halves away from 0; `round` takes the digits that it prints."""
+    return F.round(x * 10) / 10
+
+
 def filled(text: Column) -> Column:
     """Neither null nor blank."""
     return text.isNotNull() & (F.trim(text) != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions.dialect import band, filled
+from loomspark.functions.dialect import band, filled, tenths
 from loomspark.operators import analytics as A
 from loomspark.operators import classify as K
 from loomspark.operators import kernel
@@ -82,10 +82,16 @@ def population_experience(c: Corpus) -> DataFrame:
 count(*) AS towers, round(100 * avg(is_busiest), 1) AS rate, round(avg(stated_night_pct), 1) AS share FROM q GROUP BY 1""", "performances", "dove")
 def practice_tiers(c: Corpus) -> DataFrame:
     """Towers, rate and mean share by activity, over the statement Q40."""
-    rows = q40_practice_weeknight(c)
+    return by_tier(q40_practice_weeknight(c))
+
+
+def by_tier(rows: DataFrame) -> DataFrame:
+    """Towers, rate and mean share of the rows of Q40 by activity."""
     t = F.col("total_weekday")
     tier = F.when(t < 50, "20-49").when(t < 100, "50-99").when(t < 200, "100-199").otherwise("200+")
-    return rows.groupBy(tier.alias("tier")).agg(F.count("*").alias("towers"), F.round(100 * F.avg("is_busiest"), 1).alias("rate"), F.round(F.avg("stated_night_pct"), 1).alias("share"))
+    # shares have one decimal, so their sum is exact in any order
+    share = F.sum(F.col("stated_night_pct").cast("decimal(4,1)")).cast("double") / F.count("stated_night_pct")
+    return rows.groupBy(tier.alias("tier")).agg(F.count("*").alias("towers"), tenths(100 * F.avg("is_busiest")).alias("rate"), tenths(share).alias("share"))
 
 
 @over("""WITH f AS (SELECT CASE WHEN footnote ILIKE '%fallen%' THEN 'none' WHEN footnote ILIKE '%first%' THEN 'first' WHEN footnote ILIKE '%wedding%' THEN 'wedding' END AS label, CAST(substr(perf_date, 6, 2) AS INT) AS month, changes FROM performance_footnotes JOIN performances USING (perf_id) WHERE footnote <> '')

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from loomspark.operators import upkeep as U
-from loomspark.plans import registry
+from loomspark.plans import pages, registry
 from loomspark.plans.bridge import Corpus
 
 SF = "/root/testdata/sf0.01"
@@ -83,3 +83,10 @@ def test_debuts_that_tie_take_the_first_row(spark, tmp_path, name):
     found = con.execute(registry.ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(tuple(plain(r[c]) for c in names) for r in df.collect()) == sorted(tuple(map(plain, r)) for r in found.fetchall())
+
+
+def test_a_mean_on_a_half_hangs_on_no_order_of_rows(spark):
+    """The plain sum of the first as doubles is a little less than that of the second."""
+    for shares in ([12.3, 12.1, 19.2, 11.4], [11.4, 12.3, 12.1, 19.2]):
+        rows = spark.createDataFrame([(300, 1, x) for x in shares], "total_weekday long, is_busiest int, stated_night_pct double").coalesce(1)
+        assert [tuple(r) for r in pages.by_tier(rows).collect()] == [("200+", 4, 100.0, 13.8)]
