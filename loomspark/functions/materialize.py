@@ -7,6 +7,9 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group of `stored`: a task holds one of those that it writes and one of those that it reads, whatever its share of the rows.
+ROW_GROUP = 8 << 20
+
 
 def _shared(spark: SparkSession) -> str:
     """The session's checkpoint folder.
@@ -37,7 +40,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to a folder of its own under the checkpoint folder, where it stays, and read it again."""
+    """Write `df` as Parquet to a folder of its own under the checkpoint folder, where it stays, and read it again.
+
+    Its row groups are of about ROW_GROUP bytes.
+    """
     path = f"{scratch(df.sparkSession, name)}.parquet"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

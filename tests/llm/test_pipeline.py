@@ -2,9 +2,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from loomspark.functions.materialize import ROW_GROUP, stored
 from loomspark.llm import quality, queries
 from tests.llm import tables
 from tests.llm.test_documents import fingerprint, rejected
@@ -93,6 +95,17 @@ def test_stages_take_texts_that_are_not_utf8(spark):
     assert any(r["doc_id"] % 3 == 0 for r in docs.collect())
 
 
+def test_stages_hand_on_small_row_groups(spark):
+    """Else a task holds 128 MB that it writes, and 128 MB that it reads, in the next stage."""
+    docs = spark.range(0, 16000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(*[F.sha2((F.col("id") * 40 + k).cast("string"), 256) for k in range(40)]).alias("text"))
+    got = stored(docs, "row groups")
+    (path,) = got.inputFiles()
+    groups = pq.ParquetFile(path.removeprefix("file://")).metadata
+    assert got.count() == 16000
+    sizes = [groups.row_group(k).column(1).total_compressed_size for k in range(groups.num_row_groups)]
+    assert sum(sizes) > 2 * ROW_GROUP and max(sizes) < 1.5 * ROW_GROUP
+
+
 def test_every_query_is_registered():
     found = queries.QUERIES
     assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
